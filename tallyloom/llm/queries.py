@@ -24,6 +24,15 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import sharding
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    dealt = sharding.shard(docs, group="text", row_id="doc_id", n_shards=16)
+    crc = F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0).cast("long"))
+    return dealt.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import wavelet
 
@@ -31,9 +40,21 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_files(folder, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import quality
+
+    book = quality.ledger(_table(spark, sf_dir, "documents"))
+    base_failed = ~quality.passes("base")
+    return book.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), quality.passes("v1").alias("kept"), "n_upper", "n_lines", "fail_bits"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_shards": op2_shards,
     "op4_tokens": op4_tokens,
+    "op5_quality": op5_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
