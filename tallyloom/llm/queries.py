@@ -50,11 +50,39 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import secrets
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find(docs, secrets.train(docs))
+    base = F.filter("spans", lambda s: s["kind"] < secrets.KINDS.index("random"))
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), of(3).alias("n_random")
+    )
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Rows that no model learns from: a fifth of all, by a checksum of the id."""
+    return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held_out()))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "best", "expected", F.size("passages").alias("n_passages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_shards": op2_shards,
     "op4_tokens": op4_tokens,
     "op5_quality": op5_quality,
+    "op8_secrets": op8_secrets,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
