@@ -33,6 +33,12 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import minhash
+
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import wavelet
 
@@ -79,6 +85,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_shards": op2_shards,
+    "op3_minhash": op3_minhash,
     "op4_tokens": op4_tokens,
     "op5_quality": op5_quality,
     "op8_secrets": op8_secrets,
