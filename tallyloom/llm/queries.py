@@ -56,6 +56,19 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import html_text
+
+    return html_text.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import decontaminate
+
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.lit(True).alias("contaminated"), "coverage", "item_words", F.size("tiles").alias("n_tiles"), F.array_max("tiles.length").alias("longest_tile"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import secrets
 
@@ -88,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op4_tokens": op4_tokens,
     "op5_quality": op5_quality,
+    "op6_main_text": op6_main_text,
+    "op7_decontaminate": op7_decontaminate,
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
 }
