@@ -95,6 +95,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "best", "expected", F.size("passages").alias("n_passages"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import substrings
+
+    done = substrings.deduplicate(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_shards": op2_shards,
@@ -105,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {}
