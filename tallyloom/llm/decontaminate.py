@@ -153,17 +153,43 @@ def _scan(shared, least: float, size: int):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed: int = 5, block_words: int = 2_000_000) -> DataFrame:
-    """A row for each document ``(doc_id, text)`` and item ``(item_id, text)`` that it covers by ``least``."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _blocks(benchmark: DataFrame, seed: int, block_words: int) -> Iterator[Block]:
+    """Blocks of ``(item_id, text)`` items, each of about ``block_words`` words."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     n_blocks = max(1, -(-total // block_words))
-    found = []
     for b in range(n_blocks):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b).collect()
         block = Block.of([r["item_id"] for r in own], [r["text"] for r in own], seed)
         if block is not None:
-            found.append(rows.mapInArrow(_scan(spark.sparkContext.broadcast(block), least, seed), HITS))
+            yield block
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed: int = 5, block_words: int = 2_000_000) -> DataFrame:
+    """A row for each document ``(doc_id, text)`` and item ``(item_id, text)`` that it covers by ``least``."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = [rows.mapInArrow(_scan(spark.sparkContext.broadcast(b), least, seed), HITS) for b in _blocks(benchmark, seed, block_words)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], HITS)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed: int = 5, block_words: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, that cover no item by ``least``; one filter a block, in one scan."""
+    at = docs.columns.index("text")
+
+    def clean(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scan = _scan(shared, least, seed)
+            for whole in batches:
+                for batch in tokens.slices(whole, at):
+                    numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["doc_id", "text"])
+                    keep = np.ones(batch.num_rows, bool)
+                    for b in scan(iter([numbered])):
+                        keep[b.column(0).to_numpy()] = False
+                    yield batch.filter(pa.array(keep))
+
+        return run
+
+    for block in _blocks(benchmark, seed, block_words):
+        docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    return docs

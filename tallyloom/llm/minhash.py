@@ -146,7 +146,7 @@ def _signer(bands: int, rows: int, size: int):
                 for i, h in tiny.items():
                     if h is not None:
                         out[i] = np.array([h], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(nodes, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "bands"])
 
     return run
 
@@ -180,26 +180,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return likely.join(left, "u").join(right, "v").where(both >= least * (F.size("x") + F.size("y") - both)).select("u", "v")
 
 
+def _open(active: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, root) of the buckets whose nodes are in several components."""
+    labelled = active.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    several = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
+    return labelled.join(several, "bucket")
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows: int = 6, size: int = 5) -> DataFrame:
-    """doc_id, class_id and n_class (rows in the class) of every row of ``(doc_id, text)``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = common.stored(docs.mapInArrow(_signer(bands, rows, size), "doc_id long, node binary, bands array<long>"), "signatures")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    """doc_id, text_hash, class_id, n_class (rows in the class) and stays of every row of ``(doc_id, text)``.
+
+    ``stays`` marks one document of each class (all of its rows, if rows repeat).
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    signed = common.stored(docs.mapInArrow(_signer(bands, rows, size), "doc_id long, text_hash long, node binary, bands array<long>"), "signatures")
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "text_hash")).alias("row")
+    nodes = signed.groupBy("node").agg(least_row, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    nodes = nodes.select("node", "row", "row.doc_id", "row.text_hash", "n", "bands")
     nodes = common.stored(nodes, "nodes")
     placed = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1")
     members = common.stored(placed.join(shared.select("bucket", "centre"), "bucket"), "buckets")
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    texts = wanted.join(docs, "doc_id").select("node", "text")
+    wanted = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "node")
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("node", "text")
     sets = common.stored(texts.mapInArrow(_shingle_sets(size), "node binary, shingles array<long>").dropDuplicates(["node"]), "shingles")
 
     links = common.stored(_verified(members.where("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), sets, least), "links")
     active, centres = members.where("node != centre").select("bucket", "node"), 16
     roots = components.components(links)
     while True:
-        labelled = active.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        several = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
-        active = common.stored(labelled.join(several, "bucket"), "open-buckets")
+        active = common.stored(_open(active, roots), "open-buckets")
         if active.isEmpty():
             break
         chosen = active.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("part")).agg(F.min(F.struct("node", "root")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root"))
@@ -213,7 +223,20 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows:
             roots = components.components(links)
         centres *= 4
 
-    owned = nodes.select("node", "doc_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = owned.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_class"))
-    named = owned.select("node", "root").join(classes, "root").select("node", "class_id", "n_class")
-    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "n_class")
+    owned = nodes.select("node", "row", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = owned.groupBy("root").agg(F.min("row").alias("first"), F.sum("n").alias("n_class"))
+    named = owned.select("node", "root").join(classes, "root").select("node", "first", "n_class")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return signed.select("doc_id", "text_hash", "node").join(named, "node").select("doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), "n_class", stays.alias("stays"))
+
+
+def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: one row of each class."""
+    found = near_duplicates(docs, **parameters).where("stays")
+    kept = common.stored(found.groupBy(F.col("doc_id").alias("_nd_id"), F.col("text_hash").alias("_nd_hash")).agg(F.count(F.lit(1)).alias("_nd_rows")), "kept")
+    keyed = docs.withColumn("_nd_key", F.xxhash64("text"))
+    out = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_nd_id")) & (F.col("_nd_key") == F.col("_nd_hash")))
+    if not kept.where("_nd_rows > 1").isEmpty():  # rows that repeat doc_id and text
+        once = out.where("_nd_rows > 1").dropDuplicates(["_nd_id", "_nd_hash"])
+        out = out.where("_nd_rows = 1").unionByName(once)
+    return out.select(*docs.columns)

@@ -36,7 +36,7 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import minhash
 
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_class")
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

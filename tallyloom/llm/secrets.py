@@ -99,18 +99,29 @@ def train(docs: DataFrame, sample_docs: int = 2000, random_strings: int = 4000,
     return MarkovModels(ratios)
 
 
+def _spans(docs: DataFrame, models: MarkovModels, threshold: float) -> DataFrame:
+    """``docs``, all columns, with ``_spans``."""
+    safe = docs.withColumn("_safe", F.translate(F.coalesce("text", F.lit("")), MARK, STAND_IN))
+    value = lambda s: F.length(F.regexp_extract(s, ASSIGN, 2)) >= 6
+    always = lambda s: F.lit(True)
+    random = lambda s: s.rlike("[0-9]") & s.rlike("[A-Za-z]") & (models.score(s) > threshold)
+    base = safe.select(*docs.columns, F.concat(_matches("_safe", "assign", value), _matches("_safe", "access", always), _matches("_safe", "hex", always)).alias("_base"), _matches("_safe", "random", random).alias("_more"))
+    own = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (m["start"] < b["stop"]) & (b["start"] < m["stop"])))
+    return base.select(*docs.columns, F.array_sort(F.concat("_base", own)).alias("_spans"))
+
+
 def find(docs: DataFrame, models: MarkovModels, threshold: float = 12.0) -> DataFrame:
     """doc_id, text and ``spans``: array of (start, kind, stop) in order of start, then kind.
 
     A random run counts only if it has a letter and a digit and overlaps no base span.
     """
-    safe = docs.select("doc_id", "text", F.translate(F.coalesce("text", F.lit("")), MARK, STAND_IN).alias("safe"))
-    value = lambda s: F.length(F.regexp_extract(s, ASSIGN, 2)) >= 6
-    always = lambda s: F.lit(True)
-    random = lambda s: s.rlike("[0-9]") & s.rlike("[A-Za-z]") & (models.score(s) > threshold)
-    base = safe.select("doc_id", "text", "safe", F.concat(_matches("safe", "assign", value), _matches("safe", "access", always), _matches("safe", "hex", always)).alias("base"), _matches("safe", "random", random).alias("more"))
-    own = F.filter("more", lambda m: ~F.exists("base", lambda b: (m["start"] < b["stop"]) & (b["start"] < m["stop"])))
-    return base.select("doc_id", "text", F.array_sort(F.concat("base", own)).alias("spans"))
+    return _spans(docs.select("doc_id", "text"), models, threshold).withColumnRenamed("_spans", "spans")
+
+
+def cover(docs: DataFrame, models: MarkovModels, threshold: float = 12.0) -> DataFrame:
+    """The rows of ``docs``, all columns, with every span of ``text`` masked."""
+    found = _spans(docs, models, threshold)
+    return found.withColumn("text", masked(F.col("text"), F.col("_spans"))).select(*docs.columns)
 
 
 def joined(spans: Column) -> Column:

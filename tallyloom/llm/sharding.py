@@ -14,8 +14,7 @@ partition, plus one offset per partition and shard.
 
 Defined results: a null group or id hashes like any value and a null size counts as
 ``extra_bytes`` only; rows equal in group and id are indivisible neighbours; an empty
-table gives no rows; input columns named like the key columns are an error only if
-they start with ``_hs_``.
+table gives no rows; input columns named size, shard or slot give way to the result's.
 """
 
 from __future__ import annotations
@@ -131,4 +130,5 @@ def shard(df: DataFrame, group: str, row_id: str, n_shards: int = 16, extra_byte
     parts = dealt.groupBy("_hs_part", "_hs_shard").agg(F.min("_hs_place").alias("_hs_first"), F.count(F.lit(1)).alias("_hs_n"))
     ahead = parts.select("_hs_part", "_hs_shard", (F.sum("_hs_n").over(Window.partitionBy("_hs_shard").orderBy("_hs_part")) - F.col("_hs_n") - F.col("_hs_first")).alias("_hs_ahead"))
     out = dealt.join(F.broadcast(ahead), ["_hs_part", "_hs_shard"])
-    return out.select(*df.columns, F.col("_hs_size").alias("size"), F.col("_hs_shard").alias("shard"), (F.col("_hs_place") + F.col("_hs_ahead")).alias("slot"))
+    own = [c for c in df.columns if c not in ("size", "shard", "slot")]
+    return out.select(*own, F.col("_hs_size").alias("size"), F.col("_hs_shard").alias("shard"), (F.col("_hs_place") + F.col("_hs_ahead")).alias("slot"))

@@ -237,3 +237,18 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
 def score(docs: DataFrame, model: Model, significance: float = 0.05) -> DataFrame:
     """Every document's best segment, its expected number in clean text, score and passages (word places)."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(model, significance), SCORED)
+
+
+def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``least``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = _scan(model, 0.0)
+        for whole in batches:
+            for batch in tokens.slices(whole, at):
+                numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["doc_id", "text"])
+                scores = np.concatenate([b.column(4).to_numpy() for b in scan(iter([numbered]))] or [np.empty(0)])
+                yield batch.filter(pa.array(scores < least))
+
+    return docs.mapInArrow(run, docs.schema)
