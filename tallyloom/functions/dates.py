@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, functions as F
 
 from tallyloom.functions import domain
-from tallyloom.functions.filters import matches_any
+from tallyloom.functions.filters import let, matches_any
 
 # Words of relative dates, in the order they are looked for.
 UNITS = (("วัน", 1, 60), ("day", 1, 60), ("สัปดาห์", 7, 8), ("week", 7, 8), ("เดือน", 30, 24), ("month", 30, 24), ("ปี", 365, 20), ("year", 365, 20))
@@ -24,17 +24,17 @@ def relative_date(text: Column, reference: Column) -> Column:
 
     A month is 30 days and a year 365; amounts beyond each unit's cap are no dates.
     """
-    t = F.translate(F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")), THAI_DIGITS, DIGITS)
-    digits = F.regexp_extract(t, r"([0-9]+)", 1)
-    amount = F.when(digits == "", 1).otherwise(F.coalesce(digits.try_cast("int"), F.lit(2**31 - 1)))
-    unit = F.coalesce(*(F.when(t.contains(word), F.struct(F.lit(days).alias("days"), F.lit(cap).alias("cap"))) for word, days, cap in UNITS))
-    ago = F.when(amount <= unit["cap"], F.date_sub(reference, (amount * unit["days"]).cast("int")))
-    return (
-        F.when(F.coalesce(t, F.lit("")) == "", None)
-        .when(matches_any(t, TODAY), reference.cast("date"))
-        .when(matches_any(t, YESTERDAY), F.date_sub(reference, 1))
-        .when(matches_any(t, PAST), ago)
-    )
+    cleaned = F.translate(F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")), THAI_DIGITS, DIGITS)
+    reference = reference.cast("date")
+
+    def day(t: Column) -> Column:
+        digits = F.regexp_extract(t, r"([0-9]+)", 1)
+        amount = F.when(digits == "", 1).otherwise(F.coalesce(digits.try_cast("int"), F.lit(2**31 - 1)))
+        unit = F.coalesce(*(F.when(t.contains(word), F.struct(F.lit(days).alias("days"), F.lit(cap).alias("cap"))) for word, days, cap in UNITS))
+        ago = let(F.struct(amount.alias("n"), unit.alias("unit")), lambda x: F.when(x["n"] <= x["unit"]["cap"], F.date_sub(reference, x["n"] * x["unit"]["days"])))
+        return F.when(t == "", None).when(matches_any(t, TODAY), reference).when(matches_any(t, YESTERDAY), F.date_sub(reference, 1)).when(matches_any(t, PAST), ago)
+
+    return let(cleaned, day)
 
 
 def relative_phrase(text: Column) -> Column:

@@ -11,6 +11,11 @@ from pyspark.sql import Column, functions as F
 from tallyloom.functions import domain
 
 
+def let(value: Column, build) -> Column:
+    """``build(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), build), 0)
+
+
 def parse_iso(text: str | None) -> date | None:
     """A date, or None for anything that isn't one (which then doesn't filter)."""
     try:

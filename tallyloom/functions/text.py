@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyloom.functions import domain
-from tallyloom.functions.filters import matches_any, starts_with_any
+from tallyloom.functions.filters import let, matches_any, starts_with_any
 
 # Words and patterns of review cards.
 PRIVATE_USE = "[\ue000-\uf8ff]"
@@ -102,7 +102,6 @@ def _is(line: Column, pattern: str, fold: bool = False) -> Column:
 def clean_review_text(raw: Column) -> Column:
     """The words of the reviewer alone: icons, buttons, names, dates and owner's answers go."""
     lines = F.transform(F.split(F.coalesce(raw, F.lit("")), "\n"), lambda x: strip(F.regexp_replace(x, PRIVATE_USE, "")))
-    paired = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next")))
 
     def stays(p: Column) -> Column:
         line, after = p["line"], p["next"]
@@ -119,6 +118,8 @@ def clean_review_text(raw: Column) -> Column:
         )
         return ~gone
 
+    following = lambda own: F.concat(F.slice(own, 2, F.size(own)), F.array(F.lit("")))
+    paired = let(lines, lambda own: F.zip_with(own, following(own), lambda a, b: F.struct(a.alias("line"), b.alias("next"))))
     text = F.array_join(F.transform(F.filter(paired, stays), lambda p: p["line"]), " ")
     for marker in CUT_MARKERS:
         text = F.regexp_replace(text, f"(?s){marker}.*$", "")
@@ -129,14 +130,21 @@ def clean_review_text(raw: Column) -> Column:
 
 def is_rating_only(raw: Column) -> Column:
     """Whether a card has stars but no words: nothing but noise after its date line."""
-    lines = F.transform(F.split(F.coalesce(raw, F.lit("")), "\n"), strip)
-    first = lambda test: F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull()))
     is_date = lambda x: (_is(x, STAR_DATE, True) & _is(x, STAR_UNIT, True)) | _is(x, STAR_TODAY, True)
     is_noise = lambda x: (x == "") | reduce(lambda a, b: a | b, (_is(x, p) for p in STAR_NOISE))
-    date_at = first(is_date)
-    owner_at = F.coalesce(first(lambda x: x.startswith(OWNER)), F.size(lines))
-    between = F.slice(lines, date_at + 2, F.greatest(owner_at - date_at - 1, F.lit(0)))
-    return F.when(date_at.isNull() | (date_at >= owner_at), False).otherwise(F.forall(between, is_noise))
+
+    def first(lines: Column, test) -> Column:
+        return F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull()))
+
+    def verdict(x: Column) -> Column:
+        between = F.slice(x["lines"], x["date_at"] + 2, F.greatest(x["owner_at"] - x["date_at"] - 1, F.lit(0)))
+        return F.when(x["date_at"].isNull() | (x["date_at"] >= x["owner_at"]), False).otherwise(F.forall(between, is_noise))
+
+    def places(lines: Column) -> Column:
+        owner_at = F.coalesce(first(lines, lambda x: x.startswith(OWNER)), F.size(lines))
+        return let(F.struct(lines.alias("lines"), first(lines, is_date).alias("date_at"), owner_at.alias("owner_at")), verdict)
+
+    return let(F.transform(F.split(F.coalesce(raw, F.lit("")), "\n"), strip), places)
 
 
 def effective_text(clean: Column, raw: Column) -> Column:
@@ -146,14 +154,13 @@ def effective_text(clean: Column, raw: Column) -> Column:
 
 def review_text_hash(raw: Column) -> Column:
     """md5 of the first 1000 characters of the cleaned text, or of the raw text if that is empty."""
-    bare = strip(F.coalesce(raw, F.lit("")))
-    return F.md5(F.coalesce(F.nullif(F.substring(clean_review_text(bare), 1, 1000), F.lit("")), bare))
+    return let(strip(F.coalesce(raw, F.lit(""))), lambda bare: F.md5(F.coalesce(F.nullif(F.substring(clean_review_text(bare), 1, 1000), F.lit("")), bare)))
 
 
 def rule_categories(text: Column) -> Column:
     """All categories with one of their words in the text, in fixed order; other if none."""
-    found = F.filter(F.array(*(F.when(matches_any(text, words), F.lit(c)) for c, words in RULE_CATEGORIES.items())), lambda x: x.isNotNull())
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(domain.OTHER)))
+    found = lambda t: F.filter(F.array(*(F.when(matches_any(t, words), F.lit(c)) for c, words in RULE_CATEGORIES.items())), lambda x: x.isNotNull())
+    return let(let(text, found), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(domain.OTHER))))
 
 
 def sentiment_from_rating(rating: Column) -> Column:
@@ -197,20 +204,24 @@ def weekly_hours(rows: Column) -> Column:
     names = list(DAYS)
     usable = F.filter(rows, lambda r: r.isNotNull() & ~matches_any(r, HOURS_NOISE))
 
-    def hours(i: int) -> Column:
-        day = names[i]
-        own = F.filter(usable, lambda r: r.contains(day) & ~matches_any(r, names[:i]))
-        raw = F.try_element_at(own, F.lit(-1))
+    def of_day(raw: Column, day: str) -> Column:
         rest = F.regexp_replace(F.regexp_replace(raw, f"(?s)^.*?{day}", ""), PRIVATE_USE, " ")
         starts, ends = F.regexp_extract_all(rest, F.lit(HOURS_RANGE), 1), F.regexp_extract_all(rest, F.lit(HOURS_RANGE), 2)
         ranges = F.array_join(F.zip_with(starts, ends, lambda a, b: F.concat(a, F.lit("-"), b)), ", ")
-        open_ = F.when(rest.contains("24") & matches_any(raw, ("ชั่วโมง", "ตลอด")), "24 ชม.").when(F.size(starts) > 0, ranges).otherwise("ปิด")
+        open_ = F.when(rest.contains("24") & matches_any(raw, ("ชั่วโมง", "ตลอด")), "24 ชม.").when(ranges != "", ranges).otherwise("ปิด")
         return F.when(raw.isNotNull(), F.struct(F.lit(DAYS[day]).alias("day"), open_.alias("hours")))
 
-    found = F.filter(F.array(*(hours(i) for i in range(7))), lambda x: x.isNotNull())
-    times = F.array_distinct(F.transform(found, lambda x: x["hours"]))
-    each = F.array_join(F.transform(found, lambda x: F.concat(x["day"], F.lit(" "), x["hours"])), " | ")
-    return F.when((F.size(found) == 7) & (F.size(times) == 1), F.concat(F.lit("ทุกวัน "), F.get(times, 0))).when(F.size(found) > 0, each)
+    def last(usable: Column, i: int) -> Column:
+        own = F.filter(usable, lambda r: r.contains(names[i]) & ~matches_any(r, names[:i]))
+        return let(F.try_element_at(own, F.lit(-1)), lambda raw: of_day(raw, names[i]))
+
+    def week(found: Column) -> Column:
+        times = F.array_distinct(F.transform(found, lambda x: x["hours"]))
+        each = F.array_join(F.transform(found, lambda x: F.concat(x["day"], F.lit(" "), x["hours"])), " | ")
+        return F.when((F.size(found) == 7) & (F.size(times) == 1), F.concat(F.lit("ทุกวัน "), F.get(times, 0))).when(F.size(found) > 0, each)
+
+    days = let(usable, lambda u: F.filter(F.array(*(last(u, i) for i in range(7))), lambda x: x.isNotNull()))
+    return let(days, week)
 
 
 def coordinates_of_url(url: Column) -> Column:

@@ -87,7 +87,7 @@ SELECT 16.5E0 + CAST(s_suppkey % 10 AS DOUBLE) / 100E0 AS cell_lat, 100.2E0 + CA
        CASE s_suppkey % 3 WHEN 0 THEN 1000 WHEN 1 THEN 500 ELSE 100 END AS cell_radius_m,
        CASE s_suppkey % 4 WHEN 0 THEN 'cafe' WHEN 1 THEN 'museum' WHEN 2 THEN 'place_of_worship' ELSE 'bakery' END AS place_type,
        CAST(s_suppkey % 3 + 1 AS INT) AS pages, CAST(s_suppkey * 7 % 61 AS INT) AS results, s_suppkey * 7 % 61 >= 40 AS hit_cap,
-       CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE CAST(s_suppkey * 7 % 61 * (s_suppkey % 4) / 4 AS INT) END AS type_matched,
+       CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE CAST(floor(s_suppkey * 7 % 61 * (s_suppkey % 4) / 4) AS INT) END AS type_matched,
        CASE WHEN s_suppkey % 9 = 0 THEN 'ERROR' ELSE 'OK' END AS status
 FROM {supplier}
 """
