@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyloom.functions import domain, filters as f, geo, text as x
 from tallyloom.operators import coverage
+from tallyloom.sources.scratch import cut
 from tallyloom.tables import Tables
 
 
@@ -74,14 +75,16 @@ def greedy(pairs: DataFrame) -> DataFrame:
     """One-to-one choice from (drop, keep, dist, off), in order of drop; neighbourhoods are small."""
     spark = pairs.sparkSession
     settled = None
-    pairs = pairs.cache()
+    pairs = cut(pairs)
     while not pairs.isEmpty():
         choice = pairs.withColumn("n", F.row_number().over(Window.partitionBy("drop").orderBy("dist", "off", "keep"))).where("n = 1")
         # A place is served once no earlier one still has its choice on the list.
         earliest = pairs.groupBy("keep").agg(F.min("drop").alias("first"))
-        served = choice.join(earliest, "keep").where("drop = first").select("drop", "keep", "dist").cache()
+        served = choice.join(earliest, "keep").where("drop = first").select("drop", "keep", "dist")
+        served = cut(served)
         settled = served if settled is None else settled.unionByName(served)
-        pairs = pairs.join(served.select("drop"), "drop", "left_anti").join(served.select("keep"), "keep", "left_anti").cache()
+        pairs = pairs.join(served.select("drop"), "drop", "left_anti").join(served.select("keep"), "keep", "left_anti")
+        pairs = cut(pairs)
     return settled if settled is not None else spark.createDataFrame([], "drop long, keep long, dist double")
 
 

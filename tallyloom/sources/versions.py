@@ -25,10 +25,10 @@ def versions(spark: SparkSession, folder: str) -> list[int]:
 
 def current(spark: SparkSession, folder: str) -> int | None:
     """The version that readers see."""
-    fs, at = _fs(spark, f"{folder}/_current")
+    fs, at = _fs(spark, f"{folder}/CURRENT")
     if not fs.exists(at):
         return None
-    return int(spark.read.text(f"{folder}/_current").first()[0])
+    return int(spark.read.text(f"{folder}/CURRENT").first()[0])
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,8 +47,8 @@ def write(df: DataFrame, folder: str, partition_by: tuple[str, ...] = ()) -> int
 
 def swap(spark: SparkSession, folder: str, number: int) -> None:
     """Point readers at a version that is whole."""
-    fs, at = _fs(spark, f"{folder}/_current")
-    fresh = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_next")
+    fs, at = _fs(spark, f"{folder}/CURRENT")
+    fresh = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/NEXT")
     out = fs.create(fresh, True)
     out.write(bytearray(str(number), "utf-8"))
     out.close()
