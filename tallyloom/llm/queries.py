@@ -116,4 +116,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substrings": op10_substrings,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Only the ledger can be told in SQL; the other operators are tested against brute force.
+QUALITY_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+i AS (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8),
+x AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(words[i : i + 7], ' ')) AS c FROM i),
+y AS (SELECT rid, least(8, i - coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -8)) AS n FROM x WHERE c > 1),
+r AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n_repeat_words FROM y GROUP BY 1),
+m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS BIGINT) AS n_upper,
+  CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN r USING (rid)),
+b AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (5 * n_symbols > n_words)::INT + 8 * (2 * n_upper > word_chars)::INT + 16 * (2 * n_dup_lines > n_lines)::INT + 32 * (word_chars > 40 * n_words)::INT AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, n_upper, n_lines, fail_bits FROM b
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_quality": QUALITY_SQL}
