@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +24,24 @@ LETTER_PUNCT = r"([\p{L}\p{N}])([.,;:!?|&$%#*])"
 SAFE_PLACE = re.compile(r"(?<=\S)[ \n](?=\S)")
 
 
+def _places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
+
+
 class ChunkEncoder:
     """Encoder with a bounded memory of chunks; one per Python worker."""
 
-    def __init__(self, path: str, max_entries: int = 400_000, max_chars: int = 48):
+    def __init__(self, path: str, max_entries: int = 1_000_000, max_chars: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        #: Chunk to its number; ids of chunk k are flat[begins[k] : begins[k + 1]].
+        self.known: dict[str, int] = {}
+        self.flat, self.begins = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
         self.max_entries, self.max_chars = max_entries, max_chars
 
     def whole(self, text: str) -> np.ndarray:
@@ -48,25 +57,53 @@ class ChunkEncoder:
         ids = [self.tokenizer.encode_batch_fast([p], add_special_tokens=False)[0].ids for p in parts]
         return np.concatenate([np.asarray(x, np.uint32) for x in ids])
 
-    def learn(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of new chunks.  Chunks that open with white space share one call each."""
-        out: list[np.ndarray] = [None] * len(chunks)  # type: ignore[list-item]
+    def learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks in a row and their numbers.  Chunks that open with white space share one call each."""
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
         joint = [i for i, c in enumerate(chunks) if c and c[0] in " \n" and not c[-1].isspace() and len(c) <= self.max_chars]
-        alone = sorted(set(range(len(chunks))) - set(joint))
-        for i, e in zip(alone, self.tokenizer.encode_batch_fast([chunks[i] for i in alone if len(chunks[i]) <= 65_536] or [""], add_special_tokens=False) if all(len(chunks[i]) <= 65_536 for i in alone) else (None for _ in alone)):
-            out[i] = self.whole(chunks[i]) if e is None else np.asarray(e.ids, np.uint32)
+        alone = np.setdiff1d(np.arange(len(chunks)), joint).tolist()
+        order, parts, sizes = [], [], []
+        for k in range(0, len(alone), 2000):
+            block = alone[k : k + 2000]
+            if any(lengths[i] > 65_536 for i in block):
+                own = [self.whole(chunks[i]) for i in block]
+            else:
+                own = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([chunks[i] for i in block], add_special_tokens=False)]
+            order += block
+            parts += own
+            sizes += [len(x) for x in own]
         for k in range(0, len(joint), 2000):
             block = joint[k : k + 2000]
-            bounds = np.cumsum([0] + [len(chunks[i]) for i in block])
+            bounds = np.append(0, np.cumsum(lengths[block]))
             e = self.tokenizer.encode("".join(chunks[i] for i in block), add_special_tokens=False)
-            ids = np.asarray(e.ids, np.uint32)
-            first = np.fromiter((o[0] for o in e.offsets), np.int64, len(ids))
+            first = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
             edges = np.searchsorted(np.searchsorted(bounds, first, "right") - 1, np.arange(len(block) + 1), "left")
-            for j, i in enumerate(block):
-                out[i] = ids[edges[j] : edges[j + 1]]
-        if len(self.known) < self.max_entries:
-            self.known.update((c, x.copy()) for c, x in zip(chunks, out) if len(c) <= self.max_chars)
-        return out
+            order += block
+            parts.append(np.asarray(e.ids, np.uint32))
+            sizes += np.diff(edges).tolist()
+        flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        size = np.array(sizes, np.int64)
+        begin = np.cumsum(size) - size
+        place = np.empty(len(chunks), np.int64)
+        place[order] = np.arange(len(order))
+        size, begin = size[place], begin[place]
+        return flat[_places(begin, size)], size
+
+    def keep(self, chunks: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember chunks, while there is room."""
+        short = np.flatnonzero(np.fromiter(map(len, chunks), np.int64, len(chunks)) <= self.max_chars)[: self.max_entries - len(self.known)]
+        if not len(short):
+            return
+        begin = np.cumsum(sizes) - sizes
+        ids = flat[_places(begin[short], sizes[short])]
+        n, used = len(self.known), int(self.begins[len(self.known)])
+        while used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.empty(len(self.flat), np.uint32))
+        while n + len(short) + 1 > len(self.begins):
+            self.begins = np.append(self.begins, np.zeros(len(self.begins), np.int64))
+        self.flat[used : used + len(ids)] = ids
+        self.begins[n + 1 : n + 1 + len(short)] = used + np.cumsum(sizes[short])
+        self.known.update(zip((chunks[i] for i in short.tolist()), range(n, n + len(short))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row (nulls: empty), and where each text's ids begin."""
@@ -79,19 +116,20 @@ class ChunkEncoder:
         lists = pc.split_pattern(cut, CUT)
         coded = lists.values.dictionary_encode()
         vocabulary = coded.dictionary.to_pylist()
-        got = [self.known.get(c) for c in vocabulary]
-        new = [i for i, x in enumerate(got) if x is None]
-        if new:
-            for i, ids in zip(new, self.learn([vocabulary[i] for i in new])):
-                got[i] = ids
-        sizes = np.fromiter((len(x) for x in got), np.int64, len(got))
-        flat = np.concatenate(got) if got else np.empty(0, np.uint32)
-        begins = np.cumsum(sizes) - sizes
+        number = np.fromiter(map(self.known.get, vocabulary, repeat(-1)), np.int64, len(vocabulary))
+        begins, sizes = self.begins[number], self.begins[number + 1] - self.begins[number]
+        flat = self.flat[: int(self.begins[len(self.known)])]
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            fresh = [vocabulary[i] for i in new.tolist()]
+            own, size = self.learn(fresh)
+            sizes[new], begins[new] = size, len(flat) + np.cumsum(size) - size
+            flat = np.concatenate([flat, own])
+            self.keep(fresh, own, size)
         index = coded.indices.to_numpy()
         counts = sizes[index]
         ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.arange(total) + np.repeat(begins[index] - (ends - counts), counts)]
+        ids = flat[_places(begins[index], counts)]
         offsets = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         if unsafe.any():
             rows = np.flatnonzero(unsafe)

@@ -56,9 +56,10 @@ class WaveletMatrix:
 
         packer = zstandard.ZstdCompressor(level=level)
         bits = max(1, int(ids.max(initial=0)).bit_length())
-        zeros, before, spans, out, at, row = [], [], [], [], 0, ids
+        zeros, before, spans, out, at = [], [], [], [], 0
+        row = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for k in range(bits - 1, -1, -1):
-            bit = (row >> k) & 1 == 1
+            bit = (row & row.dtype.type(1 << k)) != 0
             ones, cells, count = [], [], 0
             for a in range(0, len(row), block):
                 part = bit[a : a + block]
@@ -141,15 +142,15 @@ class WaveletMatrix:
         import zstandard
 
         reader = zstandard.ZstdDecompressor()
-        row = np.zeros(self.n, np.uint32)
+        row = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for p in range(self.bits - 1, -1, -1):
             raw = [np.frombuffer(reader.decompress(self.payload[at : at + size]), np.uint8) for at, size in self.spans[p]]
             bit = (np.concatenate([np.unpackbits(r)[: self.block] for r in raw]) if raw else np.empty(0, np.uint8))[: self.n] == 1
             up = np.empty_like(row)
             up[~bit] = row[: self.zeros[p]]
-            up[bit] = row[self.zeros[p] :] | np.uint32(1 << (self.bits - 1 - p))
+            up[bit] = row[self.zeros[p] :] | row.dtype.type(1 << (self.bits - 1 - p))
             row = up
-        return row
+        return row.astype(np.uint32)
 
 
 def to_bytes(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
