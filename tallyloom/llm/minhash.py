@@ -11,14 +11,16 @@ with their probability Jaccard similarity.
 Steps, each a Spark job over all rows:
 
 1. one scan gives each row a node (a 128-bit hash of its words, so equal texts are one
-   node from here on) and one hash a band;
-2. nodes meet in buckets; each bucket proposes its least node with every other;
+   node from here on), one hash a band, and a bitmap of its shingles;
+2. nodes meet in buckets; each bucket proposes its least node with every other.  A pair
+   whose bitmaps rule out the similarity is never made: A and B share at most |A| less
+   the bits that only A has;
 3. proposed pairs are verified by the exact Jaccard similarity of their shingle sets;
 4. connected components of the links;
 5. only buckets that still hold several components go on: more of their nodes become
    centres, each is verified against the members of other components, and leaves.
-   When a bucket has one component or no member is left, each of its pairs is either
-   verified or already joined.  So no bucket is capped and no bucket sends all pairs.
+   When a bucket has one component or no member is left, each of its pairs is verified,
+   ruled out or already joined.  So no bucket is capped and no bucket sends all pairs.
 
 Result: one row per input row with its class, the least doc_id of it.
 
@@ -32,15 +34,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.llm import common, components, tokens
 
+#: Longs of a node's bitmap.
+WORDS = 16
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,6 +115,9 @@ def probminhash(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs: in
     return signature.reshape(n_docs, registers)
 
 
+SIGNED = ["doc_id", "text_hash", "node", "bands", "size", "bits"]
+
+
 def _signer(bands: int, rows: int, size: int):
     import xxhash
 
@@ -117,7 +125,7 @@ def _signer(bands: int, rows: int, size: int):
         for whole in batches:
             for batch in tokens.slices(whole, 1):
                 words, at = word_hashes(batch.column(1))
-                nodes, sets, counts, tiny = [], [], [], {}
+                nodes, sets, counts, tiny, sizes_of, bitmaps = [], [], [], {}, [], []
                 for i in range(batch.num_rows):
                     own = words[at[i] : at[i + 1]]
                     if not len(own):  # no words: equal only to the same text
@@ -126,6 +134,10 @@ def _signer(bands: int, rows: int, size: int):
                     else:
                         nodes.append(xxhash.xxh3_128_digest(own.tobytes()))
                     key, count = np.unique(shingles(own, size), return_counts=True)
+                    bitmap = np.zeros(64 * WORDS, bool)
+                    bitmap[(mix(key ^ GOLDEN) % np.uint64(64 * WORDS)).astype(np.int64)] = True
+                    sizes_of.append(len(key))
+                    bitmaps.append(np.packbits(bitmap).view(np.int64))
                     if len(key) < 4:  # sets this small are similar only if equal
                         tiny[i] = int(xxhash.xxh3_64_intdigest(key.tobytes(), seed=1)) if len(key) else None
                         key, count = key[:0], count[:0]
@@ -146,7 +158,7 @@ def _signer(bands: int, rows: int, size: int):
                 for i, h in tiny.items():
                     if h is not None:
                         out[i] = np.array([h], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(nodes, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(nodes, pa.binary()), pa.array(out, pa.list_(pa.int64())), pa.array(sizes_of, pa.int32()), pa.array(bitmaps, pa.list_(pa.int64()))], SIGNED)
 
     return run
 
@@ -169,15 +181,24 @@ def _shingle_sets(size: int):
     return run
 
 
+def _sketch(rows: DataFrame, prefix: str, *keep) -> DataFrame:
+    """Size and bitmap of nodes, a column for each word of it."""
+    return rows.select(*keep, F.col("size").alias(f"{prefix}size"), *(F.get("bits", F.lit(i)).alias(f"{prefix}{i}") for i in range(WORDS)))
+
+
+def _within_reach(least: float) -> Column:
+    """Whether the bitmaps u*, v* leave room for the shared shingles that the similarity takes."""
+    only = lambda a, b: reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}{i}")))) for i in range(WORDS)))
+    needed = (F.col("usize") + F.col("vsize")) * (least / (1 + least)) - 1e-6
+    return (F.col("usize") - only("u", "v") >= needed) & (F.col("vsize") - only("v", "u") >= needed)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs (u, v) whose shingle sets have that Jaccard similarity."""
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    # Sizes alone rule out most chance pairs before the sets meet.
-    size_u, size_v = left.select("u", F.size("x").alias("nx")), right.select("v", F.size("y").alias("ny"))
-    likely = pairs.join(size_u, "u").join(size_v, "v").where((F.col("nx") >= least * F.col("ny")) & (F.col("ny") >= least * F.col("nx"))).select("u", "v")
-    return likely.join(left, "u").join(right, "v").where(both >= least * (F.size("x") + F.size("y") - both)).select("u", "v")
+    return pairs.join(left, "u").join(right, "v").where(both >= least * (F.size("x") + F.size("y") - both)).select("u", "v")
 
 
 def _open(active: DataFrame, roots: DataFrame) -> DataFrame:
@@ -193,10 +214,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows:
     ``stays`` marks one document of each class (all of its rows, if rows repeat).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    signed = common.stored(docs.mapInArrow(_signer(bands, rows, size), "doc_id long, text_hash long, node binary, bands array<long>"), "signatures")
+    signed = common.stored(docs.mapInArrow(_signer(bands, rows, size), "doc_id long, text_hash long, node binary, bands array<long>, size int, bits array<long>"), "signatures")
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "text_hash")).alias("row")
-    nodes = signed.groupBy("node").agg(least_row, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
-    nodes = nodes.select("node", "row", "row.doc_id", "row.text_hash", "n", "bands")
+    nodes = signed.groupBy("node").agg(least_row, F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in SIGNED[3:]))
+    nodes = nodes.select("node", "row", "row.doc_id", "row.text_hash", "n", *SIGNED[3:])
     nodes = common.stored(nodes, "nodes")
     placed = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1")
@@ -205,16 +226,20 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows:
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("node", "text")
     sets = common.stored(texts.mapInArrow(_shingle_sets(size), "node binary, shingles array<long>").dropDuplicates(["node"]), "shingles")
 
-    links = common.stored(_verified(members.where("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), sets, least), "links")
+    star = members.where("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
+    star = star.join(_sketch(nodes, "u", F.col("node").alias("u")), "u").join(_sketch(nodes, "v", F.col("node").alias("v")), "v").where(_within_reach(least)).select("u", "v")
+    links = common.stored(_verified(star, sets, least), "links")
     active, centres = members.where("node != centre").select("bucket", "node"), 16
     roots = components.components(links)
     while True:
         active = common.stored(_open(active, roots), "open-buckets")
         if active.isEmpty():
             break
-        chosen = active.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("part")).agg(F.min(F.struct("node", "root")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root"))
-        chosen = common.stored(chosen, "centres")
-        pairs = active.join(chosen, "bucket").where((F.col("root") != F.col("centre_root")) & (F.col("node") != F.col("centre")))
+        drawn = active.join(nodes.select("node", "size", "bits"), "node")
+        own = F.struct("node", "root", "size", "bits")
+        chosen = drawn.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("part")).agg(F.min_by(own, "node").alias("c")).select("bucket", "c.*")
+        chosen = common.stored(_sketch(chosen, "u", "bucket", F.col("node").alias("centre"), F.col("root").alias("centre_root")), "centres")
+        pairs = _sketch(drawn, "v", "bucket", "node", "root").join(chosen, "bucket").where((F.col("root") != F.col("centre_root")) & (F.col("node") != F.col("centre")) & _within_reach(least))
         pairs = pairs.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
         found = common.stored(_verified(pairs, sets, least), "links")
         active = active.select("bucket", "node").join(chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
