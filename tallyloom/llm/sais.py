@@ -87,7 +87,7 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, begins: np.ndarra
     return n - 1 - mirrored
 
 
-def places(s: np.ndarray, least: int = 4096) -> np.ndarray:
+def places(s: np.ndarray, least: int = 1024) -> np.ndarray:
     """Rank of every suffix of ``s``, whose last character is the only 0 and least of all."""
     n = len(s)
     if n == 1:

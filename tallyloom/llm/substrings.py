@@ -40,7 +40,8 @@ from tallyloom.llm import common, sais, tokens
 from tallyloom.llm.minhash import GOLDEN, M1, mix
 
 PLACE = 24
-PIECE = 1 << 23
+#: Bytes hashed at once, and of one piece of a longer text.
+SLICE, PIECE = 1 << 20, 1 << 23
 FRAGMENTS = "k1 long, k2 int, start long, n int, anchor long, frag long"
 RANGES = "k1 long, k2 int, lo long, hi long"
 
@@ -116,7 +117,7 @@ def _scan(width: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in tokens.slices(whole, 2):
+            for batch in tokens.slices(whole, 2, SLICE):
                 data, offsets = _bytes_of(batch.column(2))
                 k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 # Only a slice of one very long text has several pieces.
@@ -255,7 +256,7 @@ def repeated_windows(keyed: DataFrame, width: int, gram: int, shard_bytes: int,
     return marks
 
 
-def deduplicate(docs: DataFrame, width: int = 200, gram: int = 16, shard_bytes: int = 2 << 20, most_fragments: int = 4096) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 200, gram: int = 64, shard_bytes: int = 1 << 19, most_fragments: int = 4096) -> DataFrame:
     """doc_id, n_bytes, removed ``spans`` (bytes) and the ``kept`` bytes of every row of ``(doc_id, text)``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.select(F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), "doc_id", "text")
