@@ -3,7 +3,8 @@
 One scan evaluates every rule once and keeps, per document, the measurements and a
 long whose bit ``i`` says that rule ``i`` failed.  A policy is a version and a mask of
 rules; its verdict, and the verdict without any one rule, are bit operations on the
-ledger, so no text is read again.
+ledger, so no text is read again.  Write the ledger before policies filter it
+(:func:`written`): a filter on its plan would be pushed into the measurements.
 
 All of it is array and string functions inside the JVM; no row leaves its partition.
 
@@ -18,6 +19,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyloom.llm import common
+
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -103,6 +106,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measure(docs).withColumn("fail_bits", bits)
 
 
+def written(docs: DataFrame) -> DataFrame:
+    """The ledger as a table in the shared folder."""
+    return common.stored(ledger(docs), "ledger")
+
+
 def passes(policy: str, without: str | None = None) -> Column:
     """Verdict of a policy on a ledger, if wanted without one of its rules."""
     return F.col("fail_bits").bitwiseAND(POLICIES[policy] & ~BIT.get(without, 0)) == 0

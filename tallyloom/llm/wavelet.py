@@ -122,8 +122,9 @@ class WaveletMatrix:
         return lo, hi
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
-        """Occurrences of a token in [lo, hi)."""
-        a, b = self._down(token, lo, self.n if hi is None else hi)
+        """Occurrences of a token in [lo, hi), as far as that lies in the sequence."""
+        hi = self.n if hi is None else min(hi, self.n)
+        a, b = self._down(token, min(max(lo, 0), hi), hi)
         return b - a
 
     def find(self, token: int, k: int) -> int:
