@@ -9,6 +9,7 @@ of encoding each whole text.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from itertools import repeat
@@ -33,7 +34,7 @@ def _places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class ChunkEncoder:
     """Encoder with a bounded memory of chunks; one per Python worker."""
 
-    def __init__(self, path: str, max_entries: int = 1_000_000, max_chars: int = 48):
+    def __init__(self, path: str, max_entries: int = 600_000, max_chars: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -145,6 +146,12 @@ class ChunkEncoder:
         return ids, offsets
 
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError):  # another C library: its heap stays as it is
+    _libc = None
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -155,6 +162,13 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def release() -> None:
+    """Give freed memory back: workers stay between tasks, and their heaps count as used."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4_000_000):
     """Cut a batch so that each slice holds few bytes of text, whatever the lengths."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -164,3 +178,4 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4_000_000):
         n = max(1, int(np.searchsorted(total, max_bytes, "right")))
         yield batch.slice(at, n)
         at += n
+    release()
