@@ -1,12 +1,13 @@
 """Near-duplicate classes by ProbMinHash, banding and verification (operator 3).
 
 Words are lower-case runs between white space; shingles are five words (a text of
-fewer words is one shingle).  A shingle of count c weighs 1 + ln c.  ProbMinHash: each
-shingle sends arrivals of a Poisson process whose rate is its weight, each arrival falls
-on one of the signature's registers, and the earliest arrival at a register names its
-shingle; arrivals after a horizon by which all registers are filled are never made
-(texts with a register still empty get a later horizon).  Registers of two texts agree
-with their probability Jaccard similarity.
+fewer words is one shingle).  ProbMinHash: each shingle sends arrivals of a Poisson
+process whose rate is its weight, each arrival falls on one of the signature's registers,
+and the earliest arrival at a register names its shingle; arrivals after a horizon by
+which all registers are filled are never made (texts with a register still empty get a
+later horizon).  Registers of two texts agree with their probability Jaccard similarity.
+Links are verified on shingle sets, so every shingle weighs 1, however often a text
+repeats it: registers then agree with the very similarity that is verified.
 
 Steps, each a Spark job over all rows:
 
@@ -125,7 +126,7 @@ def _signer(bands: int, rows: int, size: int):
         for whole in batches:
             for batch in tokens.slices(whole, 1):
                 words, at = word_hashes(batch.column(1))
-                nodes, sets, counts, tiny, sizes_of, bitmaps = [], [], [], {}, [], []
+                nodes, sets, tiny, sizes_of, bitmaps = [], [], {}, [], []
                 for i in range(batch.num_rows):
                     own = words[at[i] : at[i + 1]]
                     if not len(own):  # no words: equal only to the same text
@@ -133,22 +134,21 @@ def _signer(bands: int, rows: int, size: int):
                         nodes.append(xxhash.xxh3_128_digest(b"null" if text is None else b"blank" + text.encode()))
                     else:
                         nodes.append(xxhash.xxh3_128_digest(own.tobytes()))
-                    key, count = np.unique(shingles(own, size), return_counts=True)
+                    key = np.unique(shingles(own, size))
                     bitmap = np.zeros(64 * WORDS, bool)
                     bitmap[(mix(key ^ GOLDEN) % np.uint64(64 * WORDS)).astype(np.int64)] = True
                     sizes_of.append(len(key))
                     bitmaps.append(np.packbits(bitmap).view(np.int64))
                     if len(key) < 4:  # sets this small are similar only if equal
                         tiny[i] = int(xxhash.xxh3_64_intdigest(key.tobytes(), seed=1)) if len(key) else None
-                        key, count = key[:0], count[:0]
+                        key = key[:0]
                     sets.append(key)
-                    counts.append(count)
                 sizes = np.array([len(x) for x in sets], np.int64)
                 full = np.flatnonzero(sizes)
                 out: list = [[] for _ in sets]
                 if len(full):
                     doc = np.repeat(np.arange(len(full)), sizes[full])
-                    signature = probminhash(doc, np.concatenate([sets[i] for i in full]), 1 + np.log(np.concatenate([counts[i] for i in full])), len(full), bands * rows)
+                    signature = probminhash(doc, np.concatenate([sets[i] for i in full]), np.ones(len(doc)), len(full), bands * rows)
                     with np.errstate(over="ignore"):
                         hashed = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * GOLDEN, (len(full), 1))
                         for r in range(rows):

@@ -58,6 +58,20 @@ def test_group_of_near_copies(spark):
     assert got == classes(rows)
 
 
+def test_pairs_whose_repeats_differ(spark):
+    """Similar as sets, while one text or each repeats passages that the other has once or not at all."""
+    random.seed(6)
+    word = lambda: f"w{random.randint(0, 10**9)}"
+    rows = []
+    for i in range(40):
+        base = [word() for _ in range(95)]
+        rows += [(4 * i + k, " ".join(base + [word() for _ in range(5)] * 40)) for k in range(2)]
+        base = [word() for _ in range(100)]
+        rows += [(4 * i + 2, " ".join(base)), (4 * i + 3, " ".join(base + (base[:50] * 50)))]
+    got = Counter((r["doc_id"], r["class_id"], r["n_class"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == classes(rows) and sum(n == 2 for _, _, n in got) == len(rows)
+
+
 def test_one_of_each(docs, odd_docs, no_docs):
     for table in (docs, odd_docs):
         kept = minhash.one_of_each(table)
