@@ -11,7 +11,8 @@ of the page whether its slot belongs to the article.  A slot's verdict comes fro
 place in the wrapper: elements and names that mark menus, headers, footers, sidebars,
 notices, adverts, forms or comments; then the article or main element if the wrapper
 has one, or else the container with most of the host's varying, unlinked text, without
-strings that are alike on all pages.  Both the alignment and the verdicts are kept for
+strings that are alike on five different page contents or more (copies of a page count
+once) and on all pages.  Both the alignment and the verdicts are kept for
 each host and stream of labels.
 
 Text of one block is put together, references decoded, white space squeezed; blocks are
@@ -110,7 +111,7 @@ def region(wrapper: list[W.Node]) -> tuple[str, ...] | None:
         best = max(inner)[1]
 
 
-def verdict(slot: W.Node, where: tuple[str, ...] | None, pages_for_template: int = 5) -> bool:
+def verdict(slot: W.Node, where: tuple[str, ...] | None, pages_for_template: int = W.SEEN) -> bool:
     """Whether a slot's text belongs to the article."""
     if boiler(slot.path):
         return False
@@ -118,7 +119,7 @@ def verdict(slot: W.Node, where: tuple[str, ...] | None, pages_for_template: int
         return any(_is_main(x) for x in slot.path)
     if where and slot.path[: len(where)] != where:
         return False
-    return slot.value is None or slot.pages < pages_for_template
+    return slot.value is None or len(slot.seen) < pages_for_template
 
 
 def _short(text: str) -> str:
@@ -135,10 +136,19 @@ def tokens_of(html: str) -> list:
     return [p for p in W.stream(html) if p[0] == W.TAG or not p[3].isspace() or p[2] and p[2][-1].partition(".")[0] in W.INLINE | {"p"}]
 
 
+def content(parts: list) -> int:
+    """Digest of a page's texts."""
+    own = "\0".join(p[3] for p in parts if p[0] == W.TEXT)
+    return int.from_bytes(blake2b(own.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+
+
 def expression(parts: list) -> list[W.Node]:
-    nodes, place = [], 0
+    nodes, place, seen = [], 0, frozenset([content(parts)])
     for kind, label, path, text, _ in parts:
-        nodes.append(W.leaf(kind, label, path, text, place))
+        node = W.leaf(kind, label, path, text, place)
+        if kind == W.TEXT:
+            node.value, node.seen = _short(text), seen
+        nodes.append(node)
         place += kind == W.TEXT
     return W.fold(nodes)
 
@@ -157,9 +167,9 @@ class HostLearner:
         if held is None:
             if len(self.seen) >= self.most_streams:
                 self.settle()
-            self.seen[mark] = [parts, [_short(t) for t in own], [len(t) for t in own], 1]
+            self.seen[mark] = [parts, [_short(t) for t in own], [len(t) for t in own], frozenset([content(parts)])]
             return
-        held[3] += 1
+        held[3] = W.together(held[3], frozenset([content(parts)]))
         for k, t in enumerate(own):
             held[2][k] += len(t)
             if held[1][k] is not None and held[1][k] != _short(t):
@@ -167,27 +177,19 @@ class HostLearner:
 
     def settle(self) -> None:
         """Streams seen so far go into the wrapper."""
-        for parts, values, sizes, pages in self.seen.values():
+        for parts, values, sizes, seen in self.seen.values():
             nodes, place = [], 0
             for kind, label, path, _, _ in parts:
-                node = W.Node(kind, "#" if kind == W.TEXT else label, path if kind == W.TEXT else (), pages=pages)
+                node = W.Node(kind, "#" if kind == W.TEXT else label, path if kind == W.TEXT else ())
                 if kind == W.TEXT:
-                    node.value, node.size = values[place], sizes[place]
+                    node.value, node.size, node.seen = values[place], sizes[place], seen
                     place += 1
                 nodes.append(node)
             folded = W.fold(nodes)
-            for n in folded:
-                _pages(n, pages)
             self.wrapper = folded if self.wrapper is None else W.merge(self.wrapper, folded)[0]
         self.seen.clear()
 
 
-def _pages(node: W.Node, pages: int) -> None:
-    node.pages = pages
-    for x in node.body:
-        _pages(x, pages)
-
-
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, hosts = TaskContext.get().partitionId(), {}
 

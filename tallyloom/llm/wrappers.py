@@ -28,6 +28,10 @@ ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 NAMED = ("class", "id", "role", "hidden", "aria-hidden", "style", "itemprop")
 
 
+#: Different page contents that are told apart for each text.
+SEEN = 5
+
+
 @dataclass(slots=True)
 class Node:
     kind: int
@@ -42,8 +46,9 @@ class Node:
     repeated: bool = False
     #: Texts of the page that it was made from (places in the stream).
     places: list[int] = field(default_factory=list)
-    pages: int = 1
     size: int = 0
+    #: The least digests, ``SEEN`` at most, of the page contents that a text was seen on.
+    seen: frozenset[int] = frozenset()
 
 
 def stream(html: str):
@@ -141,9 +146,14 @@ def body_key(nodes: list[Node]) -> str:
     return " ".join(key(n) for n in nodes)
 
 
+def together(a: frozenset[int], b: frozenset[int]) -> frozenset[int]:
+    """The least digests of both; copies of a page, wherever they were read, count once."""
+    return a if b <= a else b if a <= b else frozenset(sorted(a | b)[:SEEN])
+
+
 def join(a: Node, b: Node) -> Node:
     """Two nodes of one key as one."""
-    out = Node(a.kind, a.label, a.path, a.value if a.value == b.value else None, [], a.optional or b.optional, a.repeated or b.repeated, a.places + b.places, a.pages + b.pages, a.size + b.size)
+    out = Node(a.kind, a.label, a.path, a.value if a.value == b.value else None, [], a.optional or b.optional, a.repeated or b.repeated, a.places + b.places, a.size + b.size, together(a.seen, b.seen))
     if a.kind == GROUP:
         out.body = [join(x, y) for x, y in zip(a.body, b.body)]
     return out
@@ -168,8 +178,6 @@ def fold(nodes: list[Node], longest: int = 12) -> list[Node]:
                 body = parts[0]
                 for other in parts[1:]:
                     body = [join(x, y) for x, y in zip(body, other)]
-                for x in body:
-                    _once(x)
                 if span == 1 and body[0].kind == GROUP:
                     body[0].repeated = True
                     out.append(body[0])
@@ -185,13 +193,6 @@ def fold(nodes: list[Node], longest: int = 12) -> list[Node]:
     return nodes
 
 
-def _once(node: Node) -> None:
-    """Parts of a repeat are on one page, however often."""
-    node.pages = 1
-    for x in node.body:
-        _once(x)
-
-
 def _pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """A longest common subsequence of two lists of keys, ends first."""
     lo, out = 0, []
@@ -231,7 +232,7 @@ def merge(a: list[Node], b: list[Node], most: int = 400) -> tuple[list[Node], li
     out: list[Node] = []
 
     def pair(x: Node, y: Node) -> Node:
-        new = Node(x.kind, x.label, x.path, x.value if x.value == y.value else None, [], x.optional or y.optional, x.repeated or y.repeated, [], x.pages + y.pages, x.size + y.size)
+        new = Node(x.kind, x.label, x.path, x.value if x.value == y.value else None, [], x.optional or y.optional, x.repeated or y.repeated, [], x.size + y.size, together(x.seen, y.seen))
         if x.kind == GROUP:
             new.body = [pair(p, q) for p, q in zip(x.body, y.body)]
         elif x.kind == TEXT:
@@ -239,7 +240,7 @@ def merge(a: list[Node], b: list[Node], most: int = 400) -> tuple[list[Node], li
         return new
 
     def alone(node: Node, mine: bool) -> Node:
-        new = Node(node.kind, node.label, node.path, node.value, [], True, node.repeated, [], node.pages, node.size)
+        new = Node(node.kind, node.label, node.path, node.value, [], True, node.repeated, [], node.size, node.seen)
         new.body = [alone(x, mine) for x in node.body]
         if node.kind == TEXT and not mine:
             met.append((node, new))

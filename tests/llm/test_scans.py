@@ -182,6 +182,22 @@ def test_pages_without_semantic_elements(spark):
         assert r["text"] == f"Head {r['page_id']}\nLong enough text number {r['page_id']} that varies by page and goes on."
 
 
+def test_template_texts_without_semantic_elements(spark):
+    """Copies of a page don't make its text a template; constant texts of any length are one."""
+    page = "<html><body><div><h2>Head {0}</h2><p>Text {0} that varies by page.</p>{1}</div></body></html>"
+    rows = [(i, "http://copies/", page.format("alone", "<h4>Lone heading</h4>")) for i in range(7)]
+    rows += [(10, "http://copies/", page.format("other", ""))]
+    fine = "Fine print of this site that is the same on every page and longer than sixty-four characters."
+    rows += [(20 + i, "http://long/", page.format(i, f"<h5>{fine}</h5>")) for i in range(9)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(table).collect()}
+    for i in range(7):
+        assert got[i] == "Head alone\nText alone that varies by page.\nLone heading"
+    assert got[10] == "Head other\nText other that varies by page."
+    for i in range(9):
+        assert got[20 + i] == f"Head {i}\nText {i} that varies by page."
+
+
 def test_pages_of_the_driver(spark, small):
     for r in spark.read.parquet(f"{small}/pages.parquet").join(html_text.extract(spark.read.parquet(f"{small}/pages.parquet")).select("page_id", "text"), "page_id").collect():
         assert r["text"] and "track(" not in r["text"] and "©" not in r["text"]
