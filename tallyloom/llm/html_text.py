@@ -9,7 +9,8 @@ that holds a third of all pages is learnt by all tasks.
 Extraction: a page's stream is aligned with its host's wrapper, which says for every text
 of the page whether its slot belongs to the article.  A slot's verdict comes from its
 place in the wrapper: elements and names that mark menus, headers, footers, sidebars,
-notices, adverts, forms or comments; then the article or main element if the wrapper
+notices, adverts, forms or comments (ids of headings and lines mark nothing, and inside an
+article the wrapper decides on names that may be its own); then the article or main element if the wrapper
 has one, or else the container with most of the host's varying, unlinked text, without
 strings that are alike on five different page contents or more (copies of a page count
 once) and on all pages.  Both the alignment and the verdicts are kept for
@@ -52,6 +53,14 @@ MARKS = frozenset(
     "comment comments commentlist discussion replies reply respond disqus feedback "
     "share sharing social login signin signup subscribe subscription newsletter search searchbox form tags hidden".split()
 )
+#: Marks that may also name a part of an article (fixed values).
+TOPICS = frozenset(
+    "sponsor sponsored sponsors promotion banner banners navigation menu menus header legal copyright widget widgets related recommended recommendations trending popular "
+    "notice notices cookie cookies consent alert alerts popup modal overlay toast paywall disclaimer discussion reply replies feedback "
+    "sharing social login subscription newsletter search form tags skip foot rail".split()
+)
+#: Elements that hold a line or paragraph; their ids are places to link to.
+LINES = W.INLINE | frozenset("h1 h2 h3 h4 h5 h6 hgroup p li dt dd td th tr pre blockquote figcaption caption summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 OPEN = re.compile(r"^(has|with|no|without|not|show|enable|is)[-_]")
 SPACES = re.compile(r"\s+")
@@ -62,38 +71,71 @@ def _names(label: str) -> list[str]:
     return label.split(".")[1:]
 
 
-def boiler(path: tuple[str, ...]) -> bool:
-    """Whether a text's open elements mark it as outside of any article."""
+def _marks(path: tuple[str, ...]) -> Iterator[tuple[int, bool]]:
+    """(number of open elements, whether that is settled) for each that marks a text as outside of any article.
+
+    Inside an article, names of lines and names that may be the article's own are not settled.
+    """
     inside = False
-    for label in path:
+    for k, label in enumerate(path, 1):
         name = label.partition(".")[0]
         names = _names(label) if "." in label else ()
-        if name in DROPPED or "-hidden" in names:
-            return True
-        if name == "header" and not inside:
-            return True
-        if name in ("article", "main") or "main" in names and name == "div":
+        if name in DROPPED or "-hidden" in names or name == "header" and not inside:
+            yield k, True
+            return
+        if name in ("article", "main") or ("main" in names or "#main" in names) and name == "div":
             inside = True
             continue
         if name in ("html", "body", "header"):
             continue
         for x in names:
-            if x in ROLES or not OPEN.match(x) and not MARKS.isdisjoint(re.split(r"[-_]+", x)):
-                return True
-    return False
+            if x[0] == "#" and name in LINES:
+                continue
+            x = x.lstrip("#")
+            parts = re.split(r"[-_]+", x)
+            if x in ROLES and x not in TOPICS:
+                yield k, True
+            elif not OPEN.match(x) and not MARKS.isdisjoint(parts):
+                own = name in LINES or MARKS.intersection(parts) <= TOPICS and not (len(parts) > 1 and MARKS.issuperset(parts))
+                yield k, not (inside and own)
+            elif x in ROLES:
+                yield k, True
+
+
+def boiler(path: tuple[str, ...], own: dict = {}) -> bool:
+    """Whether a text's open elements mark it as outside of any article, but for parts that are its ``own``."""
+    return any(settled or not own.get(path[:k], False) for k, settled in _marks(path))
+
+
+def own_parts(nodes: list[W.Node]) -> dict[tuple[str, ...], bool]:
+    """Paths of marked elements inside articles, and whether most of their text varies and is not linked.
+
+    Where too few pages were seen to tell, sections and lines are the article's own.
+    """
+    mass: dict[tuple[str, ...], int] = {}
+    for t in W.texts(nodes):
+        for k, settled in _marks(t.path):
+            if not settled:
+                name = t.path[k - 1].partition(".")[0]
+                below = {x.partition(".")[0] for x in t.path[k:]}
+                varies = t.value is None or len(t.seen) < W.SEEN and (name == "section" or name in LINES)
+                prose = varies and "a" not in below and DROPPED.isdisjoint(below)
+                mass[t.path[:k]] = mass.get(t.path[:k], 0) + (t.size if prose else -t.size)
+    return {path: m > 0 for path, m in mass.items()}
 
 
 def _is_main(label: str) -> bool:
     name, *names = label.split(".")
+    names = [x.lstrip("#") for x in names]
     return name in ("article", "main") or "main" in names and name in ("div", "section") or "articlebody" in names
 
 
-def region(wrapper: list[W.Node]) -> tuple[str, ...] | None:
+def region(wrapper: list[W.Node], parts: dict) -> tuple[str, ...] | None:
     """Where a wrapper without article or main element has its text: the path of a container.
 
     An empty path says that such an element exists.
     """
-    own = [t for t in W.texts(wrapper) if not boiler(t.path)]
+    own = [t for t in W.texts(wrapper) if not boiler(t.path, parts)]
     if any(_is_main(x) for t in own for x in t.path):
         return ()
     mass: dict[tuple[str, ...], int] = {}
@@ -111,9 +153,9 @@ def region(wrapper: list[W.Node]) -> tuple[str, ...] | None:
         best = max(inner)[1]
 
 
-def verdict(slot: W.Node, where: tuple[str, ...] | None, pages_for_template: int = W.SEEN) -> bool:
+def verdict(slot: W.Node, where: tuple[str, ...] | None, parts: dict, pages_for_template: int = W.SEEN) -> bool:
     """Whether a slot's text belongs to the article."""
-    if boiler(slot.path):
+    if boiler(slot.path, parts):
         return False
     if where == ():
         return any(_is_main(x) for x in slot.path)
@@ -260,12 +302,14 @@ class Extractor:
             if len(self.hosts) >= 1000:
                 self.hosts.clear()
             wrapper = pickle.loads(data) if data else nodes
-            self.hosts[host] = wrapper, region(wrapper)
-        wrapper, where = self.hosts[host]
+            own = own_parts(wrapper)
+            self.hosts[host] = wrapper, region(wrapper, own), own
+        wrapper, where, own = self.hosts[host]
+        own = {**own_parts(nodes), **own}
         plan = [False] * sum(p[0] == W.TEXT for p in parts)
         slots = {id(node): slot for node, slot in W.merge(wrapper, nodes)[1]}
         for node in W.texts(nodes):
-            keep = verdict(slots.get(id(node), node), where)
+            keep = verdict(slots.get(id(node), node), where, own)
             for k in node.places:
                 plan[k] = keep
         return plan

@@ -35,7 +35,7 @@ SEEN = 5
 @dataclass(slots=True)
 class Node:
     kind: int
-    #: Tag with class and id, or the key of a group's content.
+    #: Tag with class and id (after a #), or the key of a group's content.
     label: str = ""
     #: Labels of the open elements around a text.
     path: tuple[str, ...] = ()
@@ -97,7 +97,8 @@ def stream(html: str):
             got = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(m[3]) if k.lower() in NAMED}
         label = name
         if got:
-            words = f"{got.get('class', '')} {got.get('id', '')} {got.get('role', '')} {got.get('itemprop', '')}".lower().split()
+            ids = " ".join("#" + x.replace(".", "_") for x in got.get("id", "").split())
+            words = f"{got.get('class', '')} {ids} {got.get('role', '')} {got.get('itemprop', '')}".lower().split()
             hidden = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "")
             label = ".".join([name, *words, *["-hidden"] * hidden])
         if name in ENDS_P:

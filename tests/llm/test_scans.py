@@ -182,6 +182,17 @@ def test_pages_without_semantic_elements(spark):
         assert r["text"] == f"Head {r['page_id']}\nLong enough text number {r['page_id']} that varies by page and goes on."
 
 
+def test_names_inside_an_article(spark):
+    page = """<html><body><article><h2 id="related-work">Related {0}</h2><p>See <span id="Search_form">search {0}</span> here.</p><p class="legal">Law {0} of the land.</p>
+<section class="discussion"><h2 id="discussion">Discussion</h2><p>We discuss {0} at some length.</p></section><h6 class="notice">All rights reserved</h6>
+<div class="related"><ul><li><a href="/a">Other {0}</a></li></ul></div><div class="ad">Buy {0}</div><div class="comments"><p>First {0}</p></div></article></body></html>"""
+    rows = [(i, "http://many/", page.format(i)) for i in range(7)] + [(9, "http://one/", page.format(9))]
+    for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        i = r["page_id"]
+        want = [f"Related {i}", f"See search {i} here.", f"Law {i} of the land.", "Discussion", f"We discuss {i} at some length."]
+        assert r["text"].split("\n") == want + ["All rights reserved"] * (i == 9)
+
+
 def test_template_texts_without_semantic_elements(spark):
     """Copies of a page don't make its text a template; constant texts of any length are one."""
     page = "<html><body><div><h2>Head {0}</h2><p>Text {0} that varies by page.</p>{1}</div></body></html>"
