@@ -1,22 +1,30 @@
 """Toxic passages as maximum-scoring segments (operator 9).
 
-Fitting: document frequencies of words, and of word beginnings, in labelled toxic and
-clean texts give log-odds under an informative Dirichlet prior (the frequencies of
-both classes together); words whose odds are significantly raised score their log-odds,
-every other word costs ``drift``.  The fit reads at most about ``sample_rows`` labelled rows
-(equal texts once); a fifth of them only calibrates.
+Fitting: every word, and every beginning of ``BEGINS`` characters of a longer one, gets its
+log-odds of standing in toxic rather than clean labelled texts, under an informative
+Dirichlet prior (the frequencies of both classes together), less ``z`` standard errors;
+so odds shrink with the evidence and no word is left out by a count.  A word scores the
+best supported of its whole and its beginnings (0 at least) less ``drift``.  As odds are of
+standing in a text at all, the k-th occurrence in a text has a k-th of them.
+The fit reads at most about ``sample_rows`` labelled rows, and near copies among them
+(equal least hash of shingles, by any of three hash functions) count once, as words that
+only copies share are no evidence.
 
 Scoring: one linear scan over the words of a whole text finds all maximal scoring
-segments.  The best one's score is set against the extreme-value law of clean texts
-(Karlin-Altschul: expected number K n exp(-lambda s) of such segments in n words), and
-a logistic curve over that calibrated value gives the document's score.  Segments whose
-expected number is below ``significance`` are the toxic passages.
+segments.  A segment of score s is set against the extreme-value law of clean texts
+(Karlin-Altschul: K n exp(-lambda s) such segments are expected in n words); all segments
+with an expected number below 1 add up their distance to it, and a logistic curve over
+that sum gives the document's score.  Both the law (from the peaks of clean texts' segment
+scores) and the curve are fitted on scores that a model of the other folds gives, so no
+text is calibrated by odds it helped to set.  Segments whose expected number is below
+``significance`` are the toxic passages.
 
 Defined results: a null, empty or wordless text has no segment and the score of a text
-of one neutral word; very long texts are scanned whole; repeated rows give repeated
+of neutral words; very long texts are scanned whole; repeated rows give repeated
 rows; labels that are null or not 0/1 are left out, and a doc_id labelled twice counts
-as toxic if one label says so; other columns are not read; with no labelled rows of one
-class every text scores the share of toxic ones (0 without labels).
+as toxic if one label says so; other columns are not read, and ``without_toxic`` keeps
+them whatever their names; with no labelled rows of one class every text scores the
+share of toxic ones (0 without labels); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,22 +32,24 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyloom.llm import tokens
+from tallyloom.llm import common, tokens
 
-BEGIN = 6
+BEGINS = (3, 4, 5, 6, 7)
+FOLDS = 5
 SCORED = "doc_id long, n_words long, best double, expected double, score double, passages array<struct<first:int,last:int,score:double>>"
 
 
 @dataclass
 class Model:
-    words: dict[str, float] = field(default_factory=dict)
-    begins: dict[str, float] = field(default_factory=dict)
+    #: Raised odds of whole words (key "word ") and of beginnings (key "begi").
+    odds: dict[str, float] = field(default_factory=dict)
     drift: float = 0.2
     lam: float = 1.0
     log_k: float = 0.0
@@ -47,16 +57,19 @@ class Model:
     slope: float = 0.0
 
     def word(self, w: str) -> float:
-        s = self.words.get(w)
-        if s is None and len(w) > BEGIN:
-            s = self.begins.get(w[:BEGIN])
-        return -self.drift if s is None else s
+        """Score of a word's first occurrence."""
+        return max(self.odds.get(w + " ", 0.0), max((self.odds.get(w[:k], 0.0) for k in BEGINS if k < len(w)), default=0.0)) - self.drift
 
     def log_expected(self, best: float, n: int) -> float:
+        """Log of how many segments of that score or more are expected in a clean text of n words."""
         return self.log_k + math.log(max(1, n)) - self.lam * best
 
-    def score(self, best: float, n: int) -> float:
-        z = self.intercept - self.slope * self.log_expected(best, n)
+    def evidence(self, scores: list[float], n: int) -> float:
+        """Sum over all segments of how far their expected number is below 1, in logs."""
+        return sum(max(0.0, -self.log_expected(s, n)) for s in scores)
+
+    def score(self, scores: list[float], n: int) -> float:
+        z = self.intercept + self.slope * self.evidence(scores, n)
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
@@ -103,39 +116,85 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - x) for (a, b), x, r in zip(ends, left, right)]
 
 
+def _features(w: str) -> list[str]:
+    return [w + " ", *(w[:k] for k in BEGINS if k < len(w))]
+
+
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, class) pairs, once per document, added up in each slice."""
+    """Documents with each token by fold and class, added up in each slice; columns text, toxic, fold."""
     for whole in batches:
         for batch in tokens.slices(whole, 0):
             values, at = words_of(batch.column(0))
             coded = values.dictionary_encode()
-            vocabulary = coded.dictionary.to_pylist()
-            n = len(vocabulary)
+            names: dict[str, int] = {}
+            own = [np.array([names.setdefault(f, len(names)) for f in _features(w)], np.int64) for w in coded.dictionary.to_pylist()]
+            size = np.fromiter(map(len, own), np.int64, len(own))
+            begin, flat = np.cumsum(size) - size, np.concatenate(own) if own else np.empty(0, np.int64)
+            n = max(1, len(names))
             ids = coded.indices.to_numpy().astype(np.int64)
             doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            label = batch.column(1).to_numpy()
-            begin_of: dict[str, int] = {}
-            begin = np.array([begin_of.setdefault(w[:BEGIN], len(begin_of)) if len(w) > BEGIN else -1 for w in vocabulary], np.int64)
-            for kind, key, names in ((0, ids, vocabulary), (1, begin[ids] if n else ids, list(begin_of))):
-                held = key >= 0
-                pair = np.unique(doc[held] * max(1, len(names)) + key[held])
-                d, k = pair // max(1, len(names)), pair % max(1, len(names))
-                toxic = np.bincount(k[label[d] == 1], minlength=len(names))
-                clean = np.bincount(k[label[d] == 0], minlength=len(names))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind, np.int32)), pa.array(names, pa.string()), pa.array(toxic.astype(np.int64)), pa.array(clean.astype(np.int64))], ["kind", "token", "toxic", "clean"])
-
-
-def _raised(rows: list, n1: int, n0: int, z_least: float, prior_mass: float, cap: float) -> dict[str, float]:
-    out = {}
-    for token, y1, y0 in rows:
-        share = (y1 + y0) / (n1 + n0)
-        a = max(0.01, prior_mass * share)
-        a1, a0 = y1 + a, y0 + a
-        b1, b0 = n1 + prior_mass - a1, n0 + prior_mass - a0
-        odds = math.log(a1 / max(b1, 0.5)) - math.log(a0 / max(b0, 0.5))
-        if odds / math.sqrt(1 / a1 + 1 / a0) >= z_least:
-            out[token] = min(cap, odds)
-    return out
+            pair = np.unique(doc * max(1, len(own)) + ids)
+            d, w = pair // max(1, len(own)), pair % max(1, len(own))
+            places = tokens._places(begin[w], size[w])
+            pair = np.unique(np.repeat(d, size[w]) * n + flat[places])
+            d, k = pair // n, pair % n
+            cell = batch.column(2).to_numpy()[d] * 2 + batch.column(1).to_numpy()[d]
+            counts = np.bincount(k * (2 * FOLDS) + cell, minlength=n * 2 * FOLDS).reshape(n, 2 * FOLDS)[: len(names)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(c) for c in np.ascontiguousarray(counts.T.astype(np.int64)))], ["token", *(f"c{c}" for c in range(2 * FOLDS))])
+
+
+def _odds(toxic: Column, clean: Column, n1: int, n0: int, prior_mass: float, z: float, cap: float) -> Column:
+    """Log-odds with an informative Dirichlet prior, less ``z`` standard errors."""
+    share = (toxic + clean) / F.lit(float(n1 + n0))
+    prior = F.greatest(F.lit(0.5), F.lit(prior_mass) * share)
+    a1, a0 = toxic + prior, clean + prior
+    odds = F.ln(a1 / (n1 + prior_mass)) - F.ln(a0 / (n0 + prior_mass))
+    return F.least(F.lit(cap), odds - z * F.sqrt(1 / a1 + 1 / a0))
+
+
+def _segment_scores(models: list[Model]):
+    """toxic, n_words and all segment scores of (text, toxic, fold) rows, each under its fold's model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[dict[str, float]] = [{} for _ in models]
+        for whole in batches:
+            for batch in tokens.slices(whole, 0):
+                fold, found, n_words = batch.column(2).to_numpy(), [], []
+                values, at = words_of(batch.column(0))
+                for k in range(batch.num_rows):
+                    own = values.slice(int(at[k]), int(at[k + 1] - at[k]))
+                    scores = _word_scores(own, np.array([0, len(own)]), models[fold[k]], known[fold[k]])
+                    found.append([s for _, _, s in segments(scores)])
+                    n_words.append(len(own))
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n_words, pa.int64()), pa.array(found, pa.list_(pa.float64()))], ["toxic", "n_words", "scores"])
+
+    return run
+
+
+def _word_scores(values: pa.Array, at: np.ndarray, model: Model, known: dict[str, float]) -> np.ndarray:
+    """Scores of all words of texts that begin at ``at``; the k-th occurrence in a text has a k-th of the raised odds."""
+    coded = values.dictionary_encode()
+    own = []
+    for w in coded.dictionary.to_pylist():
+        s = known.get(w)
+        if s is None:
+            s = model.word(w)
+            if len(known) < 200_000:  # a memory of words met before; others are looked up anew
+                known[w] = s
+        own.append(s)
+    if not len(values):
+        return np.empty(0)
+    index = coded.indices.to_numpy().astype(np.int64)
+    scores = np.array(own, np.float64)[index]
+    hot = np.flatnonzero(scores > 0)
+    pair = np.repeat(np.arange(len(at) - 1), np.diff(at))[hot] * len(own) + index[hot]
+    order = np.argsort(pair, kind="stable")
+    first = np.append(True, np.diff(pair[order]) != 0)
+    place = np.arange(len(hot))
+    nth = np.empty(len(hot), np.int64)
+    nth[order] = place - np.maximum.accumulate(np.where(first, place, 0)) + 1 if len(hot) else 0
+    scores[hot] = (scores[hot] + model.drift) / nth - model.drift
+    return scores
 
 
 def _scan(model: Model, significance: float):
@@ -144,25 +203,16 @@ def _scan(model: Model, significance: float):
         for whole in batches:
             for batch in tokens.slices(whole, 1):
                 values, at = words_of(batch.column(1))
-                coded = values.dictionary_encode()
-                own = []
-                for w in coded.dictionary.to_pylist():
-                    s = known.get(w)
-                    if s is None:
-                        s = model.word(w)
-                        if len(known) < 500_000:
-                            known[w] = s
-                    own.append(s)
-                scores = np.array(own, np.float64)[coded.indices.to_numpy()] if len(values) else np.empty(0)
-                hot = np.add.reduceat(np.append(scores > 0, False).astype(np.int64), at[:-1]) * (np.diff(at) > 0) if len(at) > 1 else []
+                scores = _word_scores(values, at, model, known)
+                hot = np.diff(np.append(0, np.cumsum(scores > 0))[at]) > 0
                 best, expected, score, passages = [], [], [], []
                 for k, n in enumerate(np.diff(at).tolist()):
                     found = segments(scores[at[k] : at[k + 1]]) if hot[k] else []
-                    top = max((s for _, _, s in found), default=0.0)
-                    best.append(top)
-                    expected.append(math.exp(min(700.0, model.log_expected(top, n))))
-                    score.append(model.score(top, n))
-                    passages.append([{"first": a, "last": b, "score": s} for a, b, s in found if math.exp(min(700.0, model.log_expected(s, n))) < significance])
+                    own = [s for _, _, s in found]
+                    best.append(max(own, default=0.0))
+                    expected.append(math.exp(min(700.0, model.log_expected(best[-1], n))))
+                    score.append(model.score(own, n))
+                    passages.append([{"first": a, "last": b, "score": s} for a, b, s in found if model.log_expected(s, n) < math.log(max(significance, 1e-300))])
                 kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).cast(pa.int64()), pa.array(np.diff(at).astype(np.int64)), pa.array(best, pa.float64()), pa.array(expected, pa.float64()), pa.array(score, pa.float64()), pa.array(passages, kind)],
@@ -173,61 +223,95 @@ def _scan(model: Model, significance: float):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    """(text, toxic, calibrate) of the bounded sample; equal texts count once a label."""
-    own = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """(text, toxic, h) of the bounded sample; equal texts count once a label."""
+    own = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     total = own.count()
     share = min(1.0, sample_rows / max(1, total))
     own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < F.lit(math.ceil(share * (1 << 24))))
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(own, "doc_id").select("text", "toxic", F.xxhash64("text").alias("h"))
-    return rows.dropDuplicates(["h", "toxic"]).select("text", "toxic", (F.pmod("h", F.lit(5)) == 0).alias("calibrate"))
+    return rows.dropDuplicates(["h", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 24_000, z_least: float = 3.5, prior_mass: float = 20.0, cap: float = 6.0, drift: float = 0.2, max_words: int = 50_000) -> Model:
-    """A model from labelled rows; ``labels`` (doc_id, toxic) must hold only rows that may be learnt from."""
-    from tallyloom.llm import common
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the least hashes of their shingles under three hash functions."""
+    from tallyloom.llm import minhash
+
+    for whole in batches:
+        for batch in tokens.slices(whole, 0):
+            words, at = minhash.word_hashes(batch.column(0))
+            keys = np.zeros((3, batch.num_rows), np.uint64)
+            for i in range(batch.num_rows):
+                own = minhash.shingles(words[at[i] : at[i + 1]], 3)
+                if len(own):
+                    keys[:, i] = [minhash.mix(own ^ np.uint64(seed)).min() for seed in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k.view(np.int64)) for k in keys)], [*batch.schema.names, "k1", "k2", "k3"])
+
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """(text, toxic, fold) of ``rows`` without near copies; copies that are left share a fold."""
+    rows = common.stored(rows.mapInArrow(_sketch, "text string, toxic long, h long, k1 long, k2 long, k3 long"), "toxic-fit")
+    keys = rows.select("toxic", "h", "k1", "k2", "k3")
+    for k in ("k1", "k2", "k3"):
+        keys = keys.groupBy("toxic", k).agg(F.min(F.struct("h", *(x for x in ("k1", "k2", "k3") if x != k))).alias("row")).select("toxic", k, "row.*")
+    out = rows.join(keys.select("toxic", "h"), ["toxic", "h"], "left_semi").select("text", "toxic", F.pmod("k1", F.lit(FOLDS)).cast("int").alias("fold"))
+    kept = common.stored(out, "toxic-distinct")
+    common.forget(rows)
+    return kept
 
-    rows = common.stored(labelled(docs, labels, sample_rows), "toxic-fit")
-    sizes = {(r["calibrate"], r["toxic"]): r["n"] for r in rows.groupBy("calibrate", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = sizes.get((False, 1), 0), sizes.get((False, 0), 0)
-    share = sum(n for (_, t), n in sizes.items() if t) / max(1, sum(sizes.values()))
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 24_000, z: float = 2.0, prior_mass: float = 20.0, cap: float = 6.0, drift: float = 0.2) -> Model:
+    """A model from labelled rows; ``labels`` (doc_id, toxic) must hold only rows that may be learnt from."""
+    rows = distinct_texts(labelled(docs, labels, sample_rows))
+    sizes = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = [sum(c for (_, t), c in sizes.items() if t == label) for label in (0, 1)]
+    share = n[1] / max(1, sum(n))
     model = Model(drift=drift, intercept=math.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    if not n1 or not n0:
+    if not all(n):
         common.forget(rows)
         return model
-    counted = rows.where(~F.col("calibrate")).select("text", F.col("toxic").cast("int")).mapInArrow(_class_counts, "kind int, token string, toxic long, clean long")
-    odds = counted.groupBy("kind", "token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("toxic") >= 3) & (F.col("toxic") * n0 > F.col("clean") * n1))
-    # Bounded: the most frequent raised tokens of a bounded sample.
-    got = odds.orderBy(F.desc("toxic"), "kind", "token").limit(max_words).collect()
-    model.words = _raised([(r["token"], r["toxic"], r["clean"]) for r in got if r["kind"] == 0], n1, n0, z_least, prior_mass, cap)
-    model.begins = _raised([(r["token"], r["toxic"], r["clean"]) for r in got if r["kind"] == 1], n1, n0, z_least, prior_mass, cap)
-    _calibrate(model, rows)
+    cells = [f"c{c}" for c in range(2 * FOLDS)]
+    counted = rows.mapInArrow(_class_counts, "token string, " + ", ".join(f"{c} long" for c in cells))
+    # The last model is of all folds; each other one leaves a fold out, for that fold to be calibrated by.
+    without = [*range(FOLDS), None]
+    odds = []
+    for out in without:
+        of = lambda label: reduce(Column.__add__, (F.col(f"c{2 * f + label}") for f in range(FOLDS) if f != out))
+        size = [sum(c for (f, t), c in sizes.items() if t == label and f != out) for label in (0, 1)]
+        odds.append(_odds(of(1), of(0), size[1], size[0], prior_mass, z, cap))
+    tokens_of = counted.groupBy("token").agg(*(F.sum(c).alias(c) for c in cells)).select("token", *(o.alias(f"o{k}") for k, o in enumerate(odds)))
+    # Bounded as the sample is: tokens with raised odds only.
+    got = tokens_of.where(F.greatest(*(f"o{k}" for k in range(len(odds)))) > 0).collect()
+    models = [Model({r["token"]: r[f"o{k}"] for r in got if r[f"o{k}"] > 0}, drift, intercept=model.intercept) for k in range(len(odds))]
+    model = models.pop()
+    seen = rows.mapInArrow(_segment_scores(models), "toxic long, n_words long, scores array<double>").collect()
+    _calibrate(model, [r["toxic"] for r in seen], [r["n_words"] for r in seen], [r["scores"] for r in seen])
     common.forget(rows)
     return model
 
 
-def _calibrate(model: Model, rows: DataFrame) -> None:
-    """Extreme-value law of clean texts, then a logistic curve, on the held-back fifth."""
-    part = rows.where("calibrate").select(F.col("toxic").cast("long"), "text").mapInArrow(_scan(model, 0.0), SCORED)
-    seen = [(r["doc_id"], r["best"], r["n_words"]) for r in part.select("doc_id", "best", "n_words").collect()]
-    label = np.array([x[0] for x in seen])
-    best = np.array([x[1] for x in seen])
-    log_n = np.log(np.maximum(1, np.array([x[2] for x in seen])))
-    if label.size == 0 or label.min() == label.max():
+def _calibrate(model: Model, toxic: list[int], n_words: list[int], scores: list[list[float]]) -> None:
+    """Extreme-value law of clean texts' segments, then a logistic curve over the evidence of all texts."""
+    clean = [k for k, t in enumerate(toxic) if not t]
+    peaks = np.sort(np.array([s for k in clean for s in scores[k]]))
+    total = max(1, sum(n_words[k] for k in clean))
+    # The tail of the peaks; texts without one only count by their words.
+    start = float(peaks[len(peaks) // 2]) if len(peaks) >= 20 else 0.0
+    over = peaks[peaks >= start] - start
+    # Scores are log-likelihood ratios, whose lambda is 1 in theory: one such peak stands in as a prior.
+    model.lam = (len(over) + 1) / (float(over.sum()) + 1)
+    model.log_k = math.log((len(over) + 0.5) / total) + model.lam * start
+    label = np.array(toxic, np.float64)
+    x = np.array([model.evidence(s, n) for s, n in zip(scores, n_words)])
+    if not 0 < label.sum() < len(label):
         return
-    # Clean texts' best scores follow a Gumbel law: location ln(K n) / lambda, scale 1 / lambda.
-    clean = label == 0
-    spread = float(np.std(best[clean])) if clean.sum() > 1 else 0.0
-    model.lam = min(2.0, math.pi / (math.sqrt(6) * spread)) if spread > 0 else 2.0
-    model.log_k = float(np.mean(model.lam * best[clean] - log_n[clean])) - 0.5772156649
-    x = model.lam * best - log_n - model.log_k
-    a, b = model.intercept, 0.1
-    for _ in range(60):  # Newton steps with a weak ridge
+    a, b = model.intercept, 0.0
+    for _ in range(100):  # Newton steps with a weak ridge
         p = 1 / (1 + np.exp(-np.clip(a + b * x, -40, 40)))
         w = np.maximum(p * (1 - p), 1e-9)
         g = np.array([np.sum(label - p), np.sum((label - p) * x) - 0.01 * b])
         h = np.array([[np.sum(w), np.sum(w * x)], [np.sum(w * x), np.sum(w * x * x) + 0.01]])
         da, db = np.linalg.solve(h + 1e-9 * np.eye(2), g)
-        step = min(1.0, 2.0 / max(abs(da), abs(db), 1e-12))
+        step = min(1.0, 1.0 / max(abs(da), abs(db), 1e-12))
         a, b = a + step * float(da), b + step * float(db)
         if max(abs(da), abs(db)) < 1e-8:
             break

@@ -60,16 +60,38 @@ def test_covered_texts_hold_no_spans(odd_docs, docs, models):
         assert secrets.find(covered, models).where(F.size("spans") > 0).count() == 0
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(-4, 4), max_size=40))
-def test_segments(values):
-    """Against the definition: split at the best segment, and go on left and right of it."""
-    scores = np.array(values, float)
+def maximal(scores, a, b):
+    """By the definition: the best segment (the shortest, then leftmost of equal ones), and on left and right of it."""
+    best = max(((sum(scores[i : j + 1]), i - j, -i, j) for i in range(a, b) for j in range(i, b)), default=(0,))
+    if best[0] <= 0:
+        return []
+    total, _, i, j = best
+    return [*maximal(scores, a, -i), (-i, j, total), *maximal(scores, j + 1, b)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(-4, 4), max_size=30), st.integers(0, 9))
+def test_segments(values, seed):
+    """All maximal segments, by recursion; weights without ties."""
+    rng = np.random.default_rng(seed)
+    scores = np.array(values, float) + rng.uniform(-0.4, 0.4, len(values)).round(3)
     got = toxicity.segments(scores)
-    assert all(a <= b and s > 0 and s == pytest.approx(scores[a : b + 1].sum()) for a, b, s in got)
-    assert all(x[1] < y[0] for x, y in zip(got, got[1:]))
-    best = max((scores[a : b + 1].sum() for a in range(len(scores)) for b in range(a, len(scores))), default=0)
-    assert max((s for _, _, s in got), default=0) == pytest.approx(max(0, best))
+    want = maximal(scores.tolist(), 0, len(scores))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+def test_toxic_score_by_hand(spark):
+    model = toxicity.Model({"vile ": 3.0, "mean": 2.0}, drift=0.5, lam=1.5, log_k=-3.0, intercept=-2.0, slope=0.7)
+    text = "Vile words are vile. " + "plain " * 9 + "meanness here"
+    own = [2.5, -0.5, -0.5, 1.0, *[-0.5] * 9, 1.5, -0.5]
+    parts = [s for _, _, s in maximal(own, 0, len(own))]
+    assert parts == pytest.approx([2.5, 1.0, 1.5])
+    x = sum(max(0.0, 1.5 * s + 3.0 - np.log(len(own))) for s in parts)
+    row = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model, significance=0.1).first()
+    assert row["score"] == pytest.approx(1 / (1 + np.exp(2.0 - 0.7 * x)))
+    assert row["n_words"] == len(own) and row["best"] == 2.5
+    assert [(p["first"], p["last"]) for p in row["passages"]] == [(0, 0), (13, 13)]
 
 
 def test_toxicity(spark, docs, odd_docs, no_docs, small):
