@@ -39,4 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
         now, before, seen = after, seen, _digest(after)
         if seen == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._stored_at = now._stored_at
+    return out

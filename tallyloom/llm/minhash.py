@@ -12,11 +12,13 @@ repeats it: registers then agree with the very similarity that is verified.
 Steps, each a Spark job over all rows:
 
 1. one scan gives each row a node (a 128-bit hash of its words, so equal texts are one
-   node from here on), one hash a band, and a bitmap of its shingles;
-2. nodes meet in buckets; each bucket proposes its least node with every other.  A pair
-   whose bitmaps rule out the similarity is never made: A and B share at most |A| less
-   the bits that only A has;
-3. proposed pairs are verified by the exact Jaccard similarity of their shingle sets;
+   node from here on) and one hash a band;
+2. nodes meet in buckets; a second scan gives shingle sets and bitmaps of them for the
+   nodes that meet another.  It finds their rows by a bitmap of fixed size over all rows
+   (rows that only hash alike are told apart by their nodes), so no text is shuffled;
+3. each bucket proposes its least node with every other.  A pair whose bitmaps rule out
+   the similarity is dropped: A and B share at most |A| less the bits that only A has.
+   Others are verified by the exact Jaccard similarity of their shingle sets;
 4. connected components of the links;
 5. only buckets that still hold several components go on: more of their nodes become
    centres, each is verified against the members of other components, and leaves.
@@ -116,36 +118,36 @@ def probminhash(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs: in
     return signature.reshape(n_docs, registers)
 
 
-SIGNED = ["doc_id", "text_hash", "node", "bands", "size", "bits"]
+SIGNED = ["doc_id", "text_hash", "node", "bands"]
+#: Bits of the filter that finds the rows whose shingles are read (8 MB, whatever the input).
+FILTER_BITS = 1 << 26
 
 
-def _signer(bands: int, rows: int, size: int):
+def _node(words: np.ndarray, text: str | None) -> bytes:
+    """Key of a text: a hash of its words; one without words is equal only to the same text."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(words.tobytes() if len(words) else b"null" if text is None else b"blank" + text.encode())
+
+
+def _signer(bands: int, rows: int, size: int, least: float):
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tokens.slices(whole, 1):
                 words, at = word_hashes(batch.column(1))
-                nodes, sets, tiny, sizes_of, bitmaps = [], [], {}, [], []
+                nodes, sets, out = [], [], []
                 for i in range(batch.num_rows):
                     own = words[at[i] : at[i + 1]]
-                    if not len(own):  # no words: equal only to the same text
-                        text = batch.column(1)[i].as_py()
-                        nodes.append(xxhash.xxh3_128_digest(b"null" if text is None else b"blank" + text.encode()))
-                    else:
-                        nodes.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    nodes.append(_node(own, None if len(own) else batch.column(1)[i].as_py()))
                     key = np.unique(shingles(own, size))
-                    bitmap = np.zeros(64 * WORDS, bool)
-                    bitmap[(mix(key ^ GOLDEN) % np.uint64(64 * WORDS)).astype(np.int64)] = True
-                    sizes_of.append(len(key))
-                    bitmaps.append(np.packbits(bitmap).view(np.int64))
-                    if len(key) < 4:  # sets this small are similar only if equal
-                        tiny[i] = int(xxhash.xxh3_64_intdigest(key.tobytes(), seed=1)) if len(key) else None
-                        key = key[:0]
-                    sets.append(key)
+                    # A set so small that one more shingle parts it from its like is similar only to equal ones.
+                    tiny = len(key) * (1 - least) < least - 1e-9
+                    out.append(np.array([xxhash.xxh3_64_intdigest(key.tobytes(), seed=1)] if tiny and len(key) else [], np.uint64).view(np.int64))
+                    sets.append(key[:0] if tiny else key)
                 sizes = np.array([len(x) for x in sets], np.int64)
                 full = np.flatnonzero(sizes)
-                out: list = [[] for _ in sets]
                 if len(full):
                     doc = np.repeat(np.arange(len(full)), sizes[full])
                     signature = probminhash(doc, np.concatenate([sets[i] for i in full]), np.ones(len(doc)), len(full), bands * rows)
@@ -155,28 +157,42 @@ def _signer(bands: int, rows: int, size: int):
                             hashed = mix(hashed + signature[:, r::rows])
                     for row, i in zip(hashed.view(np.int64), full):
                         out[i] = row
-                for i, h in tiny.items():
-                    if h is not None:
-                        out[i] = np.array([h], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(nodes, pa.binary()), pa.array(out, pa.list_(pa.int64())), pa.array(sizes_of, pa.int32()), pa.array(bitmaps, pa.list_(pa.int64()))], SIGNED)
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(nodes, pa.binary()), pa.array(out, pa.list_(pa.int64()))], SIGNED)
 
     return run
 
 
-def _shingle_sets(size: int):
-    import xxhash
+def _filter_of(places: DataFrame) -> np.ndarray:
+    """A bitmap of ``place`` (0 to FILTER_BITS - 1): at most one row for each long of it passes to the driver."""
+    bit = F.expr("shiftleft(cast(1 as bigint), cast(place % 64 as int))")
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    longs = places.groupBy(F.floor(F.col("place") / 64).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out[longs["at"].to_numpy(np.int64)] = longs["bits"].to_numpy(np.int64)
+    return out
+
+
+def _shingle_sets(size: int, wanted):
+    """node, size, bitmap and shingles of rows (place, text) whose place is in the filter ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in tokens.slices(whole, 1):
-                words, at = word_hashes(batch.column(1))
-                nodes, sets = [], []
-                for i, wanted in enumerate(batch.column(0).to_pylist()):
-                    own = words[at[i] : at[i + 1]]
-                    if len(own) and xxhash.xxh3_128_digest(own.tobytes()) == wanted:
-                        nodes.append(wanted)
-                        sets.append(np.unique(shingles(own, size)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+        held = wanted.value
+        for batch in batches:
+            place = batch.column(0).to_numpy()
+            own = batch.filter(pa.array((held[place >> 6] >> (place & 63)) & 1 == 1))
+            for part in tokens.slices(own, 1):
+                words, at = word_hashes(part.column(1))
+                nodes, sizes, bitmaps, sets = [], [], [], []
+                for i in range(part.num_rows):
+                    one = words[at[i] : at[i + 1]]
+                    if len(one):
+                        key = np.unique(shingles(one, size))
+                        bitmap = np.zeros(64 * WORDS, bool)
+                        bitmap[(mix(key ^ GOLDEN) % np.uint64(64 * WORDS)).astype(np.int64)] = True
+                        nodes.append(_node(one, None))
+                        sizes.append(len(key))
+                        bitmaps.append(np.packbits(bitmap).view(np.int64))
+                        sets.append(key.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bitmaps, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["node", "size", "bits", "shingles"])
 
     return run
 
@@ -214,39 +230,50 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows:
     ``stays`` marks one document of each class (all of its rows, if rows repeat).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    signed = common.stored(docs.mapInArrow(_signer(bands, rows, size), "doc_id long, text_hash long, node binary, bands array<long>, size int, bits array<long>"), "signatures")
+    signed = common.stored(docs.mapInArrow(_signer(bands, rows, size, least), "doc_id long, text_hash long, node binary, bands array<long>"), "signatures")
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "text_hash")).alias("row")
-    nodes = signed.groupBy("node").agg(least_row, F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in SIGNED[3:]))
-    nodes = nodes.select("node", "row", "row.doc_id", "row.text_hash", "n", *SIGNED[3:])
-    nodes = common.stored(nodes, "nodes")
-    placed = nodes.select(F.explode("bands").alias("bucket"), "node")
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1")
-    members = common.stored(placed.join(shared.select("bucket", "centre"), "bucket"), "buckets")
-    wanted = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "node")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("node", "text")
-    sets = common.stored(texts.mapInArrow(_shingle_sets(size), "node binary, shingles array<long>").dropDuplicates(["node"]), "shingles")
+    nodes = common.stored(signed.groupBy("node").agg(least_row, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "nodes")
+    # One exchange deals the buckets; their counts and their members both read it.
+    placed = nodes.select(F.explode("bands").alias("bucket"), "node").repartition("bucket")
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").select("bucket", "centre")
+    members = common.stored(placed.join(shared, "bucket"), "buckets")
+
+    place = lambda doc_id, text_hash: F.pmod(F.xxhash64(doc_id, text_hash), F.lit(FILTER_BITS)).alias("place")
+    meeting = members.select("node").distinct().join(nodes.select("node", "row"), "node")
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(meeting.select(place("row.doc_id", "row.text_hash"))))
+    made = docs.select(place("doc_id", "text_hash"), "text").mapInArrow(_shingle_sets(size, wanted), "node binary, size int, bits array<long>, shingles array<long>")
+    sets = common.stored(made.dropDuplicates(["node"]), "shingles")
+    drawn = sets.select("node", "size", "bits")
 
     star = members.where("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
-    star = star.join(_sketch(nodes, "u", F.col("node").alias("u")), "u").join(_sketch(nodes, "v", F.col("node").alias("v")), "v").where(_within_reach(least)).select("u", "v")
+    star = star.join(_sketch(drawn, "u", F.col("node").alias("u")), "u").join(_sketch(drawn, "v", F.col("node").alias("v")), "v").where(_within_reach(least)).select("u", "v")
     links = common.stored(_verified(star, sets, least), "links")
     active, centres = members.where("node != centre").select("bucket", "node"), 16
     roots = components.components(links)
+    behind = [members]
     while True:
         active = common.stored(_open(active, roots), "open-buckets")
+        common.forget(*behind)
+        behind = [active]
         if active.isEmpty():
             break
-        drawn = active.join(nodes.select("node", "size", "bits"), "node")
-        own = F.struct("node", "root", "size", "bits")
-        chosen = drawn.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("part")).agg(F.min_by(own, "node").alias("c")).select("bucket", "c.*")
-        chosen = common.stored(_sketch(chosen, "u", "bucket", F.col("node").alias("centre"), F.col("root").alias("centre_root")), "centres")
-        pairs = _sketch(drawn, "v", "bucket", "node", "root").join(chosen, "bucket").where((F.col("root") != F.col("centre_root")) & (F.col("node") != F.col("centre")) & _within_reach(least))
+        own = F.struct("node", "root")
+        chosen = active.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("part")).agg(F.min_by(own, "node").alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root"))
+        chosen = common.stored(chosen, "centres")
+        behind.append(chosen)
+        pairs = active.join(chosen, "bucket").where((F.col("root") != F.col("centre_root")) & (F.col("node") != F.col("centre")))
         pairs = pairs.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
+        pairs = pairs.join(_sketch(drawn, "u", F.col("node").alias("u")), "u").join(_sketch(drawn, "v", F.col("node").alias("v")), "v").where(_within_reach(least)).select("u", "v")
         found = common.stored(_verified(pairs, sets, least), "links")
         active = active.select("bucket", "node").join(chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
         if not found.isEmpty():
-            links = common.stored(links.union(found), "links")
+            links, old = common.stored(links.union(found), "links"), links
+            common.forget(old, roots)
             roots = components.components(links)
+        common.forget(found)
         centres *= 4
+    common.forget(*behind, links, sets)
+    wanted.destroy()
 
     owned = nodes.select("node", "row", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = owned.groupBy("root").agg(F.min("row").alias("first"), F.sum("n").alias("n_class"))
@@ -256,12 +283,13 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows:
 
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs``, all columns, without near-duplicates: one row of each class."""
+    """The rows of ``docs``, all columns whatever their names, without near-duplicates: one row of each class."""
     found = near_duplicates(docs, **parameters).where("stays")
-    kept = common.stored(found.groupBy(F.col("doc_id").alias("_nd_id"), F.col("text_hash").alias("_nd_hash")).agg(F.count(F.lit(1)).alias("_nd_rows")), "kept")
-    keyed = docs.withColumn("_nd_key", F.xxhash64("text"))
-    out = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_nd_id")) & (F.col("_nd_key") == F.col("_nd_hash")))
-    if not kept.where("_nd_rows > 1").isEmpty():  # rows that repeat doc_id and text
-        once = out.where("_nd_rows > 1").dropDuplicates(["_nd_id", "_nd_hash"])
-        out = out.where("_nd_rows = 1").unionByName(once)
-    return out.select(*docs.columns)
+    kept = common.stored(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), "kept")
+    # The whole input row travels as one column, so its names meet no others.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    out = keyed.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))).select("row", "id", "hash", "n")
+    if not kept.where("n > 1").isEmpty():  # rows that repeat doc_id and text
+        once = out.where("n > 1").dropDuplicates(["id", "hash"])
+        out = out.where("n = 1").unionByName(once)
+    return out.select("row.*")
