@@ -7,15 +7,17 @@ Tiles are set greedily: all longest matches that overlap no tile yet are marked,
 the next shorter ones, down to ``seed`` words.  The share of the item's words under tiles
 is its coverage, so a passage whose sentences were reordered counts as a copied one does.
 
-The benchmark is the stated query set.  It is cut into blocks of about ``block_words``
-words by a hash of the item; each block goes to all tasks and the documents are scanned
-once a block.  No document moves.
+The benchmark is the stated query set.  Items that are equal word for word become one in
+Spark; the rest is cut into blocks whose words are counted first, at most ``block_words``
+each unless a single one of ``CELLS`` hash cells of items has more.  One block at a time
+goes to all tasks and the documents are scanned once a block; no document moves.
 
 Words are lower-case runs of letters and digits.  Defined results: items that are equal
-word for word count once, under their least item_id; items of fewer than ``seed`` words
-are not looked for, as so few words occur by chance; null or empty texts match nothing;
-very long texts are tiled whole; repeated rows give repeated rows; other columns are
-not read; an empty table on either side gives no rows.
+word for word count once, under their least item_id; an item of fewer than ``seed`` words
+is its own seed, found where all its words stand in a row; items without words and null
+or empty texts match nothing; very long texts are tiled whole; repeated rows give repeated
+rows; other columns are not read, and ``without_contaminated`` keeps them whatever their
+names; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.llm import minhash, tokens, toxicity
+from tallyloom.llm import common, minhash, tokens, toxicity
 
 HITS = "doc_id long, item_id long, coverage double, item_words int, tiles array<struct<doc_word:int,item_word:int,length:int>>"
 
@@ -47,9 +49,13 @@ def seeds_of(words: np.ndarray, size: int) -> np.ndarray:
     return minhash.shingles(words, size) if len(words) >= size else np.empty(0, np.uint64)
 
 
+#: Hash cells whose words are counted before the benchmark is cut into blocks.
+CELLS = 4096
+
+
 @dataclass
 class Block:
-    """Items of one block: their words in a row, and all seeds in order of hash."""
+    """Items of one block: their words in a row, and all seeds in order of hash; items shorter than a seed by length."""
 
     item_ids: list[int | None]
     words: np.ndarray
@@ -57,23 +63,42 @@ class Block:
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    #: For each length, (hashes in order, item of each).
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
-    def of(item_ids: list, texts: list, size: int) -> Block | None:
+    def of(item_ids: list, texts: list, size: int) -> Block:
         words, at = hashed_words(pa.array(texts, pa.string()))
-        first: dict[bytes, int] = {}
-        for k in sorted(range(len(item_ids)), key=lambda k: (item_ids[k] is None, item_ids[k] or 0)):
-            first.setdefault(words[at[k] : at[k + 1]].tobytes(), k)
-        kept = [k for k in sorted(first.values()) if at[k + 1] - at[k] >= size]
-        if not kept:
-            return None
-        own = [words[at[k] : at[k + 1]] for k in kept]
+        own = [words[a:b] for a, b in zip(at[:-1], at[1:])]
         begins = np.cumsum([0] + [len(x) for x in own])
-        hashes = np.concatenate([seeds_of(x, size) for x in own])
-        item = np.repeat(np.arange(len(own)), [len(x) - size + 1 for x in own])
-        place = np.concatenate([np.arange(len(x) - size + 1) for x in own])
+        long = [k for k, x in enumerate(own) if len(x) >= size]
+        gather = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        hashes = gather([seeds_of(own[k], size) for k in long], np.uint64)
+        item = gather([np.full(len(own[k]) - size + 1, k) for k in long], np.int64)
+        place = gather([np.arange(len(own[k]) - size + 1) for k in long], np.int64)
         order = np.argsort(hashes, kind="stable")
-        return Block([item_ids[k] for k in kept], np.concatenate(own), begins, hashes[order], item[order], place[order])
+        short = {}
+        for n in {len(x) for x in own if 0 < len(x) < size}:
+            mine = np.array([k for k, x in enumerate(own) if len(x) == n])
+            keys = np.array([minhash.shingles(own[k], n)[0] for k in mine], np.uint64)
+            short[n] = keys[np.argsort(keys)], mine[np.argsort(keys)]
+        return Block(item_ids, words, begins, hashes[order], item[order], place[order], short)
+
+    def words_of(self, item: int) -> np.ndarray:
+        return self.words[self.begins[item] : self.begins[item + 1]]
+
+    def short_hits(self, words: np.ndarray, at: np.ndarray):
+        """(document, place, item) of items shorter than a seed in texts that begin at ``at``, each once a text."""
+        for n, (keys, items) in self.short.items():
+            grams = seeds_of(words, n)
+            low, high = np.searchsorted(keys, grams, "left"), np.searchsorted(keys, grams, "right")
+            met = set()
+            for i in np.flatnonzero(high > low).tolist():
+                d = int(np.searchsorted(at, i, "right")) - 1
+                for own in items[low[i] : high[i]].tolist():
+                    if i + n <= at[d + 1] and (d, own) not in met and np.array_equal(words[i : i + n], self.words_of(own)):
+                        met.add((d, own))
+                        yield d, i - int(at[d]), own
 
 
 def tile(i: np.ndarray, j: np.ndarray, n_doc: int, n_item: int, size: int) -> list[tuple[int, int, int]]:
@@ -118,7 +143,7 @@ def matches(words: np.ndarray, block: Block, least: float, size: int) -> Iterato
     edges = np.flatnonzero(np.append(True, np.diff(item) != 0)) if len(item) else []
     for a, b in zip(edges, [*edges[1:], len(item)]):
         own = int(item[a])
-        total = int(block.begins[own + 1] - block.begins[own])
+        total = len(block.words_of(own))
         touched = np.zeros(total + 1, np.int64)
         places = np.unique(j[a:b])
         np.add.at(touched, places, 1)
@@ -140,41 +165,67 @@ def _scan(shared, least: float, size: int):
                 words, at = hashed_words(batch.column(1))
                 ids = batch.column(0).to_pylist()
                 # Most texts share nothing: one lookup of the whole slice finds those that may.
-                grams = seeds_of(words, size)
+                grams = seeds_of(words, size) if len(block.hashes) else np.empty(0, np.uint64)
                 place = np.searchsorted(block.hashes, grams)
-                hit = np.flatnonzero(block.hashes[np.minimum(place, len(block.hashes) - 1)] == grams)
+                hit = np.flatnonzero(block.hashes[np.minimum(place, len(block.hashes) - 1)] == grams) if len(grams) else grams.astype(np.int64)
                 rows = []
                 for d in np.unique(np.searchsorted(at, hit, "right") - 1).tolist():
                     for own, coverage, tiles in matches(words[at[d] : at[d + 1]], block, least, size):
-                        rows.append((ids[d], block.item_ids[own], coverage, int(block.begins[own + 1] - block.begins[own]), [dict(zip(("doc_word", "item_word", "length"), t)) for t in tiles]))
+                        rows.append((ids[d], block.item_ids[own], coverage, len(block.words_of(own)), [dict(zip(("doc_word", "item_word", "length"), t)) for t in tiles]))
+                for d, i, own in block.short_hits(words, at):
+                    n = len(block.words_of(own))
+                    rows.append((ids[d], block.item_ids[own], 1.0, n, [{"doc_word": i, "item_word": 0, "length": n}]))
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "coverage", "item_words", "tiles"])
 
     return run
 
 
-def _blocks(benchmark: DataFrame, seed: int, block_words: int) -> Iterator[Block]:
-    """Blocks of ``(item_id, text)`` items, each of about ``block_words`` words."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_words))
-    for b in range(n_blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b).collect()
-        block = Block.of([r["item_id"] for r in own], [r["text"] for r in own], seed)
-        if block is not None:
-            yield block
+def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in tokens.slices(whole, 1):
+            words, at = toxicity.words_of(batch.column(1))
+            own = [" ".join(words.slice(int(a), int(b - a)).to_pylist()) for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.string()), pa.array(np.diff(at).astype(np.int64))], ["item_id", "words", "n"])
+
+
+def _blocks(benchmark: DataFrame, seed: int, block_words: int) -> Iterator[tuple[Block, bool]]:
+    """Blocks of ``(item_id, text)`` items of bounded size, and whether each is the last."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_normal, "item_id long, words string, n long").where("n > 0")
+    items = items.groupBy("words", "n").agg(F.min("item_id").alias("item_id")).withColumn("cell", F.pmod(F.xxhash64("words"), F.lit(CELLS)).cast("int"))
+    items = common.stored(items, "benchmark")
+    # At most a row for each cell passes to the driver before the blocks do, one at a time.
+    counts = sorted((r["cell"], r["n"]) for r in items.groupBy("cell").agg(F.sum("n").alias("n")).collect())
+    ranges: list[list[int]] = []
+    for cell, n in counts:
+        if ranges and ranges[-1][2] + n <= block_words:
+            ranges[-1][1:] = [cell, ranges[-1][2] + n]
+        else:
+            ranges.append([cell, cell, n])
+    for k, (low, high, _) in enumerate(ranges):
+        own = items.where(F.col("cell").between(low, high)).select("item_id", "words").collect()
+        own.sort(key=lambda r: r["words"])
+        yield Block.of([r["item_id"] for r in own], [r["words"] for r in own], seed), k == len(ranges) - 1
+    common.forget(items)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed: int = 5, block_words: int = 2_000_000) -> DataFrame:
     """A row for each document ``(doc_id, text)`` and item ``(item_id, text)`` that it covers by ``least``."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = [rows.mapInArrow(_scan(spark.sparkContext.broadcast(b), least, seed), HITS) for b in _blocks(benchmark, seed, block_words)]
+    found = []
+    for block, last in _blocks(benchmark, seed, block_words):
+        shared = spark.sparkContext.broadcast(block)
+        hits = rows.mapInArrow(_scan(shared, least, seed), HITS)
+        if not last:  # only one block is held at a time
+            hits = common.stored(hits, "hits")
+            shared.destroy()
+        found.append(hits)
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], HITS)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed: int = 5, block_words: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs``, all columns, that cover no item by ``least``; one filter a block, in one scan."""
+    """The rows of ``docs``, all columns, that cover no item by ``least``; a scan a block, each of what the one before left."""
     at = docs.columns.index("text")
 
     def clean(shared):
@@ -190,6 +241,14 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0
 
         return run
 
-    for block in _blocks(benchmark, seed, block_words):
-        docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    behind = None
+    for block, last in _blocks(benchmark, seed, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.mapInArrow(clean(shared), docs.schema)
+        if not last:  # only one block is held at a time
+            docs = common.stored(docs, "uncontaminated")
+            shared.destroy()
+            if behind is not None:
+                common.forget(behind)
+            behind = docs
     return docs
