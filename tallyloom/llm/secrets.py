@@ -5,7 +5,8 @@ characters that a first-order character model of random strings explains better
 one of ordinary identifiers: the sum of log-likelihood ratios of the character pairs
 must exceed ``threshold``.  Both models are trained here from labelled samples: random
 strings are encoded digests of numbers, ordinary identifiers are words, and words
-joined as identifiers are, of at most ``sample_docs`` documents.
+joined as identifiers are, of a sample of about ``sample_docs`` distinct texts chosen by
+their hashes, so neither the order nor the partitions of rows change a model.
 
 Only functions inside the JVM are used.  Matches are found by surrounding each with a
 mark that no text holds (a mark in the text is first replaced by another character of
@@ -13,8 +14,8 @@ the same length that no pattern takes), cutting there and adding up lengths; so
 positions are code points, as in ``length``.
 
 Defined results: a null or empty text has no spans; very long texts are searched
-whole; repeated rows give repeated rows; other columns are not read; an empty table
-gives no rows (and untrained, uniform models).
+whole; repeated rows give repeated rows; other columns are not read and ``cover`` keeps
+them whatever their names; an empty table gives no rows (and untrained, uniform models).
 """
 
 from __future__ import annotations
@@ -75,7 +76,9 @@ def labelled_samples(docs: DataFrame, sample_docs: int, random_strings: int) ->
     numbers = spark.range(random_strings)
     random = numbers.select(F.explode(F.array(F.base64(F.unhex(digest)), F.substring(digest, 1, 40), F.md5(F.col("id").cast("string")), F.translate(F.base64(F.unhex(digest)), "+/", "-_"))).alias("s"))
     total = docs.count()
-    sample = docs.select("text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(max(1, math.ceil((1 << 20) * min(1.0, sample_docs / max(1, total)))))).limit(sample_docs)
+    least = max(1, math.ceil((1 << 20) * min(1.0, sample_docs / max(1, total))))
+    # Equal texts count once, so a text that a third of all rows repeat is one text of the sample.
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(least)).distinct()
     words = sample.select(F.filter(F.split("text", "[^A-Za-z]+"), lambda w: F.length(w) >= 2).alias("w")).where(F.size("w") >= 2)
     joined = F.transform("w", lambda w, i: F.concat(w, F.element_at(F.array(F.lit("_"), F.lit("-"), F.lit("/"), F.lit("")), (i % 4 + 1).cast("int")), F.when(i % 4 == 3, F.initcap(F.coalesce(F.get("w", i + 1), w))).otherwise(F.coalesce(F.get("w", i + 1), w))))
     # Counted identifiers (item_12, v2) are ordinary too.
@@ -99,29 +102,33 @@ def train(docs: DataFrame, sample_docs: int = 2000, random_strings: int = 4000,
     return MarkovModels(ratios)
 
 
-def _spans(docs: DataFrame, models: MarkovModels, threshold: float) -> DataFrame:
-    """``docs``, all columns, with ``_spans``."""
-    safe = docs.withColumn("_safe", F.translate(F.coalesce("text", F.lit("")), MARK, STAND_IN))
+def _spans(rows: DataFrame, models: MarkovModels, threshold: float) -> DataFrame:
+    """``rows`` (row, text) with ``spans``."""
+    safe = rows.select("row", "text", F.translate(F.coalesce("text", F.lit("")), MARK, STAND_IN).alias("safe"))
     value = lambda s: F.length(F.regexp_extract(s, ASSIGN, 2)) >= 6
     always = lambda s: F.lit(True)
     random = lambda s: s.rlike("[0-9]") & s.rlike("[A-Za-z]") & (models.score(s) > threshold)
-    base = safe.select(*docs.columns, F.concat(_matches("_safe", "assign", value), _matches("_safe", "access", always), _matches("_safe", "hex", always)).alias("_base"), _matches("_safe", "random", random).alias("_more"))
-    own = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (m["start"] < b["stop"]) & (b["start"] < m["stop"])))
-    return base.select(*docs.columns, F.array_sort(F.concat("_base", own)).alias("_spans"))
+    found = safe.select("row", "text", F.concat(_matches("safe", "assign", value), _matches("safe", "access", always), _matches("safe", "hex", always)).alias("base"), _matches("safe", "random", random).alias("more"))
+    own = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (m["stop"] <= b["stop"])))
+    return found.select("row", "text", F.array_sort(F.concat("base", own)).alias("spans"))
 
 
 def find(docs: DataFrame, models: MarkovModels, threshold: float = 12.0) -> DataFrame:
     """doc_id, text and ``spans``: array of (start, kind, stop) in order of start, then kind.
 
-    A random run counts only if it has a letter and a digit and overlaps no base span.
+    A random run counts only if it has a letter and a digit and does not lie within one base
+    span; one that reaches beyond a base span is reported whole beside it.
     """
-    return _spans(docs.select("doc_id", "text"), models, threshold).withColumnRenamed("_spans", "spans")
+    rows = docs.select(F.col("doc_id").alias("row"), "text")
+    return _spans(rows, models, threshold).select(F.col("row").alias("doc_id"), "text", "spans")
 
 
 def cover(docs: DataFrame, models: MarkovModels, threshold: float = 12.0) -> DataFrame:
-    """The rows of ``docs``, all columns, with every span of ``text`` masked."""
-    found = _spans(docs, models, threshold)
-    return found.withColumn("text", masked(F.col("text"), F.col("_spans"))).select(*docs.columns)
+    """The rows of ``docs``, all columns whatever their names, with every span of ``text`` masked."""
+    # The whole input row travels as one column, so its names meet no others.
+    found = _spans(docs.select(F.struct(*docs.columns).alias("row"), "text"), models, threshold)
+    text = masked(F.col("text"), F.col("spans"))
+    return found.select(*(text.alias("text") if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def joined(spans: Column) -> Column:
