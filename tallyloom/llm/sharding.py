@@ -5,7 +5,9 @@ A round counts exact bytes and rows below all candidate boundaries that divide t
 intervals still open around the wanted splitters (a radix digit of the key per
 round), and each splitter settles as soon as a boundary lies within ``tolerance`` of
 its share.  So rounds read a narrow table of keys and sizes only, and the driver
-holds one histogram of bounded size.  Then one range exchange orders the rows by key.
+holds one histogram of bounded size.  Every shard has ``parts`` such intervals, found in
+the same rounds with a looser tolerance; one exchange deals the rows by them and sorts
+each, so no task holds a whole shard and nothing is sampled.
 
 Rows of equal groups are neighbours and share a shard unless the group is so large
 that the law of equal sizes needs it cut; the second hash then gives the boundaries.
@@ -14,7 +16,8 @@ partition, plus one offset per partition and shard.
 
 Defined results: a null group or id hashes like any value and a null size counts as
 ``extra_bytes`` only; rows equal in group and id are indivisible neighbours; an empty
-table gives no rows; input columns named size, shard or slot give way to the result's.
+table gives no rows; input columns named size, shard or slot, in any case, give way to the
+result's, and other columns stay whatever their names.
 """
 
 from __future__ import annotations
@@ -37,21 +40,22 @@ def _key(*columns) -> Column:
 class _Interval:
     """Where a splitter still may lie: all keys that share the digits seen so far."""
 
-    def __init__(self, target: float):
-        self.target, self.below = target, 0
+    def __init__(self, target: float, allowed: float):
+        self.target, self.allowed, self.below = target, allowed, 0
         self.word, self.depth, self.prefix = 0, 0, 0
         self.first: int | None = None
         self.found: tuple[int, int] | None = None
 
 
-def splitters(keys: DataFrame, n_shards: int, tolerance: float) -> list[tuple[int, int]]:
-    """Boundaries (first hash, second hash) of shards 1 to n-1; rows at or above belong there.
+def splitters(keys: DataFrame, n_shards: int, tolerance: float, parts: int = 1, loose: float = 0.25) -> list[tuple[int, int]]:
+    """Boundaries (first hash, second hash) of intervals 1 to n_shards * parts - 1; rows at or above belong there.
 
-    ``keys`` has columns _hs_a, _hs_b (63-bit keys) and _hs_size.
+    Every ``parts``-th one begins a shard and lies within ``tolerance`` of its share, the
+    others within ``loose`` of an interval.  ``keys`` has columns a, b (63-bit keys) and size.
     """
-    total = keys.agg(F.sum("_hs_size")).first()[0] or 0
-    allowed = tolerance * total / n_shards
-    all_open = [_Interval(total * j / n_shards) for j in range(1, n_shards)]
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    n = n_shards * parts
+    all_open = [_Interval(total * j / n, total * (loose / n if j % parts else tolerance / n_shards)) for j in range(1, n)]
     while open_ := [x for x in all_open if x.found is None]:
         wanted = None
         groups: dict[tuple, list[_Interval]] = {}
@@ -59,25 +63,25 @@ def splitters(keys: DataFrame, n_shards: int, tolerance: float) -> list[tuple[in
             groups.setdefault((x.word, x.depth, x.first, x.prefix), []).append(x)
         counts: dict[tuple, list] = {}
         for word, depth in {(g[0], g[1]) for g in groups}:
-            key = F.col("_hs_b" if word else "_hs_a")
+            key = F.col("b" if word else "a")
             used = sum(WIDTHS[:depth])
             left = 63 - used - WIDTHS[depth]
             mine = [g for g in groups if g[:2] == (word, depth)]
             head = F.shiftright(key, 63 - used) if used else F.lit(0).cast("long")
-            lead = F.col("_hs_a") if word else F.lit(-1).cast("long")
+            lead = F.col("a") if word else F.lit(-1).cast("long")
             wanted = [(lead == F.lit(-1 if g[2] is None else g[2]).cast("long")) & (head == F.lit(g[3]).cast("long")) for g in mine]
-            rows = keys.where(reduce(lambda a, b: a | b, wanted)).groupBy(lead.alias("lead"), head.alias("head"), F.shiftright(key, left).bitwiseAND((1 << WIDTHS[depth]) - 1).alias("digit")).agg(F.sum("_hs_size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+            rows = keys.where(reduce(lambda a, b: a | b, wanted)).groupBy(lead.alias("lead"), head.alias("head"), F.shiftright(key, left).bitwiseAND((1 << WIDTHS[depth]) - 1).alias("digit")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
             # At most 2^width rows for each open splitter.
             for r in rows.collect():
                 counts.setdefault((word, depth, None if r["lead"] == -1 else r["lead"], r["head"]), []).append((r["digit"], r["bytes"], r["rows"]))
         for group, members in groups.items():
             cells = sorted(counts.get(group, []))
             for x in members:
-                _settle(x, cells, allowed)
+                _settle(x, cells)
     return [x.found for x in all_open]
 
 
-def _settle(x: _Interval, cells: list[tuple[int, int, int]], allowed: float) -> None:
+def _settle(x: _Interval, cells: list[tuple[int, int, int]]) -> None:
     width = WIDTHS[x.depth]
     left = 63 - sum(WIDTHS[: x.depth + 1])
 
@@ -93,9 +97,9 @@ def _settle(x: _Interval, cells: list[tuple[int, int, int]], allowed: float) ->
             below += size
             continue
         low, high = x.target - below, below + size - x.target
-        if low <= allowed and low <= high:
+        if low <= x.allowed and low <= high:
             x.found = boundary(digit)
-        elif high <= allowed:
+        elif high <= x.allowed:
             x.found = boundary(digit + 1)
         elif rows == 1 or (x.word and x.depth == len(WIDTHS) - 1):
             x.found = boundary(digit if low <= high else digit + 1)
@@ -107,28 +111,31 @@ def _settle(x: _Interval, cells: list[tuple[int, int, int]], allowed: float) ->
     x.found = boundary(cells[-1][0] + 1) if cells else (0, 0)
 
 
-def shard(df: DataFrame, group: str, row_id: str, n_shards: int = 16, extra_bytes: int = 1, tolerance: float = 0.001) -> DataFrame:
+def _number(bounds: list[tuple[int, int]]) -> Column:
+    """How many boundaries lie at or below the row's key (a, b)."""
+    bounds = [x for x in bounds if x[0] < SPAN]  # others lie above all keys
+    pairs = F.lit([x for x, _ in bounds]), F.lit([y for _, y in bounds])
+    below = F.zip_with(*pairs, lambda x, y: (x < F.col("a")) | ((x == F.col("a")) & (y <= F.col("b"))))
+    return F.size(F.filter(below, lambda x: x)) if bounds else F.lit(0)
+
+
+def shard(df: DataFrame, group: str, row_id: str, n_shards: int = 16, extra_bytes: int = 1, tolerance: float = 0.001, parts: int = 16) -> DataFrame:
     """Deal rows into ``n_shards`` shards of near-equal UTF-8 bytes of ``group``.
 
     Returns the rows with ``size`` (bytes plus ``extra_bytes``), ``shard`` and ``slot``,
     its place in the shard from 0.
     """
-    sized = df.withColumns({"_hs_size": F.coalesce(F.octet_length(group), F.lit(0)).cast("long") + extra_bytes, "_hs_a": _key(group), "_hs_b": _key(row_id)})
-    keys = common.stored(sized.select("_hs_a", "_hs_b", "_hs_size"), "shard-keys")
-    bounds = splitters(keys, n_shards, tolerance)
-    a, b = F.col("_hs_a"), F.col("_hs_b")
-
-    def at_or_above(first: int, second: int) -> Column:
-        if first >= SPAN:
-            return F.lit(False)
-        return (a >= F.lit(first)) if second == 0 else (a > F.lit(first)) | ((a == F.lit(first)) & (b >= F.lit(second)))
-
-    number = reduce(lambda x, y: x + y, (at_or_above(*x).cast("int") for x in bounds), F.lit(0))
-    dealt = sized.repartitionByRange(a, b).sortWithinPartitions(a, b).withColumns({"_hs_shard": number, "_hs_row": F.monotonically_increasing_id()})
-    dealt = common.stored(dealt, "shards").withColumns({"_hs_part": F.shiftright("_hs_row", 33), "_hs_place": F.col("_hs_row").bitwiseAND((1 << 33) - 1)})
-    # A row for each partition of the exchange and shard in it, whatever the input.
-    parts = dealt.groupBy("_hs_part", "_hs_shard").agg(F.min("_hs_place").alias("_hs_first"), F.count(F.lit(1)).alias("_hs_n"))
-    ahead = parts.select("_hs_part", "_hs_shard", (F.sum("_hs_n").over(Window.partitionBy("_hs_shard").orderBy("_hs_part")) - F.col("_hs_n") - F.col("_hs_first")).alias("_hs_ahead"))
-    out = dealt.join(F.broadcast(ahead), ["_hs_part", "_hs_shard"])
-    own = [c for c in df.columns if c not in ("size", "shard", "slot")]
-    return out.select(*own, F.col("_hs_size").alias("size"), F.col("_hs_shard").alias("shard"), (F.col("_hs_place") + F.col("_hs_ahead")).alias("slot"))
+    # The whole input row travels as one column, so its names meet no others.
+    own = [c for c in df.columns if c.lower() not in ("size", "shard", "slot")]
+    keyed = df.select(F.struct(*own).alias("row"), (F.coalesce(F.octet_length(group), F.lit(0)).cast("long") + extra_bytes).alias("size"), _key(group).alias("a"), _key(row_id).alias("b"))
+    keys = common.stored(keyed.select("a", "b", "size"), "shard-keys")
+    bounds = splitters(keys, n_shards, tolerance, parts)
+    common.forget(keys)
+    interval = _number(bounds)
+    dealt = keyed.withColumn("interval", interval).repartition("interval").sortWithinPartitions("interval", "a", "b")
+    dealt = dealt.select("row", "size", F.floor(F.col("interval") / parts).cast("int").alias("shard"), F.monotonically_increasing_id().alias("at"))
+    dealt = common.stored(dealt, "shards").select("row", "size", "shard", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("place"))
+    # A row for each partition of the exchange and interval in it, whatever the input: n_shards * parts at most.
+    held = dealt.groupBy("part", "shard").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    ahead = held.select("part", "shard", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n") - F.col("first")).alias("ahead"))
+    return dealt.join(F.broadcast(ahead), ["part", "shard"]).select("row.*", "size", "shard", (F.col("place") + F.col("ahead")).alias("slot"))
