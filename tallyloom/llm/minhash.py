@@ -134,6 +134,7 @@ def _signer(bands: int, rows: int, size: int, least: float):
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.retire()
         for whole in batches:
             for batch in tokens.slices(whole, 1):
                 words, at = word_hashes(batch.column(1))

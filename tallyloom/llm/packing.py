@@ -76,9 +76,9 @@ class BestFit:
             yield from bins
 
 
-def _packer(path: str, end_id: int, capacity: int, open_bins: int, lookahead: int):
+def _packer(path: str, end_id: int, capacity: int, open_bins: int, lookahead: int, known_chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path).encode
+        encode = tokens.encoder(path, known_chunks).encode
         packer = BestFit(capacity, open_bins)
         number = TaskContext.get().partitionId() << 33
         block: list[tuple] = []
@@ -130,13 +130,13 @@ def _packer(path: str, end_id: int, capacity: int, open_bins: int, lookahead: in
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 256, lookahead: int = 1024, min_rows_per_task: int = 2000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 256, lookahead: int = 1024, min_rows_per_task: int = 2000, known_chunks: int = 600_000) -> DataFrame:
     """Pack documents ``(doc_id, text)`` into sequences of at most ``capacity`` ids.
 
     One row per piece with its ids (little-endian unsigned 32 bit), the number of its
-    sequence and its place there.  Only documents longer than ``capacity`` are cut;
+    sequence and its place there; a worker remembers the ids of ``known_chunks``.  Only documents longer than ``capacity`` are cut;
     their first piece may be shorter.
     """
     rows = docs.select("doc_id", "text")
     parts = max(1, rows.count() // min_rows_per_task)
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).coalesce(parts).mapInArrow(_packer(tokenizer_path, end_id, capacity, open_bins, lookahead), SCHEMA)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).coalesce(parts).mapInArrow(_packer(tokenizer_path, end_id, capacity, open_bins, lookahead, known_chunks), SCHEMA)

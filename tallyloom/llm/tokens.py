@@ -155,13 +155,20 @@ except (OSError, AttributeError):  # another C library: its heap stays as it is
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, max_entries: int = 1_000_000) -> ChunkEncoder:
     """The worker's encoder for a tokenizer file; kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+    if path not in _encoders or _encoders[path].max_entries != max_entries:
+        _encoders[path] = ChunkEncoder(path, max_entries)
     return _encoders[path]
 
 
+def retire() -> None:
+    """Drop the worker's encoders: a task of another operator has no use for the chunks they know."""
+    if _encoders:
+        _encoders.clear()
+        release()
+
+
 def release() -> None:
     """Give freed memory back: workers stay between tasks, and their heaps count as used."""
     pa.default_memory_pool().release_unused()

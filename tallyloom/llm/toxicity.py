@@ -122,8 +122,9 @@ def _features(w: str) -> list[str]:
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each token by fold and class, added up in each slice; columns text, toxic, fold."""
+    tokens.retire()
     for whole in batches:
-        for batch in tokens.slices(whole, 0):
+        for batch in tokens.slices(whole, 0, 1_000_000):
             values, at = words_of(batch.column(0))
             coded = values.dictionary_encode()
             names: dict[str, int] = {}
@@ -199,6 +200,7 @@ def _word_scores(values: pa.Array, at: np.ndarray, model: Model, known: dict[str
 
 def _scan(model: Model, significance: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.retire()
         known: dict[str, float] = {}
         for whole in batches:
             for batch in tokens.slices(whole, 1):
@@ -236,6 +238,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with the least hashes of their shingles under three hash functions."""
     from tallyloom.llm import minhash
 
+    tokens.retire()
     for whole in batches:
         for batch in tokens.slices(whole, 0):
             words, at = minhash.word_hashes(batch.column(0))
