@@ -6,21 +6,25 @@ such stream is folded into a union-free expression and aligned with the host's w
 so far (:mod:`wrappers`).  Wrappers of tasks are merged ``fan_in`` at a time, so a host
 that holds a third of all pages is learnt by all tasks.
 
-Extraction: a page's stream is aligned with its host's wrapper, which says for every text
-of the page whether its slot belongs to the article.  A slot's verdict comes from its
-place in the wrapper: elements and names that mark menus, headers, footers, sidebars,
-notices, adverts, forms or comments (ids of headings and lines mark nothing, and inside an
-article the wrapper decides on names that may be its own); then the article or main element if the wrapper
-has one, or else the container with most of the host's varying, unlinked text, without
-strings that are alike on five different page contents or more (copies of a page count
-once) and on all pages.  Both the alignment and the verdicts are kept for
-each host and stream of labels.
+Extraction: a page's stream is aligned with its host's wrapper, which gives every text of
+the page its slot.  The article is the innermost element that holds half or more of what
+surrounds it, counting the text that varies over the host's pages and is not linked (each
+path with its mass on all pages of the host; an article or main element counts fourfold),
+or the article or main element around that.  Within it, elements whose slots are all
+constant go, if they are a small part of it, and so do constant slots where a page has no
+article or main element: constant means one string on all pages of the host and on
+``wrappers.SEEN`` different page contents at least, so copies of a page make nothing constant.
+
+Elements that never hold an article's text (menus, forms, scripts ...) count for nothing.
+Class and id names are evidence beside the wrapper: parts under names of menus, headers,
+footers, sidebars, notices, adverts, forms or comments go, but names that may be the
+article's own go only if most of their text is constant or linked; ids of headings and
+lines mark nothing.  Plans are kept for each host and stream of labels.
 
 Text of one block is put together, references decoded, white space squeezed; blocks are
 joined by newlines.  Defined results: a null or empty page has an empty text; a null or
-unusual URL belongs to one host of that name; very long pages are read whole (beyond
-``most`` wrapper nodes, slots are judged by their own path); repeated rows give repeated
-rows; other columns are not read; an empty table gives no rows.
+unusual URL belongs to one host of that name; very long pages are read whole; repeated
+rows give repeated rows; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ import html as html_module
 import pickle
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import pandas as pd
@@ -119,7 +124,7 @@ def own_parts(nodes: list[W.Node]) -> dict[tuple[str, ...], bool]:
                 name = t.path[k - 1].partition(".")[0]
                 below = {x.partition(".")[0] for x in t.path[k:]}
                 varies = t.value is None or len(t.seen) < W.SEEN and (name == "section" or name in LINES)
-                prose = varies and "a" not in below and DROPPED.isdisjoint(below)
+                prose = varies and 2 * t.linked < t.size and "a" not in below and DROPPED.isdisjoint(below)
                 mass[t.path[:k]] = mass.get(t.path[:k], 0) + (t.size if prose else -t.size)
     return {path: m > 0 for path, m in mass.items()}
 
@@ -130,47 +135,76 @@ def _is_main(label: str) -> bool:
     return name in ("article", "main") or "main" in names and name in ("div", "section") or "articlebody" in names
 
 
-def region(wrapper: list[W.Node], parts: dict) -> tuple[str, ...] | None:
-    """Where a wrapper without article or main element has its text: the path of a container.
+def constant(slot: W.Node) -> bool:
+    """Whether a slot has one string on all pages of the host, of several different contents."""
+    return slot.value is not None and len(slot.seen) >= W.SEEN
 
-    An empty path says that such an element exists.
-    """
-    own = [t for t in W.texts(wrapper) if not boiler(t.path, parts)]
-    if any(_is_main(x) for t in own for x in t.path):
-        return ()
-    mass: dict[tuple[str, ...], int] = {}
-    varies = any(t.value is None for t in own)
-    for t in own:
-        linked = any(x.partition(".")[0] == "a" for x in t.path)
-        if not linked and (t.value is None or not varies):
-            for k in range(1, len(t.path) + 1):
-                mass[t.path[:k]] = mass.get(t.path[:k], 0) + t.size
-    best: tuple[str, ...] = ()
-    while True:
-        inner = [(m, p) for p, m in mass.items() if len(p) == len(best) + 1 and p[: len(best)] == best and p[-1].partition(".")[0] in ("html", "body", "div", "section", "td", "table", "tbody", "tr", "center", "blockquote")]
-        if not inner or max(inner)[0] * 2 < mass.get(best, 0):
-            return best or None
-        best = max(inner)[1]
 
+@dataclass
+class Line:
+    """A page's line of text and its slot in the host's wrapper."""
 
-def verdict(slot: W.Node, where: tuple[str, ...] | None, parts: dict, pages_for_template: int = W.SEEN) -> bool:
-    """Whether a slot's text belongs to the article."""
-    if boiler(slot.path, parts):
-        return False
-    if where == ():
-        return any(_is_main(x) for x in slot.path)
-    if where and slot.path[: len(where)] != where:
-        return False
-    return slot.value is None or len(slot.seen) < pages_for_template
+    unit: W.Unit
+    slot: W.Node
 
+    def name(self, k: int) -> str:
+        return self.unit.path[k].partition(".")[0]
 
-def _short(text: str) -> str:
-    return text if len(text) <= 64 else blake2b(text.encode("utf-8", "replace"), digest_size=12).hexdigest()
 
+def masses(wrapper: list[W.Node]) -> dict[tuple[str, ...], int]:
+    """Text of all pages of a host that varies and is not linked, by path; an article or main element counts fourfold."""
+    out: dict[tuple[str, ...], int] = {}
+    for t in W.texts(wrapper):
+        if not constant(t) and 2 * t.linked <= t.size:
+            out[t.path] = out.get(t.path, 0) + (t.size - t.linked) * (4 if any(_is_main(x) for x in t.path) else 1)
+    return out
 
-def signature(parts: list) -> str:
-    """A stream's labels; texts of white space only leave no mark."""
-    return " ".join("#" if p[0] == W.TEXT else p[1] for p in parts)
+
+def article(lines: list[Line], mass: dict[tuple[str, ...], int]) -> list[Line]:
+    """The lines that belong to the article, of those that no name or element rules out."""
+    if not any(mass.get(x.unit.path) for x in lines):  # nothing varies: all text counts
+        mass = {x.unit.path: max(1, len(x.unit.text) - x.unit.linked) for x in lines}
+    depth, own = 0, lines
+    while True:
+        inner: dict[int, set] = {}
+        for x in own:
+            deeper = len(x.unit.opened) > depth and x.name(depth) not in LINES
+            inner.setdefault(x.unit.opened[depth] if deeper else -1, set()).add(x.unit.path)
+        weight = {element: sum(mass.get(p, 0) for p in paths) for element, paths in inner.items()}
+        best = max(weight, key=weight.get, default=-1)
+        if best < 0 or 2 * weight[best] < sum(weight.values()):
+            break
+        own, depth = [x for x in own if len(x.unit.opened) > depth and x.unit.opened[depth] == best], depth + 1
+    around = own[0].unit.opened[:depth] if own else ()
+    path = own[0].unit.path[:depth] if own else ()
+    # Back to the article or main element around it, or to the element that has its heading.
+    mains = [k for k, x in enumerate(path, 1) if _is_main(x)]
+    within = lambda k: [x for x in lines if x.unit.opened[:k] == around[:k]]
+    headed = [k for k in range(1, depth) if path[k - 1].partition(".")[0] not in ("html", "body") and any(len(x.unit.path) > k and re.fullmatch("h[1-6]|hgroup", x.name(k)) for x in within(k))]
+    if mains:
+        own = within(mains[0])
+    elif headed:
+        own = within(headed[0])
+    if not mains and any(_is_main(x) for line in own for x in line.unit.path):
+        own = [line for line in own if any(_is_main(x) for x in line.unit.path)]
+        mains = [1]
+    depth = mains[0] if mains else headed[0] if headed else depth
+    if not mains:
+        return [x for x in own if not constant(x.slot)] or own
+    # Elements inside whose slots are all constant, if small.
+    total = sum(len(x.unit.text) for x in own)
+    size: dict[int, int] = {}
+    for x in own:
+        for k in range(depth, len(x.unit.opened)):
+            if x.name(k) not in LINES:
+                size[x.unit.opened[k]] = (size.get(x.unit.opened[k], 0) + len(x.unit.text)) if constant(x.slot) else total
+    fixed = {element for element, n in size.items() if 4 * n < total and all(constant(x.slot) for x in own if element in x.unit.opened)}
+    return [x for x in own if fixed.isdisjoint(x.unit.opened)]
+
+
+def signature(units: list[W.Unit]) -> str:
+    """A stream's labels and where its lines stand."""
+    return " ".join(u.label for u in units)
 
 
 def tokens_of(html: str) -> list:
@@ -178,20 +212,17 @@ def tokens_of(html: str) -> list:
     return [p for p in W.stream(html) if p[0] == W.TAG or not p[3].isspace() or p[2] and p[2][-1].partition(".")[0] in W.INLINE | {"p"}]
 
 
-def content(parts: list) -> int:
+def content(units: list[W.Unit]) -> int:
     """Digest of a page's texts."""
-    own = "\0".join(p[3] for p in parts if p[0] == W.TEXT)
+    own = "\0".join(u.text for u in units if u.kind == W.TEXT)
     return int.from_bytes(blake2b(own.encode("utf-8", "replace"), digest_size=8).digest(), "big")
 
 
-def expression(parts: list) -> list[W.Node]:
-    nodes, place, seen = [], 0, frozenset([content(parts)])
-    for kind, label, path, text, _ in parts:
-        node = W.leaf(kind, label, path, text, place)
-        if kind == W.TEXT:
-            node.value, node.seen = _short(text), seen
-        nodes.append(node)
-        place += kind == W.TEXT
+def expression(units: list[W.Unit]) -> list[W.Node]:
+    nodes, seen = [u.node() for u in units], frozenset([content(units)])
+    for node in nodes:
+        if node.kind == W.TEXT:
+            node.value, node.seen = W.short(node.value), seen
     return W.fold(nodes)
 
 
@@ -203,30 +234,30 @@ class HostLearner:
         self.wrapper: list[W.Node] | None = None
         self.most_streams = most_streams
 
-    def add(self, parts: list) -> None:
-        held = self.seen.get(mark := signature(parts))
-        own = [p[3] for p in parts if p[0] == W.TEXT]
+    def add(self, units: list[W.Unit]) -> None:
+        held = self.seen.get(mark := signature(units))
+        own = [u for u in units if u.kind == W.TEXT]
         if held is None:
             if len(self.seen) >= self.most_streams:
                 self.settle()
-            self.seen[mark] = [parts, [_short(t) for t in own], [len(t) for t in own], frozenset([content(parts)])]
+            self.seen[mark] = [units, [W.short(u.text) for u in own], [len(u.text) for u in own], [u.linked for u in own], frozenset([content(units)])]
             return
-        held[3] = W.together(held[3], frozenset([content(parts)]))
-        for k, t in enumerate(own):
-            held[2][k] += len(t)
-            if held[1][k] is not None and held[1][k] != _short(t):
+        held[4] = W.together(held[4], frozenset([content(units)]))
+        for k, u in enumerate(own):
+            held[2][k] += len(u.text)
+            held[3][k] += u.linked
+            if held[1][k] is not None and held[1][k] != W.short(u.text):
                 held[1][k] = None
 
     def settle(self) -> None:
         """Streams seen so far go into the wrapper."""
-        for parts, values, sizes, seen in self.seen.values():
-            nodes, place = [], 0
-            for kind, label, path, _, _ in parts:
-                node = W.Node(kind, "#" if kind == W.TEXT else label, path if kind == W.TEXT else ())
-                if kind == W.TEXT:
-                    node.value, node.size, node.seen = values[place], sizes[place], seen
+        for units, values, sizes, linked, seen in self.seen.values():
+            nodes, place = [u.node() for u in units], 0
+            for node in nodes:
+                node.places = []
+                if node.kind == W.TEXT:
+                    node.value, node.size, node.linked, node.seen = values[place], sizes[place], linked[place], seen
                     place += 1
-                nodes.append(node)
             folded = W.fold(nodes)
             self.wrapper = folded if self.wrapper is None else W.merge(self.wrapper, folded)[0]
         self.seen.clear()
@@ -246,7 +277,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.slices(whole, 1):
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if page:
-                    hosts.setdefault(host, HostLearner()).add(tokens_of(page))
+                    hosts.setdefault(host, HostLearner()).add(W.units(tokens_of(page)))
                 if len(hosts) >= 500:
                     yield flush()
     if hosts:
@@ -287,35 +318,37 @@ class Extractor:
         if not page:
             return ""
         parts = tokens_of(page)
-        mark = (host, signature(parts))
+        units = W.units(parts)
+        mark = (host, signature(units))
         plan = self.plans.get(mark)
         if plan is None:
-            plan = self._plan(host, parts, data)
+            plan = self._plan(host, units, data)
             if len(self.plans) >= self.most_kept:
                 self.plans.clear()
             self.plans[mark] = plan
-        return blocks(parts, plan)
+        kept = {k for u, keep in zip((u for u in units if u.kind == W.TEXT), plan) if keep for k in u.places}
+        return blocks(parts, kept)
 
-    def _plan(self, host: str, parts: list, data: bytes | None) -> list[bool]:
-        nodes = expression(parts)
+    def _plan(self, host: str, units: list[W.Unit], data: bytes | None) -> list[bool]:
+        """Which lines of a page belong to the article."""
+        nodes = expression(units)
         if host not in self.hosts:
             if len(self.hosts) >= 1000:
                 self.hosts.clear()
             wrapper = pickle.loads(data) if data else nodes
-            own = own_parts(wrapper)
-            self.hosts[host] = wrapper, region(wrapper, own), own
-        wrapper, where, own = self.hosts[host]
+            self.hosts[host] = wrapper, own_parts(wrapper), masses(wrapper)
+        wrapper, own, mass = self.hosts[host]
         own = {**own_parts(nodes), **own}
-        plan = [False] * sum(p[0] == W.TEXT for p in parts)
-        slots = {id(node): slot for node, slot in W.merge(wrapper, nodes)[1]}
-        for node in W.texts(nodes):
-            keep = verdict(slots.get(id(node), node), where, own)
-            for k in node.places:
-                plan[k] = keep
-        return plan
+        slots = {}
+        for node, slot in W.merge(wrapper, nodes)[1]:
+            slots.update(dict.fromkeys(node.places, slot))
+        texts = [u for u in units if u.kind == W.TEXT]
+        kept = article([Line(u, slots[u.places[0]]) for u in texts if not boiler(u.path, own)], mass)
+        chosen = {x.unit.places[0] for x in kept}
+        return [u.places[0] in chosen for u in texts]
 
 
-def blocks(parts: list, plan: list[bool]) -> str:
+def blocks(parts: list, kept: set[int]) -> str:
     out, held, place = [], [], 0
 
     def end() -> None:
@@ -324,9 +357,10 @@ def blocks(parts: list, plan: list[bool]) -> str:
             out.append(text)
         held.clear()
 
-    for kind, label, _, text, inside in parts:
+    for kind, label, _, text, inside, _ in parts:
         if kind == W.TEXT:
-            if plan[place]:
+            # White space between the texts of a line is the line's.
+            if place in kept or held and text.isspace():
                 held.append(text)
             place += 1
         elif not inside:
@@ -339,23 +373,38 @@ def blocks(parts: list, plan: list[bool]) -> str:
 
 def _extract(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value if shared is not None else {}
         extractor = Extractor()
         for whole in batches:
             for batch in tokens.slices(whole, 3):
                 hosts, pages = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                given = batch.column(4).to_pylist() if batch.num_columns > 4 else [known.get(h) for h in hosts]
-                made = [extractor.text(h, p, w) for h, p, w in zip(hosts, pages, given)]
+                made = [extractor.text(h, p, shared.value.get(h)) for h, p in zip(hosts, pages)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], ["page_id", "url", "text"])
 
     return run
 
 
-def extract(pages: DataFrame, fan_in: int = 64, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def _extract_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages in order of host and part, each such group led by a row with the host's wrapper."""
+    extractor, at, wrapper = Extractor(), None, None
+    for whole in batches:
+        for batch in tokens.slices(whole, 3):
+            ids, urls, made = [], [], []
+            for page_id, url, host, page, own in zip(*(c.to_pylist() for c in batch.columns[:5])):
+                if own is not None:
+                    at, wrapper = host, own
+                    continue
+                ids.append(page_id)
+                urls.append(url)
+                made.append(extractor.text(host, page, wrapper if at == host else None))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(made, pa.string())], ["page_id", "url", "text"])
+
+
+def extract(pages: DataFrame, fan_in: int = 64, broadcast_bytes: int = 64 << 20, parts: int = 32) -> DataFrame:
     """page_id, url and main ``text`` of every row of ``(page_id, url, html)``.
 
-    Wrappers of all hosts go to every task if they are within ``broadcast_bytes``;
-    otherwise pages and wrappers are joined by host.
+    Wrappers of all hosts go to every task if they are within ``broadcast_bytes``.  Beyond
+    it, the pages of each host are dealt to up to ``parts`` groups by page_id, and a row
+    with the host's wrapper leads each group that has pages.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
@@ -363,6 +412,11 @@ def extract(pages: DataFrame, fan_in: int = 64, broadcast_bytes: int = 64 << 20)
     size = learnt.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0
     schema = "page_id long, url string, text string"
     if size <= broadcast_bytes:
-        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in learnt.collect()})
+        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: bytes(r["wrapper"]) for r in learnt.collect()})
         return rows.mapInArrow(_extract(shared), schema)
-    return rows.join(learnt, "host", "left").select("page_id", "url", "host", "html", "wrapper").mapInArrow(_extract(None), schema)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(parts)).cast("int"))
+    none = F.lit(None)
+    leads = dealt.select("host", "part").distinct().join(learnt, "host").select(none.cast("long").alias("page_id"), none.cast("string").alias("url"), "host", none.cast("string").alias("html"), "wrapper", "part")
+    both = dealt.select("page_id", "url", "host", "html", none.cast("binary").alias("wrapper"), "part").unionByName(leads)
+    ordered = both.repartition("host", "part").sortWithinPartitions("host", "part", F.col("wrapper").isNull())
+    return ordered.mapInArrow(_extract_sorted, schema)

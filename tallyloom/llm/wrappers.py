@@ -5,13 +5,17 @@ text slot (its string while all pages agree, else open), an optional group or a
 group.  ``fold`` turns a stream into an expression by resolving neighbouring equal
 groups into repeats; ``merge`` aligns two expressions and resolves what differs:
 strings into open slots, groups on one side only into optional ones, a group against a
-repeat of it into the repeat.  No node ever holds alternatives.
+repeat of it into the repeat.  No node ever holds alternatives.  Bare inline tags are no
+part of a stream: the text of a line is one slot, with the share of it that is linked.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from hashlib import blake2b
+from zlib import crc32
 
 TAG, TEXT, GROUP = 0, 1, 2
 #: Elements without content, and elements whose content is not markup (fixed values of HTML).
@@ -47,14 +51,19 @@ class Node:
     #: Texts of the page that it was made from (places in the stream).
     places: list[int] = field(default_factory=list)
     size: int = 0
+    #: Characters of it that are linked.
+    linked: int = 0
     #: The least digests, ``SEEN`` at most, of the page contents that a text was seen on.
     seen: frozenset[int] = frozenset()
 
 
 def stream(html: str):
-    """(kind, tag label, path, text, inline) tokens; unclosed and misplaced tags are put right as browsers do."""
-    path: list[tuple[str, str]] = []
-    at = 0
+    """(kind, tag label, path, text, inline, open) tokens; unclosed and misplaced tags are put right as browsers do.
+
+    ``path`` has the labels of the open elements, ``open`` a number for each of them.
+    """
+    path: list[tuple[str, str, int]] = []
+    at = made = 0
 
     def pop_to(name: str) -> bool:
         for k in range(len(path) - 1, -1, -1):
@@ -64,11 +73,12 @@ def stream(html: str):
         return False
 
     labels: tuple[str, ...] = ()
+    opened: tuple[int, ...] = ()
     for m in TOKEN.finditer(html):
         if m.start() < at:
             continue
         if m.start() > at:
-            yield TEXT, "", labels, html[at : m.start()], False
+            yield TEXT, "", labels, html[at : m.start()], False, opened
         at = m.end()
         name = m[2]
         if name is None:
@@ -77,8 +87,8 @@ def stream(html: str):
         if not m[4]:  # a tag that the page's end cuts off
             break
         if m[1]:
-            if name == "p" and not any(n == "p" for n, _ in path):
-                yield TAG, "p", labels, "", False
+            if name == "p" and not any(x[0] == "p" for x in path):
+                yield TAG, "p", labels, "", False, opened
             inside = name in INLINE
             if inside:  # an inline end tag doesn't close blocks around it
                 for k in range(len(path) - 1, -1, -1):
@@ -89,8 +99,8 @@ def stream(html: str):
                         break
             else:
                 pop_to(name)
-            labels = tuple(x for _, x in path)
-            yield TAG, "/" + name, labels, "", inside
+            labels, opened = tuple(x[1] for x in path), tuple(x[2] for x in path)
+            yield TAG, "/" + name, labels, "", inside, opened
             continue
         got = {}
         if len(m[3]) > 1:
@@ -114,28 +124,71 @@ def stream(html: str):
                 break
             if path[k][0] in SCOPES or path[k][0] in ("ul", "ol", "dl", "select"):
                 break
-        labels = tuple(x for _, x in path)
-        yield TAG, label, labels, "", name in INLINE
+        labels, opened = tuple(x[1] for x in path), tuple(x[2] for x in path)
+        made += 1
+        yield TAG, label, labels, "", name in INLINE, opened
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
             inner = html[at : end.start() if end else len(html)]
             at = end.end() if end else len(html)
             if inner:
-                yield TEXT, "", (*labels, label), inner, False
-            yield TAG, "/" + name, labels, "", False
+                yield TEXT, "", (*labels, label), inner, False, (*opened, made)
+            yield TAG, "/" + name, labels, "", False, opened
         elif name not in VOID and not m[3].rstrip().endswith("/"):
-            path.append((name, label))
-            labels = (*labels, label)
+            path.append((name, label, made))
+            labels, opened = (*labels, label), (*opened, made)
     if at < len(html):
         tail = html[at:]
         if "<" not in tail or not re.match(r"</?[a-zA-Z]", tail[tail.rfind("<") :]):
-            yield TEXT, "", labels, tail, False
+            yield TEXT, "", labels, tail, False, opened
+
+
+@dataclass(slots=True)
+class Unit:
+    """A tag, or all text of one line."""
+
+    kind: int
+    label: str
+    path: tuple[str, ...] = ()
+    #: Numbers of the open elements of ``path``.
+    opened: tuple[int, ...] = ()
+    text: str = ""
+    linked: int = 0
+    #: Texts of the stream that it holds.
+    places: list[int] = field(default_factory=list)
 
+    def node(self) -> Node:
+        if self.kind == TAG:
+            return Node(TAG, self.label)
+        # Texts meet only below the same elements.
+        return Node(TEXT, f"#{crc32('>'.join(self.path).encode('utf-8', 'replace')):x}", self.path, self.text, places=self.places, size=len(self.text), linked=self.linked)
 
-def leaf(kind: int, label: str, path: tuple, text: str, place: int) -> Node:
-    if kind == TEXT:
-        return Node(TEXT, "#", path, text, places=[place], size=len(text))
-    return Node(TAG, label)
+
+def _bare(label: str) -> bool:
+    return label.lstrip("/") in INLINE
+
+
+def units(parts: list) -> list[Unit]:
+    """A stream's tags and lines of text; bare inline tags and texts of white space only leave no mark."""
+    out: list[Unit] = []
+    place = 0
+    for kind, label, path, text, inside, opened in parts:
+        if kind == TAG:
+            if not (inside and _bare(label)) or label == "/p":
+                out.append(Unit(TAG, label))
+            continue
+        if not text.isspace():
+            bare = [_bare(x) for x in path]
+            linked = len(text) if any(x.partition(".")[0] == "a" for x in path) else 0
+            around = tuple(x for x, b in zip(path, bare) if not b)
+            last = out[-1] if out else None
+            if last is not None and last.kind == TEXT and last.path == around:
+                last.text, last.linked = last.text + text, last.linked + linked
+                last.places.append(place)
+            else:
+                out.append(Unit(TEXT, "#", around, tuple(x for x, b in zip(opened, bare) if not b), text, linked, [place]))
+        place += 1
+    return out
 
 
 def key(node: Node) -> str:
@@ -152,88 +205,163 @@ def together(a: frozenset[int], b: frozenset[int]) -> frozenset[int]:
     return a if b <= a else b if a <= b else frozenset(sorted(a | b)[:SEEN])
 
 
+def short(text: str) -> str:
+    """A text, or a digest of a longer one."""
+    return text if len(text) <= 64 else blake2b(text.encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+
 def join(a: Node, b: Node) -> Node:
-    """Two nodes of one key as one."""
-    out = Node(a.kind, a.label, a.path, a.value if a.value == b.value else None, [], a.optional or b.optional, a.repeated or b.repeated, a.places + b.places, a.size + b.size, together(a.seen, b.seen))
+    """Two nodes of one key in one stream as one; its string is both of theirs."""
+    value = None if a.value is None or b.value is None else short(f"{a.value}\0{b.value}")
+    out = Node(a.kind, a.label, a.path, value, [], a.optional or b.optional, a.repeated or b.repeated, a.places + b.places, a.size + b.size, a.linked + b.linked, together(a.seen, b.seen))
     if a.kind == GROUP:
         out.body = [join(x, y) for x, y in zip(a.body, b.body)]
     return out
 
 
-def fold(nodes: list[Node], longest: int = 12) -> list[Node]:
-    """Neighbouring equal groups of up to ``longest`` nodes become repeats, small groups first."""
-    for span in range(1, longest + 1):
-        if len(nodes) < 2 * span:
-            break
-        keys = [key(n) for n in nodes]
-        out: list[Node] = []
-        k, changed = 0, False
-        while k < len(nodes):
+#: Spans that are always looked for; longer ones where strings of as many keys stand again.
+NEAR = 12
+
+
+def _spans(keys: list[str]) -> list[int]:
+    """Lengths that a group next to its like may have, in order."""
+    last: dict[tuple, int] = {}
+    far = set()
+    for k in range(len(keys) - NEAR):
+        gram = tuple(keys[k : k + NEAR + 1])
+        if gram in last and k - last[gram] > NEAR:
+            far.add(k - last[gram])
+        last[gram] = k
+    return [*range(1, NEAR + 1), *sorted(far)]
+
+
+def _fold(nodes: list[Node], keys: list[str], span: int) -> list[Node]:
+    out: list[Node] = []
+    k = 0
+    while k < len(nodes):
+        n = 1
+        # A repeat begins with a tag, or else text and tags around it would pair up anyhow.
+        if nodes[k].kind != TEXT and keys[k][0] != "/" and keys[k : k + 1] == keys[k + span : k + span + 1]:
             unit = keys[k : k + span]
-            n = 1
             while len(unit) == span and keys[k + n * span : k + (n + 1) * span] == unit:
                 n += 1
-            # A repeat begins with a tag, or else text and tags around it would pair up anyhow.
-            if n > 1 and nodes[k].kind != TEXT and not unit[0].startswith("/"):
-                parts = [nodes[k + i * span : k + (i + 1) * span] for i in range(n)]
-                body = parts[0]
-                for other in parts[1:]:
-                    body = [join(x, y) for x, y in zip(body, other)]
-                if span == 1 and body[0].kind == GROUP:
-                    body[0].repeated = True
-                    out.append(body[0])
-                else:
-                    out.append(Node(GROUP, body_key(body), body=body, repeated=True))
-                k += n * span
-                changed = True
-            else:
-                out.append(nodes[k])
-                k += 1
-        if changed:
-            nodes = out
-    return nodes
+        if n == 1:
+            out.append(nodes[k])
+            k += 1
+            continue
+        body = nodes[k : k + span]
+        for i in range(1, n):
+            body = [join(x, y) for x, y in zip(body, nodes[k + i * span : k + (i + 1) * span])]
+        if span == 1 and body[0].kind == GROUP:
+            body[0].repeated = True
+            out.append(body[0])
+        else:
+            out.append(Node(GROUP, body_key(body), body=body, repeated=True))
+        k += n * span
+    return out
+
+
+def fold(nodes: list[Node]) -> list[Node]:
+    """Neighbouring equal groups of any length become repeats, small groups first."""
+    done = 0
+    while True:
+        keys = [key(n) for n in nodes]
+        spans = [x for x in _spans(keys) if x > done and 2 * x <= len(keys)]
+        if not spans:
+            return nodes
+        for done in spans:
+            after = _fold(nodes, keys, done)
+            if len(after) < len(nodes):  # keys and distances are others now
+                nodes = after
+                break
+
+
+def _exact(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence."""
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for p in range(len(x) - 1, -1, -1):
+        row, below = best[p], best[p + 1]
+        for q in range(len(y) - 1, -1, -1):
+            row[q] = below[q + 1] + 1 if x[p] == y[q] else max(below[q], row[q + 1])
+    out, p, q = [], 0, 0
+    while p < len(x) and q < len(y):
+        if x[p] == y[q] and best[p][q] == best[p + 1][q + 1] + 1:
+            out.append((p, q))
+            p, q = p + 1, q + 1
+        elif best[p + 1][q] >= best[p][q + 1]:
+            p += 1
+        else:
+            q += 1
+    return out
 
 
-def _pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence of two lists of keys, ends first."""
-    lo, out = 0, []
+def _anchors(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of strings of keys that stand once on each side, in an order that both share."""
+    for size in (1, 2, 4, 8, 16, 32):
+        once: list[dict[tuple, int]] = []
+        for side in (x, y):
+            seen: dict[tuple, int] = {}
+            for k in range(len(side) - size + 1):
+                gram = tuple(side[k : k + size])
+                seen[gram] = -1 if gram in seen else k
+            once.append(seen)
+        met = [(i, once[1][gram]) for gram, i in once[0].items() if i >= 0 and once[1].get(gram, -1) >= 0]
+        if met:
+            # The longest run of them that rises on both sides (patience sorting).
+            ends: list[int] = []
+            tops: list[int] = []
+            back = [-1] * len(met)
+            met.sort()
+            for k, (_, j) in enumerate(met):
+                at = bisect_left(ends, j)
+                back[k] = tops[at - 1] if at else -1
+                ends[at : at + 1] = [j]
+                tops[at : at + 1] = [k]
+            out, k = [], tops[-1]
+            while k >= 0:
+                out.append(met[k])
+                k = back[k]
+            return out[::-1]
+    return []
+
+
+def _pairs(a: list[str], b: list[str], cells: int = 40_000) -> list[tuple[int, int]]:
+    """A common subsequence of two lists of keys: a longest one where that takes few cells, else between anchors."""
+    lo, head, tail = 0, [], []
     while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
-        out.append((lo, lo))
+        head.append((lo, lo))
         lo += 1
-    i, j, tail = len(a), len(b), []
+    i, j = len(a), len(b)
     while i > lo and j > lo and a[i - 1] == b[j - 1]:
         i, j = i - 1, j - 1
         tail.append((i, j))
-    x, y = a[lo:i], b[lo:j]
-    if x and y:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for p in range(len(x) - 1, -1, -1):
-            row, below = best[p], best[p + 1]
-            for q in range(len(y) - 1, -1, -1):
-                row[q] = below[q + 1] + 1 if x[p] == y[q] else max(below[q], row[q + 1])
-        p = q = 0
-        while p < len(x) and q < len(y):
-            if x[p] == y[q] and best[p][q] == best[p + 1][q + 1] + 1:
-                out.append((lo + p, lo + q))
-                p, q = p + 1, q + 1
-            elif best[p + 1][q] >= best[p][q + 1]:
-                p += 1
-            else:
-                q += 1
-    return out + tail[::-1]
-
+    todo, inner = [(lo, i, lo, j)], []
+    while todo:
+        p, q, u, v = todo.pop()
+        if p == q or u == v:
+            continue
+        x, y = a[p:q], b[u:v]
+        if len(x) * len(y) <= cells:
+            inner += [(p + m, u + n) for m, n in _exact(x, y)]
+            continue
+        met = [(p + m, u + n) for m, n in _anchors(x, y)]
+        if not met:  # nothing tells places apart: halves meet halves
+            m, n = (p + q) // 2, (u + v) // 2
+            todo += [(p, m, u, n), (m, q, n, v)] if q - p > 1 and v - u > 1 else []
+            continue
+        inner += met
+        edges = [(p - 1, u - 1), *met, (q, v)]
+        todo += [(m + 1, m2, n + 1, n2) for (m, n), (m2, n2) in zip(edges, edges[1:])]
+    return head + sorted(inner) + tail[::-1]
 
-def merge(a: list[Node], b: list[Node], most: int = 400) -> tuple[list[Node], list[tuple[Node, Node]]]:
-    """The expression of both, and (node of b, its node in the result) for all texts of ``b``.
 
-    ``most`` bounds the length of an expression: beyond it, further optional groups stay
-    out of the expression (their texts are judged by their own paths).
-    """
+def merge(a: list[Node], b: list[Node]) -> tuple[list[Node], list[tuple[Node, Node]]]:
+    """The expression of both, and (node of b, its node in the result) for all texts of ``b``."""
     met: list[tuple[Node, Node]] = []
     out: list[Node] = []
 
     def pair(x: Node, y: Node) -> Node:
-        new = Node(x.kind, x.label, x.path, x.value if x.value == y.value else None, [], x.optional or y.optional, x.repeated or y.repeated, [], x.size + y.size, together(x.seen, y.seen))
+        new = Node(x.kind, x.label, x.path, x.value if x.value == y.value else None, [], x.optional or y.optional, x.repeated or y.repeated, [], x.size + y.size, x.linked + y.linked, together(x.seen, y.seen))
         if x.kind == GROUP:
             new.body = [pair(p, q) for p, q in zip(x.body, y.body)]
         elif x.kind == TEXT:
@@ -241,30 +369,45 @@ def merge(a: list[Node], b: list[Node], most: int = 400) -> tuple[list[Node], li
         return new
 
     def alone(node: Node, mine: bool) -> Node:
-        new = Node(node.kind, node.label, node.path, node.value, [], True, node.repeated, [], node.size, node.seen)
+        new = Node(node.kind, node.label, node.path, node.value, [], True, node.repeated, [], node.size, node.linked, node.seen)
         new.body = [alone(x, mine) for x in node.body]
         if node.kind == TEXT and not mine:
             met.append((node, new))
         return new
 
+    def occurrence(side: list[Node], other: list[Node]) -> tuple[int, int, int] | None:
+        """(place of a group, where and how long its like stands on the other side)."""
+        groups = [k for k, node in enumerate(side) if node.kind == GROUP]
+        if not groups:
+            return None
+        keys = [key(n) for n in other]
+        where: dict[str, list[int]] = {}
+        for at, k in enumerate(keys):
+            where.setdefault(k, []).append(at)
+        for k in groups:
+            body = [key(n) for n in side[k].body]
+            for at in where.get(body[0], ()):
+                if keys[at : at + len(body)] == body:
+                    return k, at, len(body)
+        return None
+
     def gap(left: list[Node], right: list[Node]) -> None:
         # One occurrence of a group against a repeat of it.
-        for side, other, mine in ((left, right, True), (right, left, False)):
-            for k, node in enumerate(side):
-                n = len(node.body)
-                if node.kind == GROUP and len(other) >= n:
-                    for at in range(len(other) - n + 1):
-                        if body_key(other[at : at + n]) == node.label:
-                            single = Node(GROUP, node.label, body=other[at : at + n], repeated=True)
-                            x, y = (node, single) if mine else (single, node)
-                            before, after = (side[:k], side[k + 1 :]), (other[:at], other[at + n :])
-                            gap(*((before[0], after[0]) if mine else (after[0], before[0])))
-                            out.append(pair(x, y))
-                            gap(*((before[1], after[1]) if mine else (after[1], before[1])))
-                            return
+        while left and right:
+            if hit := occurrence(left, right):
+                k, at, n = hit
+                gap(left[:k], right[:at])
+                out.append(pair(left[k], Node(GROUP, left[k].label, body=right[at : at + n], repeated=True)))
+                left, right = left[k + 1 :], right[at + n :]
+            elif hit := occurrence(right, left):
+                k, at, n = hit
+                gap(left[:at], right[:k])
+                out.append(pair(Node(GROUP, right[k].label, body=left[at : at + n], repeated=True), right[k]))
+                left, right = left[at + n :], right[k + 1 :]
+            else:
+                break
         out.extend(alone(x, True) for x in left)
-        room = most - len(out)
-        out.extend(alone(x, False) for x in right[: max(0, room)])
+        out.extend(alone(x, False) for x in right)
 
     p = q = 0
     for i, j in [*_pairs([key(n) for n in a], [key(n) for n in b]), (len(a), len(b))]:

@@ -238,6 +238,60 @@ def test_pages_of_the_driver(spark, small):
         assert r["text"].split("\n")[0].startswith(head.split("&")[0].strip()[:20])
 
 
+def scrambled(html, names):
+    """The page with divs of meaningless names (or none) in place of all elements and names that mean something."""
+    for name in ("article", "nav", "footer", "aside", "header", "main"):
+        html = re.sub(rf"<{name}(?=[\\s>])[^>]*>", f'<div class="q{name[::-1]}">' if names else "<div>", html)
+        html = re.sub(rf"</{name}>", "</div>", html)
+    return html.replace('class="ad"', 'class="qda"' if names else "")
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_wrappers_find_articles_without_names(spark, small, names):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    rows = [(r["page_id"], r["url"], r["html"] and scrambled(r["html"], names)) for r in pages.collect()]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(table).collect()}
+    assert sum(got[k] == want[k] for k in want) >= (0.99 if names else 0.95) * len(want)
+    # Names alone rule out neither the menu nor the advert.
+    for page_id, _, html in rows[:20]:
+        parts = html_text.tokens_of(html)
+        outside = [u for u in html_text.W.units(parts) if u.kind == html_text.W.TEXT and not html_text.boiler(u.path)]
+        assert html_text.blocks(parts, {k for u in outside for k in u.places}) != want[page_id]
+
+
+def test_hosts_of_mixed_templates(spark):
+    one = "<html><body><div class=a1><a href=/>Home {0}</a></div><article><h1>Head {0}</h1><p>Article text {0} of one kind.</p><div class=b2><p>Sign up for more.</p></div><p>And on it goes, at {0}, for a while, with more and more words in it, to the end.</p></article></body></html>"
+    two = "<html><body><div class=a1><a href=/>Home {0}</a></div><div class=c3><h1>Head {0}</h1><p>Story text {0} of another kind, longer than the rest.</p></div><div class=d4>Foot {0}</div></body></html>"
+    rows = [(i, "http://mixed/", (one if i % 2 else two).format(i)) for i in range(20)]
+    for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        i = r["page_id"]
+        if i % 2:
+            assert r["text"] == f"Head {i}\nArticle text {i} of one kind.\nAnd on it goes, at {i}, for a while, with more and more words in it, to the end."
+        else:
+            assert r["text"] == f"Head {i}\nStory text {i} of another kind, longer than the rest."
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40), st.integers(0, 200))
+def test_alignment(a, b, cells):
+    W = html_text.W
+    got = W._pairs(a, b, cells)
+    assert all(a[i] == b[j] for i, j in got)
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+    if cells >= len(a) * len(b):
+        assert len(got) == len(W._exact(a, b))
+
+
+def test_long_repeats_fold():
+    W = html_text.W
+    unit = [W.Node(W.TAG, f"t{k % 17}{k}") for k in range(40)]
+    nodes = [W.Node(W.TAG, n.label) for _ in range(5) for n in unit]
+    folded = W.fold([W.Node(W.TAG, "x"), *nodes, W.Node(W.TAG, "y")])
+    assert len(folded) == 3 and folded[1].repeated and len(folded[1].body) == 40
+
+
 def test_items_shorter_than_a_seed(spark):
     docs = spark.createDataFrame([(1, "we know: Forty Two is it"), (2, "forty"), (3, "two forty two; forty two"), (4, "is it"), (5, "is"), (6, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "forty two"), (8, "Forty, TWO!"), (9, "is it so"), (10, "")], "item_id long, text string")
