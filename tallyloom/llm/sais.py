@@ -5,8 +5,10 @@ LMS suffix.  LMS substrings are sorted by inducing from unsorted ones, named, an
 string of names is sorted by recursion; then all suffixes are induced from the sorted
 LMS suffixes: L suffixes bucket by bucket from the left, S suffixes from the right, each
 placed in its bucket by the place of the suffix behind it.  Buckets are taken in batches,
-so small ones of a large alphabet cost no loop each; places that hang on others of the
-batch settle in as many rounds as such chains are long.
+so small ones of a large alphabet cost no loop each.  Within a bucket, suffixes that begin
+with a run of its character come in order of the run's length and then of the suffix behind
+the run, so runs of any length are placed at once; places that hang on others of the batch
+settle in as many rounds as characters fall (or rise) in a row there, 255 at most for bytes.
 
 PLCP[i] is the common prefix of suffix i and the one before it in order.  Where the
 characters before both agree it is PLCP[i-1] - 1; only the other (irreducible) ones are
@@ -18,32 +20,37 @@ from __future__ import annotations
 import numpy as np
 
 
-def _settle(e: np.ndarray, base: np.ndarray, place: np.ndarray, guess: np.ndarray) -> None:
-    """Places of suffixes ``e`` in their buckets (which begin at ``base``), by the place of the next suffix.
+def _order(base: np.ndarray, run: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    longest = int(run.max()) + 1
+    if (int(base.max()) + 1) * longest * n < 1 << 62:
+        return np.argsort((base * longest + run) * n + key)
+    return np.lexsort((key, run, base))
+
+
+def _settle(e: np.ndarray, base: np.ndarray, run: np.ndarray, after: np.ndarray, place: np.ndarray, guess: np.ndarray) -> None:
+    """Places of suffixes ``e`` in their buckets (which begin at ``base``), by the rest of their run and the place of the suffix ``after`` it.
 
     ``guess`` (the begin of its bucket) stands in for a next suffix without a place yet.
     """
-    after = e + 1
     key = place[after]
     open_ = np.flatnonzero(key < 0)
     key[open_] = guess[open_]
-    lead = base * len(place)
     at = np.arange(len(e))
-    order = np.argsort(lead + key)
+    order = _order(base, run, key, len(place))
     b = base[order]
     bucket = np.maximum.accumulate(np.where(np.append(True, b[1:] != b[:-1]), at, 0))
     if not len(open_):
         place[e[order]] = b + at - bucket
         return
     while True:
-        k = key[order]
-        fresh = np.append(True, (k[1:] != k[:-1]) | (b[1:] != b[:-1]))
+        k, r = key[order], run[order]
+        fresh = np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]) | (b[1:] != b[:-1]))
         place[e[order]] = b + np.maximum.accumulate(np.where(fresh, at, 0)) - bucket
         now = place[after[open_]]
         if np.array_equal(now, key[open_]):
             return
         key[open_] = now
-        order = np.argsort(lead + key)
+        order = _order(base, run, key, len(place))
 
 
 def _batches(counts: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -58,8 +65,11 @@ def _batches(counts: np.ndarray, least: int) -> list[tuple[int, int]]:
     return out
 
 
-def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, begins: np.ndarray, least: int) -> np.ndarray:
-    """Places of all suffixes, from LMS suffixes in order (of their first characters at least)."""
+def _induce(s: np.ndarray, small: np.ndarray, until: np.ndarray, lms: np.ndarray, begins: np.ndarray, least: int) -> np.ndarray:
+    """Places of all suffixes, from LMS suffixes in order (of their first characters at least).
+
+    ``until`` is where each suffix's first run ends.
+    """
     n, sigma = len(s), len(begins) - 1
     large_at, small_at = np.flatnonzero(~small), np.flatnonzero(small[:-1])
     large_at = large_at[np.argsort(s[large_at], kind="stable")]
@@ -72,7 +82,7 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, begins: np.ndarra
     for a, b in _batches(n_large, least):
         e = large_at[ends[a] - n_large[a] : ends[b - 1]]
         if len(e):
-            _settle(e, begins[s[e]], place, begins[s[e + 1]])
+            _settle(e, begins[s[e]], until[e] - e, until[e] + 1, place, begins[s[until[e] + 1]])
     # From the right, in mirrored places: the last place of a bucket is its first.
     mirrored = np.where(small, -1, n - 1 - place)
     mirrored[n - 1] = n - 1
@@ -83,7 +93,7 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, begins: np.ndarra
     for a, b in [(sigma - y, sigma - x) for x, y in _batches(n_small[::-1], least)]:
         e = small_at[ends[a] - n_small[a] : ends[b - 1]]
         if len(e):
-            _settle(e, back[s[e]], mirrored, back[s[e + 1]])
+            _settle(e, back[s[e]], until[e] - e, until[e] + 1, mirrored, back[s[until[e] + 1]])
     return n - 1 - mirrored
 
 
@@ -98,7 +108,7 @@ def places(s: np.ndarray, least: int = 1024) -> np.ndarray:
     until = np.minimum.accumulate(at[::-1])[::-1]  # the next place where the character changes
     small = np.append(step[until] > 0, True)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    place = _induce(s, small, lms[np.argsort(s[lms], kind="stable")], begins, least)
+    place = _induce(s, small, until, lms[np.argsort(s[lms], kind="stable")], begins, least)
     # LMS substrings in order; equal neighbours get one name.
     order = lms[np.argsort(place[lms])]
     following = np.empty(n, np.int64)
@@ -116,7 +126,7 @@ def places(s: np.ndarray, least: int = 1024) -> np.ndarray:
     name[order] = np.cumsum(~same) - 1
     if same.any():
         order = lms[np.argsort(places(name[lms], least))]
-    return _induce(s, small, order, begins, least)
+    return _induce(s, small, until, order, begins, least)
 
 
 def permuted_common_prefixes(s: np.ndarray, place: np.ndarray) -> np.ndarray:

@@ -8,17 +8,21 @@ together first:
    (the leftmost of equal ones).  Neighbouring windows with one anchor form a fragment.
    Equal windows have equal anchors at equal places, so they lie in fragments of one
    anchor; an anchor that occurs once settles its windows without reading them again;
-2. fragments that occur twice as they are, are repeated as a whole;
-3. other fragments of a repeated anchor are cut from their texts (one of each kind) and
-   dealt to shards by anchor.  A shard is sorted by induced sorting, and permuted common
-   prefixes of ``width`` or more mark its repeated windows (:mod:`sais`);
-4. an anchor with more than ``most_fragments`` kinds of fragments would make too large
-   a shard; its windows are told apart by their hashes instead, which partial counts
-   add up wherever they lie.
+2. fragments that occur twice as they are (equal anchor, and equal in a 96-bit digest) are
+   repeated as a whole, and one of them stands for all from there on;
+3. one of each kind of fragment of a repeated anchor is cut from its text and dealt to
+   shards by anchor.  A shard is sorted by induced sorting, and permuted common prefixes
+   of ``width`` or more mark its repeated windows (:mod:`sais`);
+4. an anchor whose fragments are more than a shard may hold is split before: windows with
+   half or more of the other bytes left of the anchor go by the anchor and those bytes,
+   the others by it and as many bytes on its right.  That leaves equal windows together,
+   parts fragments that differ near the anchor, and doubles what is known of a window; so
+   after at most eight rounds all groups fit or are windows of one string.
 
 Counts and joins run over narrow rows (a few numbers for about ninety bytes of text);
 copies of a text share one key, and marks are made distinct before they are gathered by
-text, so a gathered list is never longer than its text.
+text, so a gathered list is never longer than its text.  Keys with a large share of all
+rows are never dealt to one task: they are few, so they go to the rows (``_meet``).
 
 Defined results: a null text is empty; texts shorter than ``width`` stay whole; equal
 texts of ``width`` bytes or more go wholly; very long texts are scanned in pieces whose
@@ -29,6 +33,7 @@ are not read; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,7 +47,8 @@ from tallyloom.llm.minhash import GOLDEN, M1, mix
 PLACE = 24
 #: Bytes hashed at once, and of one piece of a longer text.
 SLICE, PIECE = 1 << 20, 1 << 23
-FRAGMENTS = "k1 long, k2 int, start long, n int, anchor long, frag long"
+FRAGMENTS = "k1 long, k2 int, start long, n int, anchor long, frag long, more int"
+KIND = ["anchor", "frag", "more"]
 RANGES = "k1 long, k2 int, lo long, hi long"
 
 
@@ -112,9 +118,15 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _scan(width: int, gram: int):
+def _digests(parts) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of a 128-bit hash of each."""
     import xxhash
 
+    whole = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), ">u8").reshape(-1, 2)
+    return whole[:, 1].astype(np.uint64).view(np.int64), (whole[:, 0] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
+def _scan(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tokens.slices(whole, 2, SLICE):
@@ -127,27 +139,66 @@ def _scan(width: int, gram: int):
                     first, n, anchor = fragments(piece, bounds, width, gram)
                     row = np.searchsorted(bounds, first, "right") - 1
                     view = memoryview(piece)
-                    digest = xxhash.xxh3_64_intdigest
-                    frag = np.fromiter((digest(view[x : x + m + width - 1]) for x, m in zip(first.tolist(), n.tolist())), np.uint64, len(first))
-                    columns = [pa.array(k1[row]), pa.array(k2[row]), pa.array(first - bounds[row] + a), pa.array(n.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(frag.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "start", "n", "anchor", "frag"])
+                    frag, more = _digests(view[x : x + m + width - 1] for x, m in zip(first.tolist(), n.tolist()))
+                    columns = [pa.array(k1[row]), pa.array(k2[row]), pa.array(first - bounds[row] + a), pa.array(n.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(frag), pa.array(more)]
+                    yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "start", "n", *KIND])
 
     return run
 
 
-def _cut(width: int):
-    """Bytes of wanted fragments of each text."""
+CUT = FRAGMENTS + ", copies int, data binary, left int, size int"
+CUT_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+CUT_NAMES = ["k1", "k2", "start", "n", *KIND, "copies", "data", "left", "size"]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(CUT_NAMES), CUT_KINDS)], CUT_NAMES)
+
+
+def _cut(width: int, gram: int):
+    """Wanted fragments of each text with their bytes and where (``left``) the anchor of ``size`` bytes begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "start", "n", "anchor", "frag", "once", "hot", "data"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
         for whole in batches:
             for batch in tokens.slices(whole, 2):
                 rows = []
                 for k1, k2, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
                     raw = (text or "").encode()
-                    rows += [(k1, k2, w["start"], w["n"], w["anchor"], w["frag"], w["once"], w["hot"], raw[w["start"] : w["start"] + w["n"] + width - 1]) for w in wanted]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 9, kinds)], names)
+                    for w in wanted:
+                        # The anchor lies in all windows, so it begins at the last one's begin or later.
+                        rows.append((k1, k2, w["start"], w["n"], w["anchor"], w["frag"], w["more"], w["copies"], raw[w["start"] : w["start"] + w["n"] + width - 1], -1, gram))
+                        if len(rows) >= 20_000:
+                            yield _batch(rows)
+                            rows.clear()
+                yield _batch(rows)
+
+    return run
+
+
+def _split(width: int):
+    """Each fragment as up to two, whose anchors hold half or more of the bytes of a window that the old one lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                rows, new = [], []
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 2000).columns)):
+                    k1, k2, start, n, anchor, _, _, copies, data, left, size = row
+                    if left < 0:
+                        own = gram_hashes(np.frombuffer(data, np.uint8), size).view(np.int64)
+                        left = n - 1 + int(np.flatnonzero(own[n - 1 :] == anchor)[0])
+                    half = (width - size + 1) // 2
+                    cut = min(n, max(0, left - half + 1))
+                    for first, stop, begin, long in ((0, cut, left - half, size + half), (cut, n, left, width - half + 1)):
+                        if stop > first:
+                            key = xxhash.xxh3_64_intdigest(data[begin : begin + long], seed=2 * size + (first > 0 or begin == left))
+                            rows.append((k1, k2, start + first, stop - first, key, copies, data[first : stop + width - 1], begin - first, long))
+                frag, more = _digests(r[6] for r in rows) if rows else (np.empty(0, np.int64), np.empty(0, np.int32))
+                keys = np.array([r[4] for r in rows], np.uint64).view(np.int64).tolist()
+                new = [(*r[:4], k, f, m, *r[5:]) for r, k, f, m in zip(rows, keys, frag.tolist(), more.tolist())]
+                yield _batch(new)
 
     return run
 
@@ -161,7 +212,7 @@ def _sorted_shard(width: int):
     """Repeated windows of a shard's fragments that occur once, as ranges of windows."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["anchor", "frag"]).sort_values(["anchor", "frag"], ignore_index=True)
+        rows = rows.drop_duplicates(KIND).sort_values(KIND, ignore_index=True)
         sizes = rows["data"].str.len().to_numpy() + 1
         begins = np.cumsum(sizes) - sizes
         # 0 ends the text and 1 the fragments; bytes are 2 and more.
@@ -172,8 +223,8 @@ def _sorted_shard(width: int):
         text[-1] = 0
         again = sais.repeated_windows(text, width)
         out: list[tuple] = []
-        for k1, k2, start, n, at, once in zip(rows["k1"], rows["k2"], rows["start"], rows["n"], begins, rows["once"]):
-            if once:
+        for k1, k2, start, n, at, copies in zip(rows["k1"], rows["k2"], rows["start"], rows["n"], begins, rows["copies"]):
+            if copies == 1:
                 for lo, hi in zip(*_runs(again[at : at + n])):
                     out.append((k1, k2, start + lo, start + hi))
         return pd.DataFrame(out, columns=["k1", "k2", "lo", "hi"]).astype({"k1": "int64", "k2": "int32", "lo": "int64", "hi": "int64"})
@@ -181,24 +232,6 @@ def _sorted_shard(width: int):
     return run
 
 
-def _windows(width: int):
-    """A row for each window of a fragment: its hash and place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                k1, k2, start, n, anchor, once = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "start", "n", "anchor", "once"))
-                data, offsets = _bytes_of(part.column(part.schema.get_field_index("data")).cast(pa.large_binary()))
-                own = gram_hashes(data, width, seed=1)
-                row = np.repeat(np.arange(len(n)), n)
-                inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                columns = [anchor[row], own[offsets[:-1][row] + inner].view(np.int64), k1[row], k2[row], start[row] + inner, once[row]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "window", "k1", "k2", "lo", "once"])
-
-    return run
-
-
 def _remove(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -223,44 +256,85 @@ def _remove(width: int):
     return run
 
 
-def repeated_windows(keyed: DataFrame, width: int, gram: int, shard_bytes: int, most_fragments: int) -> DataFrame:
+def _meet(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` with those columns of ``keys`` (one row a key, with its number of rows ``m``).
+
+    A key with more than a 20,000th of all rows would make one task long; there are fewer
+    than 20,000 such keys, so these go to the rows and the others by an exchange.
+    """
+    keys = keys.where("m > 1")
+    hot = F.col("m") > max(20_000, total // 20_000)
+    few = F.broadcast(keys.where(hot))
+    own = rows.join(few, on).select(*rows.columns, *(c for c in keys.columns if c not in on))
+    rest = rows.join(few.select(*on), on, "left_anti").join(keys.where(~hot), on)
+    return own.unionByName(rest.select(*own.columns))
+
+
+def _ranges(rows: DataFrame) -> DataFrame:
+    return rows.select("k1", "k2", F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))
+
+
+def _split_large(large: DataFrame, width: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Groups within ``most`` bytes from fragments of larger ones, and the ranges that are settled on the way."""
+    small, marks = None, []
+    while not large.isEmpty():
+        parts = common.stored(large.mapInArrow(_split(width), CUT), "split")
+        total = parts.count()
+        kinds = parts.groupBy(*KIND).agg(F.sum("copies").alias("m"), F.min(F.struct("k1", "k2", "start")).alias("one"))
+        kinds = common.stored(kinds, "split-kinds")
+        marks.append(_ranges(_meet(parts.where("copies = 1"), kinds.select(*KIND, "m"), KIND, total)))
+        open_ = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("m").alias("least"), F.sum("m").alias("m")).where("kinds > 1 AND least = 1").select("anchor", "m")
+        each = _meet(parts, open_, ["anchor"], total).drop("m").join(kinds.select(*KIND, "one", F.col("m").alias("all")), KIND)
+        one = each.where("k1 = one.k1 AND k2 = one.k2 AND start = one.start").withColumn("copies", F.least("all", F.lit(2)).cast("int")).select(*CUT_NAMES)
+        one = common.stored(one, "split-ones")
+        sizes = one.groupBy("anchor").agg(F.sum(F.octet_length("data")).alias("bytes"), F.count(F.lit(1)).alias("m"))
+        over = common.stored(sizes.where(F.col("bytes") > most).select("anchor", "m"), "split-large")
+        fits = one.join(over, "anchor", "left_anti")
+        small = fits if small is None else small.unionByName(fits)
+        large = _meet(one, over, ["anchor"], one.count()).select(*CUT_NAMES)
+    return small, marks
+
+
+def repeated_windows(keyed: DataFrame, width: int, gram: int, shard_bytes: int) -> DataFrame:
     """Ranges (k1, k2, lo, hi) of window starts whose window occurs elsewhere; ``keyed`` has k1, k2, doc_id, text."""
     found = common.stored(keyed.where(F.octet_length("text") >= width).select("k1", "k2", "text").mapInArrow(_scan(width, gram), FRAGMENTS), "fragments")
-    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), (F.min("frag") != F.max("frag")).alias("several")).where("m > 1").select("anchor", "several")
-    again = common.stored(found.join(anchors, "anchor"), "repeated")
+    total = found.count()
+    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), (F.min("frag") != F.max("frag")).alias("several"), (F.min("more") != F.max("more")).alias("too")).where("m > 1").select("anchor", "m", F.expr("several OR too").alias("several"))
+    again = common.stored(_meet(found, common.stored(anchors, "anchors"), ["anchor"], total).drop("m"), "repeated")
     common.forget(found)
 
-    kinds = again.where("several").groupBy("anchor", "frag").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("k1", "k2", "start", "n")).alias("one"))
-    kinds = common.stored(kinds.select("anchor", "frag", (F.col("m") == 1).alias("once"), "one.*"), "kinds")
-    whole = again.where("not several").unionByName(again.join(kinds.where("not once").select("anchor", "frag"), ["anchor", "frag"], "left_semi"))
-    marks = whole.select("k1", "k2", F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))
+    kinds = again.where("several").groupBy(*KIND).agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("k1", "k2", "start", "n")).alias("one"))
+    kinds = common.stored(kinds.select(*KIND, "m", "one.*"), "kinds")
+    marks = [_ranges(again.where("not several")), _ranges(_meet(again.where("several"), kinds.select(*KIND, "m"), KIND, total))]
 
     # Fragments that must be read: all kinds of an anchor with one that occurs once.
-    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("once").alias("open")).where("open").select("anchor", (F.col("kinds") > most_fragments).alias("hot"))
-    wanted = kinds.join(mixed, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "anchor", "frag", "once", "hot")).alias("wanted"))
+    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("m").alias("least")).where("least = 1").select("anchor", "m")
+    fragment = F.struct("start", "n", *KIND, F.least("m", F.lit(2)).cast("int").alias("copies"))
+    wanted = kinds.join(mixed.select("anchor"), "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_list(fragment).alias("wanted"))
     one_copy = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
     wanted = wanted.join(one_copy, ["k1", "k2"]).withColumnsRenamed({"k1": "w1", "k2": "w2", "doc_id": "w_id"})
     same = (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("w_id"))
     texts = keyed.join(wanted, same).select("k1", "k2", "text", "wanted")
-    cut = common.stored(texts.mapInArrow(_cut(width), FRAGMENTS + ", once boolean, hot boolean, data binary"), "cut")
-
-    total = cut.where("not hot").agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    dealt = cut.where("not hot").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    marks = marks.unionByName(dealt.groupBy("shard").applyInPandas(_sorted_shard(width), RANGES))
-    if not cut.where("hot").isEmpty():
-        windows = common.stored(cut.where("hot").mapInArrow(_windows(width), "anchor long, window long, k1 long, k2 int, lo long, once boolean"), "windows")
-        twice = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor", "window")
-        hit = windows.where("once").join(twice, ["anchor", "window"], "left_semi")
-        marks = marks.unionByName(hit.select("k1", "k2", "lo", (F.col("lo") + 1).alias("hi")))
-    return marks
-
-
-def deduplicate(docs: DataFrame, width: int = 200, gram: int = 64, shard_bytes: int = 1 << 19, most_fragments: int = 4096) -> DataFrame:
+    cut = common.stored(texts.mapInArrow(_cut(width, gram), CUT), "cut")
+
+    most = 4 * shard_bytes
+    over = cut.groupBy("anchor").agg(F.sum(F.octet_length("data")).alias("bytes"), F.count(F.lit(1)).alias("m")).where(F.col("bytes") > most).select("anchor", "m")
+    over = common.stored(over, "large")
+    dealt = cut.join(over, "anchor", "left_anti")
+    if not over.isEmpty():
+        small, settled = _split_large(_meet(cut, over, ["anchor"], cut.count()).dropDuplicates(["k1", "k2", "start"]).select(*CUT_NAMES), width, most)
+        dealt, marks = dealt.unionByName(small), marks + settled
+    held = dealt.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    shards = max(1, -(-held // shard_bytes))
+    marks.append(dealt.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_sorted_shard(width), RANGES))
+    return reduce(DataFrame.unionByName, marks)
+
+
+def deduplicate(docs: DataFrame, width: int = 200, gram: int = 64, shard_bytes: int = 1 << 19) -> DataFrame:
     """doc_id, n_bytes, removed ``spans`` (bytes) and the ``kept`` bytes of every row of ``(doc_id, text)``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.select(F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), "doc_id", "text")
-    marks = repeated_windows(keyed, width, gram, shard_bytes, most_fragments).distinct()
+    marks = repeated_windows(keyed, width, gram, shard_bytes).distinct()
     lists = marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     joined = keyed.join(lists, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(_remove(width), "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")

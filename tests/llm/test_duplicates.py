@@ -127,7 +127,7 @@ def found(table, **parameters):
     return Counter((r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got)
 
 
-@pytest.mark.parametrize("parameters", [{}, {"most_fragments": 1}, {"shard_bytes": 3000, "gram": 16}])
+@pytest.mark.parametrize("parameters", [{}, {"shard_bytes": 1}, {"shard_bytes": 3000, "gram": 16}])
 def test_repeated_substrings(docs, parameters):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert found(docs, **parameters) == removed(rows, 200)
@@ -162,3 +162,35 @@ def test_long_text_in_pieces(spark, monkeypatch):
 def test_row_key_is_the_text(spark):
     rows = spark.range(3).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("z" * 210), F.col("id").cast("string")).alias("text"))
     assert found(rows) == removed([(7, "z" * 210 + str(i)) for i in range(3)], 200)
+
+
+def test_hot_anchors_are_split(spark):
+    """One passage in many contexts, whose windows across its edges are unique, paired or shared by many."""
+    random.seed(8)
+    passage = "".join(random.choice("abcdefghijklmnop ") for _ in range(260))
+    word = lambda n: "".join(random.choice("qrstuvwxyz") for _ in range(n))
+    rows = [(i, word(random.choice([0, 3, 60, 150])) + passage[random.choice([0, 1, 30]) :] + word(random.choice([0, 5, 120]))) for i in range(60)]
+    rows += [(100 + i, text) for i, (_, text) in enumerate(rows[:5])] + [(200, "same before " + passage + " same after"), (201, "not same before " + passage + " same after it")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (1, 400, 1 << 19):
+        assert found(table, shard_bytes=most) == removed(rows, 200)
+
+
+def test_digests_tell_fragments_apart():
+    a = np.frombuffer(b"x" * 300, np.uint8)
+    one, two = substrings._digests([a.data, a[:299].data]), substrings._digests([a.data, a.data])
+    assert one[0][0] != one[0][1] and one[1][0] != one[1][1]
+    assert two[0][0] == two[0][1] and two[1][0] == two[1][1]
+
+
+def test_long_runs_are_linear():
+    import time
+
+    for values in (np.full(200_000, 7), np.tile([3, 3, 3, 9, 9], 40_000)):
+        s = np.append(values, 0).astype(np.int64)
+        start = time.time()
+        place = sais.places(s)
+        assert time.time() - start < 20
+        assert sorted(place.tolist()) == list(range(len(s)))
+    order = np.argsort(sais.places(np.append(np.full(5000, 7), 0)))
+    assert order.tolist() == list(range(5000, -1, -1))
