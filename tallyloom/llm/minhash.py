@@ -49,6 +49,8 @@ from tallyloom.llm import common, components, tokens
 
 #: Longs of a node's bitmap.
 WORDS = 16
+#: Rows of about 250 bytes that may be broadcast.
+MOST_SENT = 200_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -260,11 +262,12 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows:
             break
         own = F.struct("node", "root")
         chosen = active.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("part")).agg(F.min_by(own, "node").alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root"))
-        chosen = common.stored(chosen, "centres")
+        chosen = common.stored(chosen.join(_sketch(drawn, "u", F.col("node").alias("centre")), "centre"), "centres")
         behind.append(chosen)
-        pairs = active.join(chosen, "bucket").where((F.col("root") != F.col("centre_root")) & (F.col("node") != F.col("centre")))
+        # Few centres go to the members, wherever these lie; many are dealt by bucket (skewed ones by adaptive execution).
+        near = F.broadcast(chosen) if chosen.count() <= MOST_SENT else chosen
+        pairs = active.join(_sketch(drawn, "v", "node"), "node").join(near, "bucket").where((F.col("root") != F.col("centre_root")) & (F.col("node") != F.col("centre")) & _within_reach(least))
         pairs = pairs.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
-        pairs = pairs.join(_sketch(drawn, "u", F.col("node").alias("u")), "u").join(_sketch(drawn, "v", F.col("node").alias("v")), "v").where(_within_reach(least)).select("u", "v")
         found = common.stored(_verified(pairs, sets, least), "links")
         active = active.select("bucket", "node").join(chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
         if not found.isEmpty():
