@@ -5,9 +5,9 @@ A round counts exact bytes and rows below all candidate boundaries that divide t
 intervals still open around the wanted splitters (a radix digit of the key per
 round), and each splitter settles as soon as a boundary lies within ``tolerance`` of
 its share.  So rounds read a narrow table of keys and sizes only, and the driver
-holds one histogram of bounded size.  Every shard has ``parts`` such intervals, found in
-the same rounds with a looser tolerance; one exchange deals the rows by them and sorts
-each, so no task holds a whole shard and nothing is sampled.
+holds one histogram of bounded size.  Then one exchange deals the rows by the splitters,
+each shard to as many partitions as its bytes take (by a hash of the whole key), so no
+task holds a whole shard and nothing is sampled.
 
 Rows of equal groups are neighbours and share a shard unless the group is so large
 that the law of equal sizes needs it cut; the second hash then gives the boundaries.
@@ -47,15 +47,12 @@ class _Interval:
         self.found: tuple[int, int] | None = None
 
 
-def splitters(keys: DataFrame, n_shards: int, tolerance: float, parts: int = 1, loose: float = 0.25) -> list[tuple[int, int]]:
-    """Boundaries (first hash, second hash) of intervals 1 to n_shards * parts - 1; rows at or above belong there.
+def splitters(keys: DataFrame, total: int, n_shards: int, tolerance: float) -> list[tuple[int, int]]:
+    """Boundaries (first hash, second hash) of shards 1 to n-1; rows at or above belong there.
 
-    Every ``parts``-th one begins a shard and lies within ``tolerance`` of its share, the
-    others within ``loose`` of an interval.  ``keys`` has columns a, b (63-bit keys) and size.
+    ``keys`` has columns a, b (63-bit keys) and size, ``total`` bytes in all.
     """
-    total = keys.agg(F.sum("size")).first()[0] or 0
-    n = n_shards * parts
-    all_open = [_Interval(total * j / n, total * (loose / n if j % parts else tolerance / n_shards)) for j in range(1, n)]
+    all_open = [_Interval(total * j / n_shards, tolerance * total / n_shards) for j in range(1, n_shards)]
     while open_ := [x for x in all_open if x.found is None]:
         wanted = None
         groups: dict[tuple, list[_Interval]] = {}
@@ -119,7 +116,7 @@ def _number(bounds: list[tuple[int, int]]) -> Column:
     return F.size(F.filter(below, lambda x: x)) if bounds else F.lit(0)
 
 
-def shard(df: DataFrame, group: str, row_id: str, n_shards: int = 16, extra_bytes: int = 1, tolerance: float = 0.001, parts: int = 16) -> DataFrame:
+def shard(df: DataFrame, group: str, row_id: str, n_shards: int = 16, extra_bytes: int = 1, tolerance: float = 0.001, part_bytes: int = 32 << 20) -> DataFrame:
     """Deal rows into ``n_shards`` shards of near-equal UTF-8 bytes of ``group``.
 
     Returns the rows with ``size`` (bytes plus ``extra_bytes``), ``shard`` and ``slot``,
@@ -129,13 +126,15 @@ def shard(df: DataFrame, group: str, row_id: str, n_shards: int = 16, extra_byte
     own = [c for c in df.columns if c.lower() not in ("size", "shard", "slot")]
     keyed = df.select(F.struct(*own).alias("row"), (F.coalesce(F.octet_length(group), F.lit(0)).cast("long") + extra_bytes).alias("size"), _key(group).alias("a"), _key(row_id).alias("b"))
     keys = common.stored(keyed.select("a", "b", "size"), "shard-keys")
-    bounds = splitters(keys, n_shards, tolerance, parts)
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    number = _number(splitters(keys, total, n_shards, tolerance))
     common.forget(keys)
-    interval = _number(bounds)
-    dealt = keyed.withColumn("interval", interval).repartition("interval").sortWithinPartitions("interval", "a", "b")
-    dealt = dealt.select("row", "size", F.floor(F.col("interval") / parts).cast("int").alias("shard"), F.monotonically_increasing_id().alias("at"))
-    dealt = common.stored(dealt, "shards").select("row", "size", "shard", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("place"))
-    # A row for each partition of the exchange and interval in it, whatever the input: n_shards * parts at most.
+    parts = max(1, -(-total // (n_shards * part_bytes)))
+    dealt = keyed.select("row", "size", "a", "b", number.alias("shard"), F.pmod(F.xxhash64("a", "b"), F.lit(parts)).alias("part"))
+    dealt = dealt.repartition(n_shards * parts, "shard", "part").sortWithinPartitions("shard", "a", "b")
+    dealt = common.stored(dealt.select("row", "size", "shard", F.monotonically_increasing_id().alias("at")), "shards")
+    dealt = dealt.select("row", "size", "shard", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("place"))
+    # A row for each partition of the exchange and shard in it: n_shards * parts at most.
     held = dealt.groupBy("part", "shard").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     ahead = held.select("part", "shard", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n") - F.col("first")).alias("ahead"))
     return dealt.join(F.broadcast(ahead), ["part", "shard"]).select("row.*", "size", "shard", (F.col("place") + F.col("ahead")).alias("slot"))

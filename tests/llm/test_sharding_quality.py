@@ -8,7 +8,7 @@ from tallyloom.llm import quality, sharding
 
 def test_shards(spark, docs, odd_docs, no_docs):
     grown = docs.unionByName(docs.select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.concat("text", F.col("doc_id").cast("string")).alias("text"), "lang", "source", "n_chars"))
-    rows = sharding.shard(grown, group="text", row_id="doc_id", n_shards=16).select("doc_id", "text", "size", "shard", "slot").collect()
+    rows = sharding.shard(grown, group="text", row_id="doc_id", n_shards=16, part_bytes=10_000).select("doc_id", "text", "size", "shard", "slot").collect()
     assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r["doc_id"], r["text"]) for r in grown.select("doc_id", "text").collect())
     by, where = defaultdict(list), defaultdict(set)
     for r in rows:
