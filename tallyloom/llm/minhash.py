@@ -220,11 +220,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(both >= least * (F.size("x") + F.size("y") - both)).select("u", "v")
 
 
+def _near(small: DataFrame) -> DataFrame:
+    """A stored table for a join: sent to the other side's rows if it is small, so that these need no exchange by a skewed key."""
+    return F.broadcast(small) if small.count() <= MOST_SENT else small
+
+
 def _open(active: DataFrame, roots: DataFrame) -> DataFrame:
     """(bucket, node, root) of the buckets whose nodes are in several components."""
     labelled = active.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     several = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
-    return labelled.join(several, "bucket")
+    return labelled.join(_near(common.stored(several, "several")), "bucket")
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows: int = 6, size: int = 5) -> DataFrame:
@@ -264,9 +269,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 24, rows:
         chosen = active.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("part")).agg(F.min_by(own, "node").alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root"))
         chosen = common.stored(chosen.join(_sketch(drawn, "u", F.col("node").alias("centre")), "centre"), "centres")
         behind.append(chosen)
-        # Few centres go to the members, wherever these lie; many are dealt by bucket (skewed ones by adaptive execution).
-        near = F.broadcast(chosen) if chosen.count() <= MOST_SENT else chosen
-        pairs = active.join(_sketch(drawn, "v", "node"), "node").join(near, "bucket").where((F.col("root") != F.col("centre_root")) & (F.col("node") != F.col("centre")) & _within_reach(least))
+        pairs = active.join(_sketch(drawn, "v", "node"), "node").join(_near(chosen), "bucket").where((F.col("root") != F.col("centre_root")) & (F.col("node") != F.col("centre")) & _within_reach(least))
         pairs = pairs.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
         found = common.stored(_verified(pairs, sets, least), "links")
         active = active.select("bucket", "node").join(chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
