@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tallyloom.llm import minhash, sais, substrings
+from tallyloom.llm import components, minhash, sais, substrings
 
 
 def shingle_set(text):
@@ -194,3 +194,22 @@ def test_long_runs_are_linear():
         assert sorted(place.tolist()) == list(range(len(s)))
     order = np.argsort(sais.places(np.append(np.full(5000, 7), 0)))
     assert order.tolist() == list(range(5000, -1, -1))
+
+
+@pytest.mark.parametrize("rows", [0, 1000])
+def test_components(spark, rows):
+    random.seed(11)
+    edges = [(random.randint(0, 150), random.randint(0, 150)) for _ in range(90)] + [(200 + i, 201 + i) for i in range(40)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: find(x) for e in edges if e[0] != e[1] for x in e if find(x) != x}
+    got = components.components(spark.createDataFrame(edges, "u long, v long"), rows_in_one_task=rows)
+    assert {r["node"]: r["root"] for r in got.collect()} == want
