@@ -1,6 +1,6 @@
 """Distances, zones and hexagonal lattices as Columns.
 
-All distances are on a sphere.
+``haversine`` is on a sphere, ``geodesic`` on the WGS 84 spheroid.
 """
 
 from __future__ import annotations
@@ -21,6 +21,27 @@ def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column, radius: fl
     return F.lit(radius * 2) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
 
 
+#: WGS 84 (fixed values): equatorial radius in metres and flattening.
+EQUATOR, FLATTENING = 6_378_137.0, 1 / 298.257223563
+
+
+def geodesic(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
+    """Metres on the spheroid by Lambert's formula: reduced latitudes on a sphere, and a flattening term.
+
+    Within a metre at distances inside a province; 0 for one point.
+    """
+    reduced = lambda lat: F.atan(F.lit(1 - FLATTENING) * F.tan(F.radians(lat)))
+    b1, b2 = reduced(lat1), reduced(lat2)
+    half = lambda x: F.pow(F.sin(x / 2), F.lit(2.0))
+    a = half(b2 - b1) + F.cos(b1) * F.cos(b2) * half(F.radians(lng2 - lng1))
+    angle = 2 * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
+    square = lambda x: F.pow(x, F.lit(2.0))
+    mid, apart = (b1 + b2) / 2, (b2 - b1) / 2
+    x = (angle - F.sin(angle)) * square(F.sin(mid)) * square(F.cos(apart)) / square(F.cos(angle / 2))
+    y = (angle + F.sin(angle)) * square(F.cos(mid)) * square(F.sin(apart)) / square(F.sin(angle / 2))
+    return F.when(a == 0, 0.0).otherwise(F.lit(EQUATOR) * (angle - F.lit(FLATTENING / 2) * (x + y)))
+
+
 def zone_distances(lat: Column, lng: Column) -> Column:
     """Array of (distance, zone) structs, nearest first."""
     return F.array_sort(F.array(*(F.struct(haversine(lat, lng, F.lit(a), F.lit(b)).alias("d"), F.lit(z).alias("zone")) for z, (a, b, _) in domain.ZONES.items())))
@@ -52,24 +73,32 @@ def cell_key(lat: Column, lng: Column, radius_m: Column) -> Column:
     return F.format_string("%.5f,%.5f,%d", lat, lng, radius_m)
 
 
+def lattice(circles: DataFrame, by: list[str]) -> DataFrame:
+    """Hexagonal cells over circles (lat, lng, area_km, cell_km), one lattice for each group ``by``: its columns, lat, lng.
+
+    A group's lattice has its origin in the middle of its distinct centres, and one area_km
+    and cell_km.  Every circle makes the cells that reach it, so nothing is compared with all circles.
+    """
+    circles = circles.where("cell_km > 0").dropDuplicates([*by, "lat", "lng"])
+    origin = circles.groupBy(*by).agg(F.avg("lat").alias("lat0"), F.avg("lng").alias("lng0"))
+    step, row = F.col("cell_km") * math.sqrt(3), F.col("cell_km") * 1.5
+    reach = F.col("area_km") + F.col("cell_km")
+    at = circles.join(origin, by).withColumn("km_lng", KM_PER_LNG * F.cos(F.radians("lat0")))
+    at = at.withColumns({"x": (F.col("lng") - F.col("lng0")) * F.col("km_lng"), "y": (F.col("lat") - F.col("lat0")) * KM_PER_LAT})
+    rows = at.withColumn("i", F.explode(F.sequence(F.floor((F.col("y") - reach) / row), F.ceil((F.col("y") + reach) / row))))
+    rows = rows.withColumn("shift", F.when(F.pmod("i", F.lit(2)) == 1, step / 2).otherwise(F.lit(0.0)))
+    cells = rows.withColumn("j", F.explode(F.sequence(F.floor((F.col("x") - reach - F.col("shift")) / step), F.ceil((F.col("x") + reach - F.col("shift")) / step))))
+    cells = cells.withColumns({"cx": F.col("j") * step + F.col("shift"), "cy": F.col("i") * row}).where(F.hypot(F.col("cx") - F.col("x"), F.col("cy") - F.col("y")) <= reach)
+    cells = cells.dropDuplicates([*by, "i", "j"])
+    return cells.select(*by, F.round(F.col("lat0") + F.col("cy") / KM_PER_LAT, 6).alias("lat"), F.round(F.col("lng0") + F.col("cx") / F.col("km_lng"), 6).alias("lng"))
+
+
 def hex_lattice(spark: SparkSession, centres: list[tuple[float, float]], area_km: float, cell_km: float = 1.0) -> DataFrame:
-    """One lattice of cells over circles around all centres, rows and columns generated by Spark: lat, lng."""
+    """One lattice of cells over circles around all centres: lat, lng."""
     if cell_km <= 0:
         raise ValueError("cell radius must be positive")
-    if not centres:
-        return spark.createDataFrame([], "lat double, lng double")
-    step = cell_km * math.sqrt(3)
-    row_height = step * math.sqrt(3) / 2
-    reach = area_km + cell_km
-    lat0, lng0 = sum(c[0] for c in centres) / len(centres), sum(c[1] for c in centres) / len(centres)
-    km_lng = KM_PER_LNG * math.cos(math.radians(lat0))
-    at = [((lng - lng0) * km_lng, (lat - lat0) * KM_PER_LAT) for lat, lng in centres]
-    span = reach + max(math.hypot(*p) for p in at)
-    rows, cols = int(span / row_height) + 2, int(span / step) + 2
-    grid = spark.range(-rows, rows + 1).select(F.col("id").alias("i")).select("i", F.explode(F.sequence(F.lit(-cols), F.lit(cols))).alias("j"))
-    grid = grid.select((F.col("j") * step + F.when(F.pmod("i", F.lit(2)) == 1, step / 2).otherwise(0.0)).alias("x"), (F.col("i") * row_height).alias("y"))
-    near = F.exists(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in at)), lambda c: F.hypot(F.col("x") - c["x"], F.col("y") - c["y"]) <= reach)
-    return grid.where(near).select(F.round(F.lit(lat0) + F.col("y") / KM_PER_LAT, 6).alias("lat"), F.round(F.lit(lng0) + F.col("x") / km_lng, 6).alias("lng"))
+    circles = spark.createDataFrame([(float(a), float(b), float(area_km), float(cell_km)) for a, b in centres], "lat double, lng double, area_km double, cell_km double")
+    return lattice(circles.withColumn("one", F.lit(1)), ["one"]).select("lat", "lng")
 
 
 def covered(points: DataFrame, cells: DataFrame, cell_km: float) -> DataFrame:

@@ -54,3 +54,11 @@ def severity_rank(column: str = "severity") -> Column:
 def ranked(items: Column, k: int) -> Column:
     """First ``k`` of an array of structs in their natural order."""
     return F.slice(F.array_sort(items), 1, k)
+
+
+def delta_cell(current: Column, reference: Column, digits: int = 0) -> Column:
+    """A compared value as text: the reference and the signed difference, as a difference says nothing alone."""
+    d = current - reference
+    number = lambda x: F.format_number(x.cast("double"), digits)
+    said = F.when(F.abs(d) < 10**-digits / 2, "–").when(d > 0, F.concat(F.lit("+"), number(d))).otherwise(number(d))
+    return F.when(reference.isNull(), "—").otherwise(F.concat(number(reference), F.lit(" ("), said, F.lit(")")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyloom.functions import dates, domain, filters as f, geo, measures as m, text as x
 from tallyloom.operators import coverage
+from tallyloom.sources.scratch import cut
 from tallyloom.tables import Tables
 
 # Place types of the API, names out of scope, and categories by type, in order.
@@ -18,9 +19,10 @@ OUT_OF_SCOPE = (
     "โรงแรม|hotel|resort|รีสอร์ท|hostel|โฮสเทล|เกสท์เฮาส์|guest ?house|เซ็นทรัล|central ?plaza|central ?phitsanulok|โลตัส|lotus|บิ๊กซี|big ?c|makro|แม็คโคร|homepro|โฮมโปร|"
     "โกลบอลเฮ้าส์|global ?house|ไทวัสดุ|dohome|ดูโฮม|index living|อินเด็กซ์"
 )
-UNSEARCHABLE_TYPES = tuple(
-    "place_of_worship food point_of_interest establishment health finance general_contractor geocode natural_feature political premise room route street_address subpremise town_square intersection "
-    "locality post_box postal_code administrative_area_level_1 administrative_area_level_2 administrative_area_level_3 sublocality".split()
+UNSEARCHABLE_TYPES = (
+    "place_of_worship", "food", "point_of_interest", "establishment", "health", "finance", "general_contractor", "geocode", "natural_feature",
+    "political", "premise", "room", "route", "street_address", "subpremise", "town_square", "intersection", "locality", "post_box", "postal_code",
+    "administrative_area_level_1", "administrative_area_level_2", "administrative_area_level_3", "sublocality",
 )
 LEAST_HONOURED = 0.5
 TYPE_CATEGORIES = (
@@ -143,16 +145,13 @@ def type_honour(t: Tables) -> DataFrame:
 def subdivide(spark: SparkSession, t: Tables) -> DataFrame:
     """Cells of half the radius that cover capped ones, one lattice for each type and radius, without those done.
 
-    The groups are the handful of types and radii; their centres go to the generator.
+    All of it is one plan over ``t.cells``; ``spark`` is the session of those tables.
     """
     ignored = F.coalesce(m.rate(F.col("type_matched"), F.nullif("results", F.lit(0))) < LEAST_HONOURED, F.lit(False)) & F.col("type_matched").isNotNull()
     capped = t.cells.where(F.col("hit_cap") & (F.col("cell_radius_m") > 100) & ~F.col("place_type").isin(*UNSEARCHABLE_TYPES) & ~ignored)
-    groups = capped.groupBy("place_type", "cell_radius_m").agg(F.sort_array(F.collect_set(F.struct("cell_lat", "cell_lng"))).alias("centres")).collect()
-    jobs = spark.createDataFrame([], "lat double, lng double, place_type string, radius_m int")
-    for g in groups:
-        km = g["cell_radius_m"] / 1000
-        cells = geo.hex_lattice(spark, [(c["cell_lat"], c["cell_lng"]) for c in g["centres"]], km, km / 2)
-        jobs = jobs.unionByName(cells.select("lat", "lng", F.lit(g["place_type"]).alias("place_type"), F.lit(int(g["cell_radius_m"] // 2)).alias("radius_m")))
+    circles = capped.select("place_type", "cell_radius_m", F.col("cell_lat").alias("lat"), F.col("cell_lng").alias("lng"), (F.col("cell_radius_m") / 1000).alias("area_km"), (F.col("cell_radius_m") / 2000).alias("cell_km"))
+    cells = geo.lattice(circles, ["place_type", "cell_radius_m"])
+    jobs = cells.select("lat", "lng", "place_type", F.floor(F.col("cell_radius_m") / 2).cast("int").alias("radius_m"))
     done = t.cells.where(F.col("status").isin("OK", "ZERO_RESULTS")).select(F.round("cell_lat", 6).alias("lat"), F.round("cell_lng", 6).alias("lng"), "place_type", F.col("cell_radius_m").cast("int").alias("radius_m"))
     return jobs.join(done, ["lat", "lng", "place_type", "radius_m"], "left_anti").dropDuplicates(["lat", "lng", "place_type", "radius_m"])
 
@@ -203,11 +202,18 @@ def completeness(t: Tables) -> DataFrame:
 
 
 def quartiles(rows: DataFrame, column: str) -> DataFrame:
-    """Elements n//4, n//2 and 3n//4 (from 0) of the sorted values, by counting ranks."""
-    ranked = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
-    counts = ranked.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    # One row for each distinct value: small against the rows.
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v"))).crossJoin(counts.agg(F.sum("c").alias("n")))
+    """Elements n//4, n//2 and 3n//4 (from 0) of the sorted values, by counting ranks.
+
+    Distinct values are sorted in ranges and counted on from each range's offset, so no
+    task sees them all.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    placed = cut(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    # One row a range.
+    sizes = placed.groupBy("part").agg(F.sum("c").alias("size"), F.min("v").alias("least"))
+    ahead = sizes.select("part", (F.sum("size").over(Window.orderBy("least")) - F.col("size")).alias("ahead"))
+    upto = placed.join(ahead, "part").withColumn("upto", F.col("ahead") + F.sum("c").over(Window.partitionBy("part").orderBy("v")))
+    upto = upto.crossJoin(sizes.agg(F.sum("size").alias("n")))
     at = lambda k: F.min(F.when(F.col("upto") > F.floor(F.lit(k) * F.col("n") / 4), F.col("v")))
     return upto.agg(at(1).alias("q1"), at(2).alias("median"), at(3).alias("q3"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions import domain, filters as f, measures as m
 from tallyloom.tables import Tables
@@ -84,9 +84,15 @@ def incomplete(t: Tables) -> DataFrame:
 
 
 def causes(t: Tables) -> DataFrame:
-    """Places and missing reviews by cause, with the place in the middle (index n // 2 of the sorted gaps)."""
-    rows = incomplete(t).groupBy("cause").agg(F.count(F.lit(1)).alias("places"), F.sum("gap").alias("missing"), F.sort_array(F.collect_list("gap")).alias("gaps"))
-    return rows.withColumn("median_gap", F.get("gaps", F.floor(F.col("places") / 2).cast("int"))).drop("gaps")
+    """Places and missing reviews by cause, with the place in the middle (index n // 2 of the sorted gaps).
+
+    The middle is found by counting equal gaps, which are at most as many as a place may hold reviews.
+    """
+    rows = incomplete(t).groupBy("cause", "gap").agg(F.count(F.lit(1)).alias("c"))
+    whole = rows.groupBy("cause").agg(F.sum("c").alias("places"), F.sum(F.col("gap") * F.col("c")).alias("missing"))
+    upto = rows.withColumn("upto", F.sum("c").over(Window.partitionBy("cause").orderBy("gap"))).join(whole, "cause")
+    middle = upto.where(F.col("upto") > F.floor(F.col("places") / 2)).groupBy("cause").agg(F.min("gap").alias("median_gap"))
+    return whole.join(middle, "cause").select("cause", "places", "missing", "median_gap")
 
 
 LISTED = ("id", "name", "google_reviews_total", "sc", "ceil", "gap")

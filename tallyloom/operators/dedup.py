@@ -95,6 +95,13 @@ def common_hashes(t: Tables, a: int, b: int) -> DataFrame:
     return one.join(two, "h")
 
 
+def distance_between(t: Tables, a: int, b: int) -> DataFrame:
+    """One row: the metres between two places."""
+    one = lambda place, lat, lng: t.places.where(F.col("id") == place).select(F.col("lat").alias(lat), F.col("lng").alias(lng))
+    both = one(a, "lat_a", "lng_a").crossJoin(one(b, "lat_b", "lng_b"))
+    return both.select(geo.haversine(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"), geo.M).alias("metres"))
+
+
 def near_twins(t: Tables, metres=40.0) -> DataFrame:
     """Pairs of places within reach of each other, both ids in order."""
     rows = coverage.counted(t).select("id", "name", "lat", "lng", "sc")

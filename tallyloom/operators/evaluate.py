@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions import domain, filters as f, measures as m
+from tallyloom.sources.scratch import cut
 from tallyloom.tables import Tables
 
 # Models whose labels count as truth for training.
@@ -76,18 +77,33 @@ def clean_labels(rows: DataFrame, task="category", least=LEAST_SAMPLES) -> DataF
     return rows.join(rare, "label", "left").withColumn("label", F.when(F.col("rare"), domain.OTHER).otherwise(F.col("label"))).drop("rare")
 
 
+def _numbered(rows: DataFrame, label: str, seed: int, key: str) -> DataFrame:
+    """Rows with their place within their label (_n, from 1) in order of a hash of the key, and the label's rows (_c).
+
+    Rows are sorted in ranges of label and hash, and counted on from each range's offset, so
+    a label that most rows have is no single task's work.
+    """
+    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), key))
+    placed = cut(hashed.repartitionByRange(label, "_h", key).sortWithinPartitions(label, "_h", key).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"_part": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    # A row for each range and label in it.
+    held = placed.groupBy("_part", F.col(label).alias("_label")).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    upto = F.sum("_size").over(Window.partitionBy("_label").orderBy("_part"))
+    ahead = held.select(F.col("_part").alias("_p"), "_label", (upto - F.col("_size") - F.col("_first") + 1).alias("_ahead"), F.sum("_size").over(Window.partitionBy("_label")).alias("_c"))
+    joined = placed.join(ahead, (F.col("_part") == F.col("_p")) & F.col(label).eqNullSafe(F.col("_label")))
+    return joined.select(*rows.columns, (F.col("_place") + F.col("_ahead")).alias("_n"), "_c")
+
+
 def split(rows: DataFrame, seed=42, key="id") -> DataFrame:
     """Each label's rows as 15 % test, 15 % val (one at least) and the rest train, by a hash of the key."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), key), key)
-    rows = rows.withColumns({"_n": F.row_number().over(order), "_c": F.count(F.lit(1)).over(Window.partitionBy("label"))})
+    rows = _numbered(rows, "label", seed, key)
     part = F.greatest(F.lit(1), F.floor(F.col("_c") * 0.15))
     return rows.withColumn("split", F.when(F.col("_n") <= part, "test").when(F.col("_n") <= 2 * part, "val").otherwise("train")).drop("_n", "_c")
 
 
 def quota_sample(rows: DataFrame, quota: int, seed=42, key="id", label="label") -> DataFrame:
     """At most ``quota`` rows of each label, picked by a hash."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key)
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= quota).drop("_n")
+    return _numbered(rows, label, seed, key).where(F.col("_n") <= quota).drop("_n", "_c")
 
 
 def random_sample(rows: DataFrame, n: int, seed=42, key="id") -> DataFrame:

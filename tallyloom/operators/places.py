@@ -32,11 +32,11 @@ def get_place(t: Tables, place_id: int) -> DataFrame:
 
 
 def nearby(t: Tables, lat: float, lng: float, radius: float = 5000, limit=20) -> DataFrame:
-    """Places within a radius in metres (100 to 100,000), nearest first; a box goes before the distance."""
+    """Places within a radius in metres on the spheroid (100 to 100,000), nearest first; a box goes before the distance."""
     radius = max(100.0, min(float(radius), 100_000.0))
     dlat = radius / 110_000.0
     box = F.col("lat").between(lat - dlat, lat + dlat) & F.col("lng").isNotNull()
-    rows = t.places.where(box).withColumn("distance_m", geo.haversine(F.col("lat"), F.col("lng"), F.lit(lat), F.lit(lng), geo.M)).where(F.col("distance_m") <= radius)
+    rows = t.places.where(box).withColumn("distance_m", geo.geodesic(F.col("lat"), F.col("lng"), F.lit(lat), F.lit(lng))).where(F.col("distance_m") <= radius)
     nearest = rows.orderBy("distance_m", "id").limit(limit)
     return with_counts(t, nearest).select("id", "name", "overall_rating", "lng", "lat", "distance_m", "review_count", "high_severity_count").orderBy("distance_m", "id")
 

@@ -9,15 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyloom.functions import geo, text as x
+from tallyloom.sources.scratch import cut
 
 
 def next_ids(rows: DataFrame, existing: DataFrame, order: list[str], column="id") -> DataFrame:
     """Rows numbered on from the greatest id, in a fixed order.
 
-    Ranges are sorted in parallel and numbered by each partition's offset.
+    Ranges are sorted in parallel and numbered by each partition's offset.  The sorted rows
+    are written once, as both the offsets and the numbers must see the same partitions.
     """
     start = existing.agg(F.coalesce(F.max(column), F.lit(0)).cast("long").alias("_start"))
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumns({"_part": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND((1 << 33) - 1)})
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row a partition.
@@ -94,9 +96,14 @@ def scan_failures(places: DataFrame, attempted: DataFrame, served: DataFrame, mo
     return rows.withColumn("refresh_shortfalls", now).withColumn("given_up", F.coalesce(F.col("refresh_shortfalls") >= most, F.lit(False))).drop("_asked", "_got")
 
 
+def backup_rows(arrays: DataFrame) -> DataFrame:
+    """Rows (id, value) of a backup file that holds parallel arrays (ids, values)."""
+    return arrays.select(F.inline(F.arrays_zip("ids", "values"))).withColumnsRenamed({"ids": "id", "values": "value"})
+
+
 def restore(table: DataFrame, key: str, column: str, backup: DataFrame) -> DataFrame:
-    """A column set from a backup of parallel arrays (ids, values)."""
-    pairs = backup.select(F.inline(F.arrays_zip("ids", "values"))).withColumnsRenamed({"ids": key, "values": "_value"}).withColumn("_hit", F.lit(True))
+    """A column set from backup rows (id, value)."""
+    pairs = backup.select(F.col("id").alias(key), F.col("value").alias("_value"), F.lit(True).alias("_hit"))
     return table.join(pairs, key, "left").withColumn(column, F.when(F.col("_hit"), F.col("_value")).otherwise(F.col(column))).select(*table.columns)
 
 

@@ -108,7 +108,18 @@ def _(t):
 DIST = haversine_sql("a.lat", "a.lng", "b.lat", "b.lng", 6371000.0)
 
 
-@over_star("q28_place_pairs")
+FREE = "list_filter({0}, lambda c: NOT list_contains({1}, c.keep))[1]"
+
+
+@over_star(
+    "q28_place_pairs",
+    f"""WITH RECURSIVE pairs AS (SELECT a.id AS d, b.id AS keep, {DIST} AS dist, abs(coalesce(a.google_reviews_total, 0) - b.sc) AS off FROM {COUNTED} a JOIN {COUNTED} b ON abs(a.lat - b.lat) < 0.03
+  WHERE a.google_place_id IS NOT NULL AND a.sc = 0 AND b.google_place_id IS NULL AND b.sc > 0 AND {DIST} <= 2500),
+wanted AS (SELECT row_number() OVER (ORDER BY d) AS k, d, list({{'keep': keep, 'dist': dist}} ORDER BY dist, off, keep) AS choice FROM pairs GROUP BY d),
+turn AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS d, CAST([] AS BIGINT[]) AS used, CAST(NULL AS STRUCT(keep BIGINT, dist DOUBLE)) AS got
+  UNION ALL SELECT k, d, CASE WHEN got IS NULL THEN used ELSE list_append(used, got.keep) END, got FROM (SELECT w.k, w.d, t.used, {FREE.format('w.choice', 't.used')} AS got FROM turn t JOIN wanted w ON w.k = t.k + 1))
+SELECT d AS "drop", got.keep AS keep, round(got.dist, 3) AS dist FROM turn WHERE got IS NOT NULL""",
+)
 def _(t):
     return dedup.place_pairs(t, 2500.0).withColumn("dist", F.round("dist", 3))
 
@@ -118,20 +129,12 @@ def _(t):
     return dedup.near_twins(t, 1500.0).withColumn("dist", F.round("dist", 3))
 
 
-@over_star("q28_merged_places")
-def _(t):
-    moves = t.places.where("id IN (3, 5, 8)").select(F.col("id").alias("drop"), F.lit(1).cast("long").alias("keep"))
-    after = dedup.merged(t, moves)
-    held = after.reviews.groupBy("place_id").agg(F.count(F.lit(1)).alias("n"))
-    return held.where("place_id IN (1, 2, 3, 5, 8)")
-
-
 @over_star("q28_delete_guarded", "SELECT (SELECT count(*) FROM places p WHERE p.id % 3 <> 0 OR EXISTS (SELECT 1 FROM reviews r WHERE r.place_id = p.id)) AS places, (SELECT count(*) FROM reviews) AS reviews, (SELECT count(*) FROM analyzed_reviews) AS analyzed")
 def _(t):
     return _sizes(dedup.without_places(t, t.places.where("id % 3 = 0")))
 
 
-@over_star("q28_delete_cascade", "SELECT (SELECT count(*) FROM places p WHERE p.id % 3 <> 0) AS places, (SELECT count(*) FROM reviews WHERE place_id % 3 <> 0) AS reviews, (SELECT count(*) FROM analyzed_reviews ar JOIN reviews r ON r.id = ar.review_id WHERE r.place_id % 3 <> 0) AS analyzed")
+@over_star("q28_delete_cascade", "SELECT (SELECT count(*) FROM places p WHERE p.id % 3 <> 0) AS places, (SELECT count(*) FROM reviews WHERE place_id NOT IN (SELECT id FROM places WHERE id % 3 = 0)) AS reviews, (SELECT count(*) FROM analyzed_reviews ar JOIN reviews r ON r.id = ar.review_id WHERE r.place_id NOT IN (SELECT id FROM places WHERE id % 3 = 0)) AS analyzed")
 def _(t):
     return _sizes(dedup.without_places(t, t.places.where("id % 3 = 0"), force=True))
 
@@ -218,7 +221,21 @@ def _(t):
     return audits.type_honour(t)
 
 
-@over_star("q31_subdivide")
+CELL_RATE = "CASE WHEN results <> 0 THEN CAST(type_matched AS DOUBLE) / results END"
+
+
+@over_star(
+    "q31_subdivide",
+    f"""WITH circles AS (SELECT DISTINCT place_type, cell_radius_m, cell_lat AS lat, cell_lng AS lng, cell_radius_m / 1000.0 AS area_km, cell_radius_m / 2000.0 AS cell_km FROM discover_cells
+  WHERE hit_cap AND cell_radius_m > 100 AND place_type <> 'place_of_worship' AND NOT (type_matched IS NOT NULL AND coalesce({CELL_RATE} < 0.5, false))),
+mid AS (SELECT place_type, cell_radius_m, avg(lat) AS lat0, avg(lng) AS lng0 FROM circles GROUP BY 1, 2),
+placed AS (SELECT c.*, lat0, lng0, 111.32 * cos(radians(lat0)) AS km_lng, cell_km * sqrt(3) AS step, cell_km * 1.5 AS h, area_km + cell_km AS reach FROM circles c JOIN mid USING (place_type, cell_radius_m)),
+xy AS (SELECT *, (lng - lng0) * km_lng AS x, (lat - lat0) * 110.574 AS y FROM placed),
+grid AS (SELECT xy.*, i.i, j.j FROM xy, range(-400, 401) i(i), range(-400, 401) j(j) WHERE abs(i.i * h - y) <= reach + h AND abs(j.j * step - x) <= reach + step),
+cells AS (SELECT DISTINCT place_type, cell_radius_m, round(lat0 + i * h / 110.574, 6) AS lat, round(lng0 + (j * step + CASE WHEN i % 2 <> 0 THEN step / 2 ELSE 0 END) / km_lng, 6) AS lng FROM grid
+  WHERE sqrt((j * step + CASE WHEN i % 2 <> 0 THEN step / 2 ELSE 0 END - x) ** 2 + (i * h - y) ** 2) <= reach)
+SELECT lat, lng, place_type, CAST(cell_radius_m // 2 AS INT) AS radius_m FROM cells c WHERE NOT EXISTS (SELECT 1 FROM discover_cells d WHERE d.status IN ('OK', 'ZERO_RESULTS') AND round(d.cell_lat, 6) = c.lat AND round(d.cell_lng, 6) = c.lng AND d.place_type = c.place_type AND d.cell_radius_m = c.cell_radius_m // 2)""",
+)
 def _(t):
     return audits.subdivide(t.cells.sparkSession, t)
 
@@ -423,5 +440,5 @@ def _(t):
 
 @over_star("s18_restore", "SELECT id, CASE WHEN id % 9 = 0 THEN concat('old ', CAST(id AS VARCHAR)) ELSE zone END AS zone FROM places")
 def _(t):
-    backup = t.places.where("id % 9 = 0").agg(F.collect_list("id").alias("ids"), F.collect_list(F.concat(F.lit("old "), F.col("id").cast("string"))).alias("values"))
+    backup = t.places.where("id % 9 = 0").select("id", F.concat(F.lit("old "), F.col("id").cast("string")).alias("value"))
     return upserts.restore(t.places.select("id", "zone"), "id", "zone", backup)

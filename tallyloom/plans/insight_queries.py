@@ -366,10 +366,14 @@ def haversine_sql(lat1, lng1, lat2, lng2, radius) -> str:
     return f"({radius * 2} * atan2(sqrt({a}), sqrt(1 - {a})))"
 
 
+REDUCED = "atan((1 - 1 / 298.257223563) * tan(radians({0})))"
+
+
 @over_star(
     "q16_nearby_places",
     f"""SELECT p.id, p.name, p.overall_rating, p.lng, p.lat, round(d, 3) AS distance_m, coalesce(c.review_count, 0) AS review_count, coalesce(c.high_severity_count, 0) AS high_severity_count
-FROM (SELECT *, {haversine_sql('lat', 'lng', '16.8', '100.4', 6371000.0)} AS d FROM places) p LEFT JOIN {PLACE_COUNTS} ON c.place_id = p.id WHERE d <= 30000 ORDER BY d, p.id LIMIT 20""",
+FROM (SELECT *, CASE WHEN s = 0 THEN 0 ELSE 6378137.0 * (s - (x + y) / 298.257223563 / 2) END AS d FROM (SELECT *, (s - sin(s)) * pow(sin((b1 + b2) / 2), 2) * pow(cos((b2 - b1) / 2), 2) / pow(cos(s / 2), 2) AS x, (s + sin(s)) * pow(cos((b1 + b2) / 2), 2) * pow(sin((b2 - b1) / 2), 2) / nullif(pow(sin(s / 2), 2), 0) AS y
+  FROM (SELECT *, 2 * atan2(sqrt(h), sqrt(1 - h)) AS s FROM (SELECT *, pow(sin((b2 - b1) / 2), 2) + cos(b1) * cos(b2) * pow(sin(radians(100.4 - lng) / 2), 2) AS h FROM (SELECT *, {REDUCED.format('lat')} AS b1, {REDUCED.format('16.8')} AS b2 FROM places))))) p LEFT JOIN {PLACE_COUNTS} ON c.place_id = p.id WHERE d <= 30000 ORDER BY d, p.id LIMIT 20""",
 )
 def _(t):
     return places.nearby(t, 16.8, 100.4, 30000).withColumn("distance_m", F.round("distance_m", 3))

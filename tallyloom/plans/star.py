@@ -2,7 +2,9 @@
 
 Each view is one SELECT that both Spark and DuckDB run, so queries and their SQL see
 the same rows: places from customers, reviews and labels from orders, place candidates
-from parts and search cells from suppliers.
+from parts and search cells from suppliers.  Every row of those tables is read.  So that
+places without reviews exist, every 13th customer's orders name a place that is not there;
+reviews whose text has not been cleaned yet (a null) have no label yet either.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region}
 """
 
 REVIEWS = """
-SELECT o_orderkey AS id, o_custkey AS place_id, CAST(substring(o_orderpriority, 1, 1) AS INT) AS rating,
+SELECT o_orderkey AS id, CASE WHEN o_custkey % 13 = 0 THEN -o_custkey ELSE o_custkey END AS place_id, CAST(substring(o_orderpriority, 1, 1) AS INT) AS rating,
        CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 23 = 0 THEN NULL
             ELSE concat('review text ', CAST(o_orderkey % 997 AS STRING), CASE WHEN o_orderkey % 3 = 0 THEN ' with some more words, so that it is long' ELSE '' END) END AS text_clean,
        concat('Name ', CAST(o_orderkey % 89 AS STRING), chr(10), CASE WHEN o_orderkey % 2 = 0 THEN 'Local Guide' ELSE '5 รีวิว · 118 รูปภาพ' END, chr(10),
@@ -52,7 +54,7 @@ SELECT o_orderkey AS id, o_custkey AS place_id, CAST(substring(o_orderpriority,
        CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'a week ago' ELSE '๓ เดือนที่ผ่านมา' END AS review_date,
        CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS review_date_approx,
        CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 - 3 AS INT) AS scraped_at
-FROM {orders} WHERE o_custkey % 13 <> 0
+FROM {orders}
 """
 
 ANALYZED = f"""
@@ -62,7 +64,7 @@ SELECT r.id AS id, r.id AS review_id,
        CASE WHEN r.rating = 1 THEN 'high' WHEN r.rating = 2 AND r.id % 4 <> 0 THEN 'medium' WHEN r.id % 41 = 0 THEN NULL ELSE 'low' END AS severity,
        concat('word', CAST(r.id % 7 AS STRING), '|text') AS keywords,
        CASE WHEN r.id % 3 = 0 THEN 'claude-haiku-4-5' WHEN r.id % 3 = 1 THEN 'claude-haiku-4-5-full' ELSE 'rules' END AS model_used
-FROM {{reviews}} r WHERE r.id % 19 <> 0
+FROM {{reviews}} r WHERE r.text_clean IS NOT NULL
 """
 
 CANDIDATES = """
@@ -113,7 +115,11 @@ def sql(query: str) -> str:
     if "analyzed_reviews" in wanted and "reviews" not in wanted:
         wanted.append("reviews")
     ctes = [f"{n} AS ({views[n]})" for n in views if n in wanted]
-    return "WITH " + ",\n".join(ctes) + (",\n" + query.strip()[5:] if query.strip().upper().startswith("WITH ") else "\n" + query)
+    query = query.strip()
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if query.startswith(head):
+            return head + ",\n".join(ctes) + ",\n" + query.removeprefix(head)
+    return "WITH " + ",\n".join(ctes) + "\n" + query
 
 
 def load(spark: SparkSession, sf_dir: str) -> Tables:

@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the cluster's checkpoint folder, without its lineage.
-
-    The folder is the one named in spark.checkpoint.dir; only a local session that names
-    none gets a temporary one.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; only a local session that names none gets a temporary one."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tallyloom-"))
+    return (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()).rstrip("/")
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/tallyloom-{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the cluster's checkpoint folder, without its lineage."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

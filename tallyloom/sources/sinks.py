@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; the encoding is UTF-8."""
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV in UTF-8 with a header; with a byte order ``mark`` for spreadsheets."""
+    if mark:
+        df = df.toDF("\ufeff" + df.columns[0], *df.columns[1:])
     df.write.mode("overwrite").option("header", True).csv(path)
 
 

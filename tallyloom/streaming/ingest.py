@@ -20,8 +20,9 @@ def _table(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 def ingest_batch(spark: SparkSession, entries: DataFrame, folder: str) -> None:
     """Upsert the places of landing entries and insert reviews whose (place, hash) is new.
 
-    Runs again without effect: known keys are left out by an anti join with the table, so
-    no stream state grows with the reviews.
+    Runs again without effect: known keys are left out by an anti join with two columns of
+    the table, so no stream state grows with the reviews.  New reviews are appended as one
+    part; places, a few for thousands of reviews, are written anew where entries change them.
     """
     places = _table(spark, f"{folder}/places", PLACES)
     fresh = upserts.place_rows(entries)
@@ -36,7 +37,7 @@ def ingest_batch(spark: SparkSession, entries: DataFrame, folder: str) -> None:
     rows = landing.reviews(entries).join(places.select(F.col("id").alias("place_id"), F.col("name").alias("place_name")), "place_name")
     rows = landing.first_copies(rows, ("place_id", "text_hash"), "scraped_at").join(reviews.select("place_id", "text_hash"), ["place_id", "text_hash"], "left_anti")
     numbered = upserts.next_ids(rows, reviews, ["place_id", "text_hash"])
-    versions.write(reviews.unionByName(numbered.select(*reviews.columns)), f"{folder}/reviews")
+    versions.append(numbered.select(*reviews.columns), f"{folder}/reviews")
 
 
 def ingest(spark: SparkSession, source: str, folder: str, checkpoint: str) -> StreamingQuery:

@@ -116,3 +116,15 @@ def test_cleaning_twice_changes_nothing_in_plain_lines(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "v string")
     for r in df.select(x.clean_review_text(F.col("v")).alias("r")).collect():
         assert r["r"] == r["r"].strip() and "\n" not in r["r"] and "  " not in r["r"]
+
+
+def test_distance_on_the_spheroid(spark):
+    """One degree of latitude and of longitude at the equator, and a known line (Flinders Peak to Buninyong, 54,972.271 m on GRS 80)."""
+    lines = [(0.0, 0.0, 1.0, 0.0), (0.0, 0.0, 0.0, 1.0), (-37.95103341, 144.42486789, -37.65282114, 143.92649552), (5.0, 5.0, 5.0, 5.0)]
+    got = [r["d"] for r in spark.createDataFrame(lines, "a double, b double, c double, e double").select(geo.geodesic(*(F.col(x) for x in "abce")).alias("d")).collect()]
+    assert abs(got[0] - 110574.39) < 1 and abs(got[1] - 111319.49) < 1 and abs(got[2] - 54972.27) < 1 and got[3] == 0
+
+
+def test_date_presets():
+    assert dates.last_days(date(2024, 3, 1), 2) == ("2024-02-29", "2024-03-01")
+    assert dates.whole_year(2024) == ("2024-01-01", "2024-12-31")

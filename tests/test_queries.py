@@ -9,8 +9,6 @@ import pytest
 
 from tallyloom.plans.registry import ORACLE_SQL, QUERIES
 
-NO_SQL = sorted(set(QUERIES) - set(ORACLE_SQL))
-
 
 @pytest.fixture(scope="module")
 def duck(small):
@@ -42,9 +40,8 @@ def test_same_as_sql(spark, small, duck, name):
     assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
 
 
-@pytest.mark.parametrize("name", NO_SQL)
-def test_runs(spark, small, name):
-    assert QUERIES[name](spark, small).count() >= 0
+def test_all_have_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry(spark):

@@ -180,3 +180,44 @@ def test_subdivided_cells_leave_out_done_ones(spark, small):
     done = jobs.limit(3).select(F.col("lat").alias("cell_lat"), F.col("lng").alias("cell_lng"), F.col("radius_m").alias("cell_radius_m"), "place_type", F.lit("OK").alias("status"))
     more = Tables(t.places, t.reviews, t.analyzed, t.candidates, t.cells.unionByName(done.withColumns({"pages": F.lit(1), "results": F.lit(0), "hit_cap": F.lit(False), "type_matched": F.lit(None).cast("int")})))
     assert audits.subdivide(spark, more).count() == jobs.count() - 3
+
+
+def test_versions_survive_broken_changes(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    one = spark.range(3).toDF("id")
+    assert versions.current(spark, folder) is None and versions.parts(spark, folder) == []
+    versions.write(one, folder)
+    # A change that broke off: a part that no version names, and a list that was never renamed.
+    one.write.parquet(f"{folder}/p-broken")
+    (tmp_path / "t" / "next-broken").write_text("p-broken")
+    assert sorted(r["id"] for r in versions.read(spark, folder).collect()) == [0, 1, 2]
+    versions.append(spark.range(3, 5).toDF("id"), folder)
+    assert sorted(r["id"] for r in versions.read(spark, folder).collect()) == [0, 1, 2, 3, 4]
+    assert versions.read(spark, folder, 0).count() == 3
+    versions.publish(spark, folder, versions.parts(spark, folder, 0))
+    assert versions.read(spark, folder).count() == 3 and versions.versions(spark, folder) == [0, 1, 2]
+    assert len(list((tmp_path / "t").glob("p-*"))) == 3  # an append wrote its own rows only
+
+
+def test_splits_and_quotas_by_hand(spark):
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 10 == 0, "rare").when(F.col("id") == 1, None).otherwise("hot").alias("label"))
+    got = evaluate.split(rows).groupBy("label", "split").count().collect()
+    assert {(r["label"], r["split"]): r["count"] for r in got} == {("rare", "test"): 30, ("rare", "val"): 30, ("rare", "train"): 140, ("hot", "test"): 269, ("hot", "val"): 269, ("hot", "train"): 1261, (None, "test"): 1}
+    assert {r["label"]: r["count"] for r in evaluate.quota_sample(rows, 50).groupBy("label").count().collect()} == {"rare": 50, "hot": 50, None: 1}
+
+
+def test_quartiles_of_ranges(spark):
+    values = [(i * 37) % 1000 for i in range(1000)] + [5] * 200
+    got = audits.quartiles(spark.createDataFrame([(v,) for v in values], "v int"), "v").first()
+    values.sort()
+    assert tuple(got) == (values[300], values[600], values[900])
+
+
+def test_answers_of_a_place_api(spark, tmp_path):
+    result = {"place_id": "g1", "name": "n", "lat": 1.0, "lng": 2.0, "types": ["cafe", "food"], "rating": 4.5, "user_ratings_total": 7, "business_status": "CLOSED_TEMPORARILY", "vicinity": "v"}
+    lines = [{"cell_lat": 1.0, "cell_lng": 2.0, "cell_radius_m": 500, "place_type": "cafe", "results": [result]}, {"cell_lat": 1.0, "cell_lng": 2.0, "cell_radius_m": 500, "place_type": "museum", "results": [{**result, "place_id": f"m{i}", "business_status": None} for i in range(60)]}]
+    (tmp_path / "a.json").write_text("\n".join(json.dumps(x) for x in lines))
+    rows = landing.search_results(spark, str(tmp_path / "a.json")).collect()
+    first = next(r for r in rows if r["google_place_id"] == "g1")
+    assert len(rows) == 61 and first["google_types"] == "cafe,food" and first["type_matches"] and not first["hit_cap"] and first["business_status"] == "closed_temporarily"
+    assert all(r["hit_cap"] and not r["type_matches"] and r["business_status"] is None for r in rows if r["google_place_id"] != "g1")
