@@ -103,26 +103,14 @@ def clean_review_text(raw: Column) -> Column:
     """The words of the reviewer alone: icons, buttons, names, dates and owner's answers go."""
     lines = F.transform(F.split(F.coalesce(raw, F.lit("")), "\n"), lambda x: strip(F.regexp_replace(x, PRIVATE_USE, "")))
 
-    def stays(p: Column) -> Column:
-        line, after = p["line"], p["next"]
-        gone = (
-            (line == "")
-            | line.isin(*DROP_EXACT)
-            | starts_with_any(line, DROP_PREFIX)
-            | _is(line, DATE_LINE, fold=True)
-            | _is(line, TODAY_LINE, fold=True)
-            | _is(line, META_LINE)
-            | _is(line, COUNT_LINE)
-            | after.startswith("Local Guide")
-            | _is(after, META_NEXT)
-        )
-        return ~gone
-
+    # One pattern a line, and one for the line behind it.
+    quoted = lambda words: "|".join(f"\\Q{w}\\E" for w in words)
+    gone = f"(?U)^$|^(?:{quoted(DROP_EXACT)})$|^(?:{quoted(DROP_PREFIX)})|(?iu:{DATE_LINE}|{TODAY_LINE})|{META_LINE}|{COUNT_LINE}"
+    stays = lambda p: ~(p["line"].rlike(gone) | p["next"].rlike(f"(?U)^Local Guide|{META_NEXT}"))
     following = lambda own: F.concat(F.slice(own, 2, F.size(own)), F.array(F.lit("")))
     paired = let(lines, lambda own: F.zip_with(own, following(own), lambda a, b: F.struct(a.alias("line"), b.alias("next"))))
     text = F.array_join(F.transform(F.filter(paired, stays), lambda p: p["line"]), " ")
-    for marker in CUT_MARKERS:
-        text = F.regexp_replace(text, f"(?s){marker}.*$", "")
+    text = F.regexp_replace(text, f"(?s)(?:{'|'.join(CUT_MARKERS)}).*$", "")
     for tail in TAILS:
         text = strip(F.regexp_replace(text, "(?U)" + tail, ""))
     return F.regexp_replace(text, r"(?U)\s{2,}", " ")
