@@ -69,7 +69,6 @@ LINES = W.INLINE | frozenset("h1 h2 h3 h4 h5 h6 hgroup p li dt dd td th tr pre b
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 OPEN = re.compile(r"^(has|with|no|without|not|show|enable|is)[-_]")
 SPACES = re.compile(r"\s+")
-MAIN = "-main"
 
 
 def _names(label: str) -> list[str]:
@@ -194,11 +193,14 @@ def article(lines: list[Line], mass: dict[tuple[str, ...], int]) -> list[Line]:
     # Elements inside whose slots are all constant, if small.
     total = sum(len(x.unit.text) for x in own)
     size: dict[int, int] = {}
+    varying = set()
     for x in own:
-        for k in range(depth, len(x.unit.opened)):
-            if x.name(k) not in LINES:
-                size[x.unit.opened[k]] = (size.get(x.unit.opened[k], 0) + len(x.unit.text)) if constant(x.slot) else total
-    fixed = {element for element, n in size.items() if 4 * n < total and all(constant(x.slot) for x in own if element in x.unit.opened)}
+        inner = [element for k, element in enumerate(x.unit.opened[depth:], depth) if x.name(k) not in LINES]
+        if not constant(x.slot):
+            varying.update(inner)
+        for element in inner:
+            size[element] = size.get(element, 0) + len(x.unit.text)
+    fixed = {element for element, n in size.items() if element not in varying and 4 * n < total}
     return [x for x in own if fixed.isdisjoint(x.unit.opened)]
 
 

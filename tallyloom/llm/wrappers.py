@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass, field
 from hashlib import blake2b
 from zlib import crc32
@@ -224,15 +225,18 @@ NEAR = 12
 
 
 def _spans(keys: list[str]) -> list[int]:
-    """Lengths that a group next to its like may have, in order."""
+    """Lengths that a group next to its like may have, in order.
+
+    All strings of keys in the second of two long groups stand one length before, too.
+    """
     last: dict[tuple, int] = {}
-    far = set()
+    far: Counter[int] = Counter()
     for k in range(len(keys) - NEAR):
         gram = tuple(keys[k : k + NEAR + 1])
-        if gram in last and k - last[gram] > NEAR:
-            far.add(k - last[gram])
+        if gram in last:
+            far[k - last[gram]] += 1
         last[gram] = k
-    return [*range(1, NEAR + 1), *sorted(far)]
+    return [*range(1, NEAR + 1), *sorted(d for d, n in far.items() if n >= d - NEAR > 0)]
 
 
 def _fold(nodes: list[Node], keys: list[str], span: int) -> list[Node]:
