@@ -158,6 +158,7 @@ def matches(words: np.ndarray, block: Block, least: float, size: int) -> Iterato
 
 def _scan(shared, least: float, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.retire()
         block: Block = shared.value
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("length", pa.int32())]))]
         for whole in batches:

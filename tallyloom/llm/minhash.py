@@ -138,7 +138,7 @@ def _signer(bands: int, rows: int, size: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.retire()
         for whole in batches:
-            for batch in tokens.slices(whole, 1):
+            for batch in tokens.slices(whole, 1, 2_000_000):
                 words, at = word_hashes(batch.column(1))
                 nodes, sets, out = [], [], []
                 for i in range(batch.num_rows):

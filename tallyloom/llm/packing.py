@@ -108,7 +108,7 @@ def _packer(path: str, end_id: int, capacity: int, open_bins: int, lookahead: in
             return out
 
         for whole in batches:
-            for batch in tokens.slices(whole, 1):
+            for batch in tokens.slices(whole, 1, 2_000_000):
                 ids, at = encode(batch.column(1))
                 for doc_id, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                     own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
@@ -130,7 +130,7 @@ def _packer(path: str, end_id: int, capacity: int, open_bins: int, lookahead: in
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 256, lookahead: int = 1024, min_rows_per_task: int = 2000, known_chunks: int = 600_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 256, lookahead: int = 1024, min_rows_per_task: int = 2000, known_chunks: int = 300_000) -> DataFrame:
     """Pack documents ``(doc_id, text)`` into sequences of at most ``capacity`` ids.
 
     One row per piece with its ids (little-endian unsigned 32 bit), the number of its

@@ -43,6 +43,8 @@ from tallyloom.llm import common, tokens
 
 BEGINS = (3, 4, 5, 6, 7)
 FOLDS = 5
+#: Words whose scores a task remembers.
+KNOWN = 30_000
 SCORED = "doc_id long, n_words long, best double, expected double, score double, passages array<struct<first:int,last:int,score:double>>"
 
 
@@ -159,7 +161,7 @@ def _segment_scores(models: list[Model]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[dict[str, float]] = [{} for _ in models]
         for whole in batches:
-            for batch in tokens.slices(whole, 0):
+            for batch in tokens.slices(whole, 0, 1_000_000):
                 fold, found, n_words = batch.column(2).to_numpy(), [], []
                 values, at = words_of(batch.column(0))
                 for k in range(batch.num_rows):
@@ -180,7 +182,7 @@ def _word_scores(values: pa.Array, at: np.ndarray, model: Model, known: dict[str
         s = known.get(w)
         if s is None:
             s = model.word(w)
-            if len(known) < 200_000:  # a memory of words met before; others are looked up anew
+            if len(known) < KNOWN:  # a memory of words met before; others are looked up anew
                 known[w] = s
         own.append(s)
     if not len(values):
