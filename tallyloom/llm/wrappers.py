@@ -15,9 +15,12 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 from hashlib import blake2b
 from zlib import crc32
 
+import numpy as np
+
 TAG, TEXT, GROUP = 0, 1, 2
 #: Elements without content, and elements whose content is not markup (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -100,7 +103,11 @@ def stream(html: str):
                         break
             else:
                 pop_to(name)
-            labels, opened = tuple(x[1] for x in path), tuple(x[2] for x in path)
+            if len(path) < len(labels):
+                if path and path[-1][2] != opened[len(path) - 1]:  # one in the middle went
+                    labels, opened = tuple(x[1] for x in path), tuple(x[2] for x in path)
+                else:
+                    labels, opened = labels[: len(path)], opened[: len(path)]
             yield TAG, "/" + name, labels, "", inside, opened
             continue
         got = {}
@@ -125,7 +132,8 @@ def stream(html: str):
                 break
             if path[k][0] in SCOPES or path[k][0] in ("ul", "ol", "dl", "select"):
                 break
-        labels, opened = tuple(x[1] for x in path), tuple(x[2] for x in path)
+        if len(path) < len(labels):
+            labels, opened = labels[: len(path)], opened[: len(path)]
         made += 1
         yield TAG, label, labels, "", name in INLINE, opened
         if name in RAW:
@@ -161,37 +169,48 @@ class Unit:
     def node(self) -> Node:
         if self.kind == TAG:
             return Node(TAG, self.label)
-        # Texts meet only below the same elements.
-        return Node(TEXT, f"#{crc32('>'.join(self.path).encode('utf-8', 'replace')):x}", self.path, self.text, places=self.places, size=len(self.text), linked=self.linked)
+        return Node(TEXT, _slot(self.path), self.path, self.text, places=self.places, size=len(self.text), linked=self.linked)
 
 
 def _bare(label: str) -> bool:
     return label.lstrip("/") in INLINE
 
 
+@lru_cache(maxsize=4096)
+def _around(path: tuple[str, ...]) -> tuple[tuple[str, ...], tuple[int, ...], bool]:
+    """Open elements of a line's text without bare inline ones, their places, and whether the text is linked."""
+    kept = tuple(k for k, x in enumerate(path) if not _bare(x))
+    return tuple(path[k] for k in kept), kept, any(x == "a" or x.startswith("a.") for x in path)
+
+
 def units(parts: list) -> list[Unit]:
     """A stream's tags and lines of text; bare inline tags and texts of white space only leave no mark."""
     out: list[Unit] = []
     place = 0
     for kind, label, path, text, inside, opened in parts:
         if kind == TAG:
-            if not (inside and _bare(label)) or label == "/p":
+            if not inside or not _bare(label):
                 out.append(Unit(TAG, label))
             continue
         if not text.isspace():
-            bare = [_bare(x) for x in path]
-            linked = len(text) if any(x.partition(".")[0] == "a" for x in path) else 0
-            around = tuple(x for x, b in zip(path, bare) if not b)
+            around, kept, link = _around(path)
+            linked = len(text) if link else 0
             last = out[-1] if out else None
             if last is not None and last.kind == TEXT and last.path == around:
                 last.text, last.linked = last.text + text, last.linked + linked
                 last.places.append(place)
             else:
-                out.append(Unit(TEXT, "#", around, tuple(x for x, b in zip(opened, bare) if not b), text, linked, [place]))
+                out.append(Unit(TEXT, "#", around, opened if len(kept) == len(opened) else tuple(opened[k] for k in kept), text, linked, [place]))
         place += 1
     return out
 
 
+@lru_cache(maxsize=4096)
+def _slot(path: tuple[str, ...]) -> str:
+    """Key of a text: texts meet only below the same elements."""
+    return f"#{crc32('>'.join(path).encode('utf-8', 'replace')):x}"
+
+
 def key(node: Node) -> str:
     """What two nodes must share to be aligned."""
     return node.label if node.kind != GROUP else "{" + node.label + "}"
@@ -265,19 +284,28 @@ def _fold(nodes: list[Node], keys: list[str], span: int) -> list[Node]:
     return out
 
 
+def _tandem(ids: np.ndarray, span: int) -> bool:
+    """Whether some group of ``span`` stands next to its like."""
+    same = np.append(0, np.cumsum(ids[:-span] == ids[span:]))
+    return len(same) > span and bool((same[span:] - same[:-span] == span).any())
+
+
 def fold(nodes: list[Node]) -> list[Node]:
     """Neighbouring equal groups of any length become repeats, small groups first."""
     done = 0
     while True:
         keys = [key(n) for n in nodes]
-        spans = [x for x in _spans(keys) if x > done and 2 * x <= len(keys)]
-        if not spans:
-            return nodes
+        number: dict[str, int] = {}
+        ids = np.array([number.setdefault(k, len(number)) for k in keys])
+        spans = [x for x in _spans(keys) if x > done and 2 * x <= len(keys)] if len(number) < len(keys) else []
         for done in spans:
-            after = _fold(nodes, keys, done)
-            if len(after) < len(nodes):  # keys and distances are others now
-                nodes = after
-                break
+            if _tandem(ids, done):
+                after = _fold(nodes, keys, done)
+                if len(after) < len(nodes):  # keys and distances are others now
+                    nodes = after
+                    break
+        else:
+            return nodes
 
 
 def _exact(x: list[str], y: list[str]) -> list[tuple[int, int]]:
