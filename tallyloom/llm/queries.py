@@ -103,6 +103,14 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import common, warc
+
+    folder = warc.write(_table(spark, sf_dir, "pages"))
+    found = common.stored(warc.read(spark, folder, payloads=False), "warc-records")
+    return warc.resolve(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_segments", "error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_shards": op2_shards,
@@ -114,9 +122,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_substrings": op10_substrings,
+    "op11_warc": op11_warc,
 }
 
-#: Only the ledger can be told in SQL; the other operators are tested against brute force.
+#: Where SQL can't tell an operator's rows it is tested against brute force.
 QUALITY_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
@@ -131,4 +140,16 @@ b AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_wo
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, n_upper, n_lines, fail_bits FROM b
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_quality": QUALITY_SQL}
+#: Base32 by groups of five hexadecimal digits, four characters each; a block longer than 16,384 bytes is cut.
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS hex, min(page_id) OVER (PARTITION BY sha256(b)) AS first FROM p),
+n AS (SELECT *, [CAST('0x' || substr(hex, i, 5) AS INT) for i in [1, 6, 11, 16, 21, 26, 31, 36]] AS g FROM d),
+s AS (SELECT *, 87 + payload_bytes + payload_bytes // 4096 * 8 + CASE WHEN payload_bytes % 4096 > 0 THEN 4 + length(printf('%x', payload_bytes % 4096)) ELSE 0 END + 5 AS block FROM n)
+SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 15) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 10) % 32 + 1, 1)
+  || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 5) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v % 32 + 1, 1) for v in g], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+  CASE WHEN page_id <> first THEN 1 ELSE CAST(ceil(block / 16384) AS INT) END AS n_segments, CAST(NULL AS VARCHAR) AS error FROM s
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_quality": QUALITY_SQL, "op11_warc": WARC_SQL}
