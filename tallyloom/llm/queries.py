@@ -111,6 +111,13 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_segments", "error")
 
 
+def op13_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import blockmax
+
+    postings, n, _ = blockmax.index(_table(spark, sf_dir, "documents"))
+    return blockmax.rank(postings, n, _table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_shards": op2_shards,
@@ -123,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_substrings": op10_substrings,
     "op11_warc": op11_warc,
+    "op13_rank": op13_rank,
 }
 
 #: Where SQL can't tell an operator's rows it is tested against brute force.
@@ -152,4 +160,15 @@ SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWX
   CASE WHEN page_id <> first THEN 1 ELSE CAST(ceil(block / 16384) AS INT) END AS n_segments, CAST(NULL AS VARCHAR) AS error FROM s
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_quality": QUALITY_SQL, "op11_warc": WARC_SQL}
+RANK_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+g AS (SELECT count(DISTINCT rid) AS n, count(*) AS l FROM d),
+m AS (SELECT rid, 25 + (75 * count(*) * (SELECT n FROM g)) // (SELECT l FROM g) AS m FROM d GROUP BY 1),
+p AS (SELECT rid, doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT n FROM g) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p GROUP BY 1),
+s AS (SELECT item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, rid) AS INT) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_quality": QUALITY_SQL, "op11_warc": WARC_SQL, "op13_rank": RANK_SQL}
