@@ -111,6 +111,14 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_segments", "error")
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import negatives
+
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    rows, quantiser = negatives.index(negatives.integers(vectors))
+    return negatives.mine(rows, quantiser, rows.where("id % 100 = 0"))
+
+
 def op13_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import blockmax
 
@@ -130,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_substrings": op10_substrings,
     "op11_warc": op11_warc,
+    "op12_negatives": op12_negatives,
     "op13_rank": op13_rank,
 }
 
@@ -160,6 +169,15 @@ SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWX
   CASE WHEN page_id <> first THEN 1 ELSE CAST(ceil(block / 16384) AS INT) END AS n_segments, CAST(NULL AS VARCHAR) AS error FROM s
 """
 
+NEGATIVES_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id AS other, a.label = e.label AS same, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score FROM e AS a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INT) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5
+"""
+
 RANK_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
 q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
@@ -171,4 +189,4 @@ s AS (SELECT item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, rid) AS INT) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_quality": QUALITY_SQL, "op11_warc": WARC_SQL, "op13_rank": RANK_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_quality": QUALITY_SQL, "op11_warc": WARC_SQL, "op12_negatives": NEGATIVES_SQL, "op13_rank": RANK_SQL}

@@ -115,3 +115,15 @@ def test_op9(spark, small, rows):
 def test_op10(spark, small, rows):
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in collected(spark, small, "op10_substrings"))
     assert got == removed(rows, 200)
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.ORACLE_SQL) - {"op5_quality"}))
+def test_same_as_sql(spark, small, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
+    found = con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in found.description]
+    got = queries.QUERIES[name](spark, small)
+    assert sorted(names) == sorted(got.columns)
+    assert Counter(tuple(r[n] for n in names) for r in got.collect()) == Counter(found.fetchall())
