@@ -99,11 +99,18 @@ def _pack(values: np.ndarray, slot: np.ndarray, eights: np.ndarray, width: np.nd
             out[place[own][:, None] + np.arange(w)] = np.packbits(bits.astype(np.uint8).reshape(len(own), 8 * w), axis=1)
 
 
-def _unpack(data: np.ndarray, at: int, n: int, width: int) -> np.ndarray:
-    if not width:
-        return np.zeros(n, np.int64)
-    bits = np.unpackbits(data[at : at + (n + 7) // 8 * width]).reshape(-1, width)
-    return bits[:n] @ (1 << np.arange(width - 1, -1, -1, dtype=np.int64))
+def _unpack(data: np.ndarray, at: np.ndarray, size: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The numbers of blocks in a row, each of ``size`` numbers of ``width`` bits from byte ``at``."""
+    eights = (size + 7) // 8
+    out = np.zeros((int(eights.sum()), 8), np.int64)
+    wide = np.repeat(width, eights)
+    nth = np.arange(len(out)) - np.repeat(np.cumsum(eights) - eights, eights)
+    place = np.repeat(at, eights) + nth * wide
+    for w in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero(wide == w)
+        bits = np.unpackbits(data[place[rows][:, None] + np.arange(w)], axis=1).reshape(len(rows), 8, w)
+        out[rows] = bits @ (1 << np.arange(w - 1, -1, -1, dtype=np.int64))
+    return out.reshape(-1)[tokens._places(8 * (np.cumsum(eights) - eights), size)]
 
 
 def invert(found: pa.Array, owner: np.ndarray, m: np.ndarray, shard: int) -> pa.RecordBatch:
@@ -189,28 +196,51 @@ def index(docs: DataFrame, shard_bytes: int = 1 << 25) -> tuple[DataFrame, int,
 
 
 class Shard:
-    """The lists of one shard that a block of items asks for."""
+    """The lists of one shard that a block of items asks for, blocks decompressed when first asked for."""
 
     def __init__(self, about: tuple[int, bytes, bytes]):
         n, ids, rest = about
         self.ids, self.m = np.frombuffer(ids, "<i8"), np.frombuffer(rest, "<i8", n)
         self.null = np.frombuffer(rest, np.uint8, n, 8 * n).astype(bool)
-        self.lists: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-        self.open: dict[tuple[bytes, int], tuple[np.ndarray, np.ndarray]] = {}
+        #: Blocks of each term, as places in ``heads``.
+        self.terms: dict[bytes, tuple[int, int]] = {}
+        self._held: list[tuple[bytes, bytes]] = []
+        self._blocks = 0
 
     def add(self, term: bytes, blocks: bytes, data: bytes) -> None:
-        self.lists[term] = np.frombuffer(blocks, HEAD), np.frombuffer(data, np.uint8)
-
-    def block(self, term: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and impacts of a block, decompressed when first asked for."""
-        if (term, k) not in self.open:
-            heads, data = self.lists[term]
-            h = heads[k]
-            size, at, wide = int(h["size"]), int(h["at"]), int(h["gap_bits"])
-            doc = int(h["first"]) + np.cumsum(_unpack(data, at, size, wide))
-            tf = 1 + _unpack(data, at + (size + 7) // 8 * wide, size, int(h["tf_bits"]))
-            self.open[term, k] = doc, impacts(tf, self.m[doc])
-        return self.open[term, k]
+        n = len(blocks) // HEAD.itemsize
+        self.terms[term] = self._blocks, self._blocks + n
+        self._blocks += n
+        self._held.append((blocks, data))
+
+    def ready(self) -> Shard:
+        """After the last list: headers in a row, and room for the postings of all blocks."""
+        self.heads = np.frombuffer(b"".join(b for b, _ in self._held), HEAD)
+        self.data = np.frombuffer(b"".join(d for _, d in self._held), np.uint8)
+        ahead = np.cumsum([0, *(len(d) for _, d in self._held)])[:-1]
+        self._held.clear()
+        self.first, self.last, self.peak, self.size = (self.heads[c].astype(np.int64) for c in ("first", "last", "peak", "size"))
+        counts = np.array([b - a for a, b in self.terms.values()], np.int64)
+        self.at = self.heads["at"] + np.repeat(ahead, counts)
+        self.place = np.cumsum(self.size) - self.size
+        self.is_open = np.zeros(len(self.heads), bool)
+        self.doc, self.impact = np.zeros(int(self.size.sum()), np.int64), np.zeros(int(self.size.sum()), np.int64)
+        return self
+
+    def open(self, blocks: np.ndarray) -> None:
+        """Decompress those of ``blocks`` that are not open yet."""
+        blocks = blocks[~self.is_open[blocks]]
+        if not len(blocks):
+            return
+        gaps, tfs = self.heads["gap_bits"][blocks].astype(np.int64), self.heads["tf_bits"][blocks].astype(np.int64)
+        size, eights = self.size[blocks], (self.size[blocks] + 7) // 8
+        to = tokens._places(self.place[blocks], size)
+        gap = _unpack(self.data, self.at[blocks], size, gaps)
+        total = np.cumsum(gap)
+        begin = np.cumsum(size) - size
+        self.doc[to] = total + np.repeat(self.first[blocks] - total[begin], size)
+        self.impact[to] = impacts(1 + _unpack(self.data, self.at[blocks] + eights * gaps, size, tfs), self.m[self.doc[to]])
+        self.is_open[blocks] = True
 
     def search(self, asked: list[tuple[bytes, int]], least: int, k: int, at_once: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """Documents (from 0) and scores that may be among the k best, given the k-th best score so far.
@@ -218,54 +248,43 @@ class Shard:
         ``asked``: terms and their weights; ``at_once``: documents of the first round, four times
         as many in each one after.  Documents below ``least`` and with a score of 0 are left out.
         """
-        none = np.empty(0, np.int64)
-        lists = sorted(((t, w) for t, w in asked if w > 0 and t in self.lists), key=lambda x: -x[1] * int(self.lists[x[0]][0]["peak"].max()))
-        if not lists:
-            return none, none
-        firsts, lasts, peaks = [], [], []
-        for term, w in lists:
-            h = self.lists[term][0]
-            # A list of one block is opened at once: its pointer stands on single documents.
-            doc, impact = self.block(term, 0) if len(h) == 1 else (None, h["peak"].astype(np.int64))
-            firsts.append(h["first"].astype(np.int64) if doc is None else doc)
-            lasts.append(h["last"].astype(np.int64) if doc is None else doc)
-            peaks.append(w * impact)
-        # Shallow moves: the bound of each range of documents between two ends of blocks.
-        ends = np.concatenate([x for a, b in zip(firsts, lasts) for x in (a, b + 1)])
-        steps = np.concatenate([x for p in peaks for x in (p, -p)])
-        order = np.argsort(ends, kind="stable")
-        cuts, where = np.unique(ends[order], return_index=True)
-        bound = np.add.reduceat(steps[order], where).cumsum()[:-1]
+        here = [(*self.terms[t], w) for t, w in asked if w > 0 and t in self.terms]
+        begin, end, weights = (np.array(x, np.int64) for x in (zip(*here) if here else ((), (), ())))
+        blocks, weight, alone = tokens._places(begin, end - begin), np.repeat(weights, end - begin), np.repeat(end - begin == 1, end - begin)
+        # A list of one block is opened at once: its pointer stands on single documents.
+        self.open(blocks[alone])
+        sure = tokens._places(self.place[blocks[alone]], self.size[blocks[alone]])
+        sure_doc, sure_score = self.doc[sure], self.impact[sure] * np.repeat(weight[alone], self.size[blocks[alone]])
+        blocks, weight = blocks[~alone], weight[~alone]
+        first, last = self.first[blocks], self.last[blocks]
+        # Shallow moves: greatest impacts of the blocks over each document, none of them decompressed.  Sums stay below 2**53.
+        n = len(self.ids)
+        peak = self.peak[blocks] * weight
+        over = np.bincount(first, peak, n + 1) - np.bincount(last + 1, peak, n + 1)
+        exact = np.bincount(sure_doc, sure_score, n)
+        bound = np.rint(np.cumsum(over)[:n]) + exact
         least = max(least, 1)
         rest = np.flatnonzero(bound >= least)
-        rest = rest[np.argsort(-bound[rest], kind="stable")]
-        widths = np.diff(cuts)
-        docs, scores = none, none
+        docs = scores = np.empty(0, np.int64)
         while len(rest):
-            n = 1 + int(np.searchsorted(np.cumsum(widths[rest]), at_once))
-            now, rest, at_once = np.sort(rest[:n]), rest[n:], 4 * at_once
-            doc = tokens._places(cuts[now], widths[now])
-            hope, score = np.repeat(bound[now], widths[now]), np.zeros(len(doc), np.int64)
-            for (term, w), first, last, p in zip(lists, firsts, lasts, peaks):
-                # Documents of a block stand in a row in doc; blocks of a list don't overlap.
-                lo, hi = np.searchsorted(doc, first), np.searchsorted(doc, last, "right")
-                if len(self.lists[term][0]) == 1:
-                    score[lo[lo < hi]] += p[lo < hi]
-                    continue
-                for b in np.flatnonzero(lo < hi).tolist():
-                    i, j = int(lo[b]), int(hi[b])
-                    if hope[i:j].max() < least:
-                        continue
-                    hope[i:j] -= p[b]
-                    there, impact = self.block(term, b)
-                    place = np.searchsorted(doc[i:j], there)
-                    place[place == j - i] = 0
-                    hit = doc[i:j][place] == there
-                    gain = w * impact[hit]
-                    score[i + place[hit]] += gain
-                    hope[i + place[hit]] += gain
-            fine = hope >= least
-            docs, scores = np.concatenate([docs, doc[fine]]), np.concatenate([scores, score[fine]])
+            if len(rest) > at_once:
+                order = np.argpartition(-bound[rest], at_once)
+                now, rest = rest[order[:at_once]], rest[order[at_once:]]
+            else:
+                now, rest = rest, rest[:0]
+            at_once *= 4
+            wanted = np.zeros(n + 1, np.int64)
+            wanted[now + 1] = 1
+            upto = np.cumsum(wanted)
+            needed = upto[last + 1] > upto[first]
+            self.open(blocks[needed])
+            own = tokens._places(self.place[blocks[needed]], self.size[blocks[needed]])
+            gain = np.repeat(weight[needed], self.size[blocks[needed]])
+            hit = wanted[self.doc[own] + 1] == 1
+            score = exact + np.bincount(self.doc[own[hit]], self.impact[own[hit]] * gain[hit], n)
+            found = np.rint(score[now]).astype(np.int64)
+            fine = found >= least
+            docs, scores = np.append(docs, now[fine]), np.append(scores, found[fine])
             if len(scores) >= k:
                 least = max(least, int(np.partition(scores, len(scores) - k)[len(scores) - k]))
                 docs, scores = docs[scores >= least], scores[scores >= least]
@@ -292,12 +311,12 @@ def _searcher(items: list[list[tuple[bytes, int]]], k: int):
             for s, t, n, b, d in zip(number, term, df, blocks, data):
                 if s != now:
                     if shard is not None:
-                        settle(shard)
+                        settle(shard.ready())
                     shard, now = Shard((n, b, d)), s
                 else:
                     shard.add(t, b, d)
         if shard is not None:
-            settle(shard)
+            settle(shard.ready())
         sizes = [len(s) for s, _, _ in best]
         score, null, ids = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (zip(*best) if best else ((), (), ())))
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(best)), sizes)), pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(score, pa.int64())], ["item", "doc_id", "score"])

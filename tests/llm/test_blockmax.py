@@ -62,9 +62,13 @@ def test_packed_blocks(seed):
     assert made.num_rows == len(want)
     for r in made.to_pylist():
         shard.add(r["term"], r["blocks"], r["data"])
-        heads, got = shard.lists[r["term"]][0], []
-        for k, h in enumerate(heads):
-            docs, impact = shard.block(r["term"], k)
+    shard.ready()
+    for r in made.to_pylist():
+        got = []
+        for k in range(*shard.terms[r["term"]]):
+            shard.open(np.array([k]))
+            at, h = int(shard.place[k]), shard.heads[k]
+            docs, impact = shard.doc[at : at + int(h["size"])], shard.impact[at : at + int(h["size"])]
             assert (docs[0], docs[-1], impact.max(), len(docs)) == (h["first"], h["last"], h["peak"], h["size"])
             got += list(zip(docs.tolist(), impact.tolist()))
         here = want[r["term"].decode()]
@@ -89,10 +93,10 @@ def test_search_skips_blocks(at_once):
         shard.add(r["term"], r["blocks"], r["data"])
         df[r["term"]] = r["df"]
     asked = [(t, math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1)))) for t in (b"the", b"of", b"and", b"zebra", b"quagga", b"okapi")]
-    got, scores = shard.search(asked, 0, 3, at_once)
+    got, scores = shard.ready().search(asked, 0, 3, at_once)
     best = [d for _, d in sorted(zip((-scores).tolist(), got.tolist()))][:3]
     assert best == [700, 9000, 15_000]
-    assert sum(len(h) for h, _ in shard.lists.values()) > 400 and len(shard.open) < 20
+    assert len(shard.is_open) > 400 and shard.is_open.sum() < 20
 
 
 def test_odd_rows(spark, odd_docs):
