@@ -66,6 +66,7 @@ def terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens.retire()
     n = total = 0
     for whole in batches:
         for batch in tokens.slices(whole, 0):
@@ -184,7 +185,7 @@ def _indexer(n: int, total: int, shard_bytes: int):
     return run
 
 
-def index(docs: DataFrame, shard_bytes: int = 1 << 25) -> tuple[DataFrame, int, int]:
+def index(docs: DataFrame, shard_bytes: int = 1 << 24) -> tuple[DataFrame, int, int]:
     """Posting lists of ``(doc_id, text)`` in the shared folder, the documents with a term, and all their terms.
 
     A row without a term opens its shard: the ids of its documents and their lengths.
@@ -361,7 +362,8 @@ def rank(postings: DataFrame, n: int, items: DataFrame, k: int = 10, block_terms
     spark.createDataFrame([], schema).write.parquet(out)
     for block in _in_blocks(asked.toLocalIterator(), block_terms):
         wanted = spark.createDataFrame([(bytearray(t),) for t in sorted({bytes(x["term"]) for r in block for x in r["terms"]})], "term binary")
-        lists = postings.join(wanted, "term", "left_semi")
+        # The block's terms: block_terms bounds them.
+        lists = postings.join(F.broadcast(wanted), "term", "left_semi")
         held = {bytes(r["term"]): r["df"] for r in lists.groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator()}
         weight = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * df + 1))) for t, df in held.items()}
         queries = [[(t, x["n"] * weight[t]) for x in r["terms"] if (t := bytes(x["term"])) in weight] for r in block]
