@@ -3,9 +3,13 @@
 Fitting: every word, and every beginning of ``BEGINS`` characters of a longer one, gets its
 log-odds of standing in toxic rather than clean labelled texts, under an informative
 Dirichlet prior (the frequencies of both classes together), less ``z`` standard errors;
-so odds shrink with the evidence and no word is left out by a count.  A word scores the
-best supported of its whole and its beginnings (0 at least) less ``drift``.  As odds are of
-standing in a text at all, the k-th occurrence in a text has a k-th of them.
+so odds shrink with the evidence and no word is left out by a count.  A beginning stands for
+words that were never seen, so it needs ``least_words`` distinct words that stand rather in
+toxic texts, and has no more than the log-odds of such words among all that share it (one
+insult, however frequent, says nothing of other words that begin like it).  A word scores
+the best supported of its whole and its beginnings (0 at least) less ``drift``, but one that
+is known from clean texts (odds surely below 0) isn't judged by its beginning.  As odds are
+of standing in a text at all, the k-th occurrence in a text has a k-th of them.
 The fit reads at most about ``sample_rows`` labelled rows, and near copies among them
 (equal least hash of shingles, by any of three hash functions) count once, as words that
 only copies share are no evidence.
@@ -52,6 +56,8 @@ SCORED = "doc_id long, n_words long, best double, expected double, score double,
 class Model:
     #: Raised odds of whole words (key "word ") and of beginnings (key "begi").
     odds: dict[str, float] = field(default_factory=dict)
+    #: Words that begin as toxic ones do, but are known from clean texts.
+    known_clean: frozenset[str] = frozenset()
     drift: float = 0.2
     lam: float = 1.0
     log_k: float = 0.0
@@ -60,6 +66,8 @@ class Model:
 
     def word(self, w: str) -> float:
         """Score of a word's first occurrence."""
+        if w in self.known_clean:
+            return -self.drift
         return max(self.odds.get(w + " ", 0.0), max((self.odds.get(w[:k], 0.0) for k in BEGINS if k < len(w)), default=0.0)) - self.drift
 
     def log_expected(self, best: float, n: int) -> float:
@@ -146,9 +154,10 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(c) for c in np.ascontiguousarray(counts.T.astype(np.int64)))], ["token", *(f"c{c}" for c in range(2 * FOLDS))])
 
 
-def _odds(toxic: Column, clean: Column, n1: int, n0: int, prior_mass: float, z: float, cap: float) -> Column:
-    """Log-odds with an informative Dirichlet prior, less ``z`` standard errors."""
-    share = (toxic + clean) / F.lit(float(n1 + n0))
+def _odds(toxic: Column, clean: Column, n1, n0, prior_mass: float, z: float, cap: float) -> Column:
+    """Log-odds with an informative Dirichlet prior, less ``z`` standard errors (plus, where it is negative)."""
+    n1, n0 = (n if isinstance(n, Column) else F.lit(float(n)) for n in (n1, n0))
+    share = (toxic + clean) / (n1 + n0)
     prior = F.greatest(F.lit(0.5), F.lit(prior_mass) * share)
     a1, a0 = toxic + prior, clean + prior
     odds = F.ln(a1 / (n1 + prior_mass)) - F.ln(a0 / (n0 + prior_mass))
@@ -264,7 +273,19 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     return kept
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 24_000, z: float = 2.0, prior_mass: float = 20.0, cap: float = 6.0, drift: float = 0.2) -> Model:
+def _votes(words: DataFrame, cells: dict, sizes: list[tuple[int, int]]) -> DataFrame:
+    """For each beginning, the distinct words that stand rather in toxic texts and those that rather stand in clean ones, by model."""
+    leans = []
+    for k, (n1, n0) in enumerate(sizes):
+        toxic, clean = cells[1](k), cells[0](k)
+        is_toxic = toxic * F.lit(float(n0)) > clean * F.lit(float(n1))
+        leans += [is_toxic.cast("long").alias(f"t{k}"), (~is_toxic & (clean > 0)).cast("long").alias(f"f{k}")]
+    word = F.substring("token", 1, 1_000_000)
+    begins = F.array_compact(F.array(*(F.when(F.length("token") - 1 > n, F.substring(word, 1, n)) for n in BEGINS)))
+    return words.select(F.explode(F.array_append(begins, F.lit(""))).alias("token"), *leans).groupBy("token").agg(*(F.sum(c).alias(c) for k in range(len(sizes)) for c in (f"t{k}", f"f{k}")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 24_000, z: float = 2.0, prior_mass: float = 20.0, cap: float = 6.0, drift: float = 0.2, least_words: int = 5) -> Model:
     """A model from labelled rows; ``labels`` (doc_id, toxic) must hold only rows that may be learnt from."""
     rows = distinct_texts(labelled(docs, labels, sample_rows))
     sizes = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -276,17 +297,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 24_000, z: float
         return model
     cells = [f"c{c}" for c in range(2 * FOLDS)]
     counted = rows.mapInArrow(_class_counts, "token string, " + ", ".join(f"{c} long" for c in cells))
+    summed = common.stored(counted.groupBy("token").agg(*(F.sum(c).alias(c) for c in cells)), "toxic-counts")
     # The last model is of all folds; each other one leaves a fold out, for that fold to be calibrated by.
     without = [*range(FOLDS), None]
-    odds = []
-    for out in without:
-        of = lambda label: reduce(Column.__add__, (F.col(f"c{2 * f + label}") for f in range(FOLDS) if f != out))
-        size = [sum(c for (f, t), c in sizes.items() if t == label and f != out) for label in (0, 1)]
-        odds.append(_odds(of(1), of(0), size[1], size[0], prior_mass, z, cap))
-    tokens_of = counted.groupBy("token").agg(*(F.sum(c).alias(c) for c in cells)).select("token", *(o.alias(f"o{k}") for k, o in enumerate(odds)))
+    of = {label: lambda k, label=label: reduce(Column.__add__, (F.col(f"c{2 * f + label}") for f in range(FOLDS) if f != without[k])) for label in (0, 1)}
+    size = [tuple(sum(c for (f, t), c in sizes.items() if t == label and f != out) for label in (1, 0)) for out in without]
+    votes = common.stored(_votes(summed.where("endswith(token, ' ')"), of, size), "toxic-votes")
+    every = votes.where("token = ''").first()
+    of_texts = [_odds(of[1](k), of[0](k), *size[k], prior_mass, z, cap) for k in range(len(without))]
+    of_words = [_odds(F.col(f"t{k}"), F.col(f"f{k}"), every[f"t{k}"], every[f"f{k}"], prior_mass, z, cap) for k in range(len(without))]
+    begins = summed.join(votes, "token").select("token", *(F.when(F.col(f"t{k}") >= least_words, F.least(a, b)).alias(f"o{k}") for k, (a, b) in enumerate(zip(of_texts, of_words))))
+    whole = summed.where("endswith(token, ' ')").select("token", *(o.alias(f"o{k}") for k, o in enumerate(of_texts)))
     # Bounded as the sample is: tokens with raised odds only.
-    got = tokens_of.where(F.greatest(*(f"o{k}" for k in range(len(odds)))) > 0).collect()
-    models = [Model({r["token"]: r[f"o{k}"] for r in got if r[f"o{k}"] > 0}, drift, intercept=model.intercept) for k in range(len(odds))]
+    raised = F.greatest(*(F.coalesce(f"o{k}", F.lit(0.0)) for k in range(len(without)))) > 0
+    got = begins.where(raised).unionByName(whole.where(raised)).collect()
+    models = [Model({r["token"]: r[f"o{k}"] for r in got if (r[f"o{k}"] or 0) > 0}, drift=drift, intercept=model.intercept) for k in range(len(without))]
+    above = [_odds(of[1](k), of[0](k), *size[k], prior_mass, -z, cap) for k in range(len(without))]
+    surely = summed.where("endswith(token, ' ')").select("token", *((o < 0).alias(f"o{k}") for k, o in enumerate(above))).where(reduce(Column.__or__, (F.col(f"o{k}") for k in range(len(without)))))
+    clean = surely.collect()
+    for k, m in enumerate(models):
+        m.known_clean = frozenset(w for r in clean if r[f"o{k}"] and any((w := r["token"][:-1])[:n] in m.odds for n in BEGINS))
+    common.forget(summed, votes)
     model = models.pop()
     seen = rows.mapInArrow(_segment_scores(models), "toxic long, n_words long, scores array<double>").collect()
     _calibrate(model, [r["toxic"] for r in seen], [r["n_words"] for r in seen], [r["scores"] for r in seen])
