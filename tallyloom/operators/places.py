@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions import filters as f, geo, measures as m
 from tallyloom.tables import Tables
@@ -22,9 +22,41 @@ def with_counts(t: Tables, places: DataFrame | None = None) -> DataFrame:
 LISTED = ("id", "name", "search_query", "overall_rating", "scraped_at", "lng", "lat", "review_count", "high_severity_count")
 
 
-def list_places(t: Tables, limit=100, offset=0) -> DataFrame:
-    page = t.places.orderBy("name", "id").offset(offset).limit(min(limit, 500))
-    return with_counts(t, page).orderBy("name", "id").select(*LISTED)
+def ordered(name: str = "name", collation: str | None = None) -> Column:
+    """A name as it sorts and compares: by code points, or under an ICU collation.
+
+    ``th`` is the order of Thai dictionaries, where a vowel that is written before its consonant
+    sorts after it; with ``_CI`` and ``_AI`` case and accents don't count, in equality too.
+    """
+    return F.col(name) if collation is None else F.collate(name, collation)
+
+
+def list_places(t: Tables, limit=100, offset=0, collation: str | None = None) -> DataFrame:
+    """A page of places in order of their names, under a collation if one is named."""
+    order = (ordered("name", collation), "id")
+    page = t.places.orderBy(*order).offset(offset).limit(min(limit, 500))
+    # Rows of a page are numbered, as sorting them alike once more may be left out as done.
+    page = page.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+    return with_counts(t, page).orderBy("_n").select(*LISTED)
+
+
+def named(t: Tables, name: str, collation: str = "th_CI") -> DataFrame:
+    """Places whose name is equal to ``name`` under a collation."""
+    return t.places.where(ordered("name", collation) == F.collate(F.lit(name), collation))
+
+
+def same_names(t: Tables, collation: str = "th_CI") -> DataFrame:
+    """Names that several places have under a collation: how many places, and in how many spellings."""
+    # A grouped collated name stands for any of its spellings: the least by code points is told.
+    rows = t.places.where("name IS NOT NULL").groupBy(ordered("name", collation).alias("_same"))
+    return rows.agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n_places"), F.count_distinct("name").alias("n_spellings")).where("n_places > 1").drop("_same")
+
+
+def nearest_to_campus(t: Tables, k=5, campus: str = "nu") -> DataFrame:
+    """The places nearest to a campus (``nu`` or ``psru``), with their distances to both in km."""
+    nu, psru = geo.campus_distances(F.col("lat"), F.col("lng"))
+    rows = t.places.select("id", "name", "zone", nu.alias("distance_nu_km"), psru.alias("distance_psru_km")).where(F.col(f"distance_{campus}_km").isNotNull())
+    return rows.orderBy(f"distance_{campus}_km", "id").limit(k)
 
 
 def get_place(t: Tables, place_id: int) -> DataFrame:
@@ -77,6 +109,25 @@ def jobs(log: DataFrame, limit=20) -> DataFrame:
     return last.orderBy(F.desc_nulls_last("started_at"), F.desc("id")).limit(limit)
 
 
+def job_started(log: DataFrame, job_id: int, job_type: str, at) -> DataFrame:
+    """A log with the row of a job that begins; logs only grow, and a job's last row is its state."""
+    row = log.sparkSession.range(1).select(F.lit(job_id).alias("id"), F.lit(job_type).alias("job_type"), F.lit("running").alias("status"), F.lit(at).alias("started_at"))
+    return _logged(log, row)
+
+
+def job_ended(log: DataFrame, job_id: int, at, places_count=None, reviews_count=None, error: str | None = None) -> DataFrame:
+    """A log with the row of a job that is done, or failed with ``error``; type and start come from its first row."""
+    first = log.where(F.col("id") == job_id).groupBy("id").agg(F.min("job_type").alias("job_type"), F.min("started_at").alias("started_at"))
+    row = first.select("id", "job_type", F.lit("done" if error is None else "failed").alias("status"), "started_at", F.lit(at).alias("finished_at"), F.lit(places_count).alias("places_count"), F.lit(reviews_count).alias("reviews_count"), F.lit(error).alias("error"))
+    return _logged(log, row)
+
+
+def _logged(log: DataFrame, row: DataFrame) -> DataFrame:
+    kinds = dict(log.dtypes)
+    have = [F.col(c).cast(kinds[c]).alias(c) if c in row.columns else F.lit(None).cast(kinds[c]).alias(c) for c in log.columns]
+    return log.unionByName(row.select(*have))
+
+
 def ranked_by(rows: DataFrame, measure: Column, k=20) -> DataFrame:
     """Rows with a positive measure, the largest first."""
     return rows.withColumn("_measure", measure).where("_measure > 0").orderBy(F.desc("_measure"), *rows.columns[:1]).limit(k).drop("_measure")

@@ -37,6 +37,41 @@ def places(t: Tables, snapshot_id: int, as_of: date | None = None) -> DataFrame:
     return grouped.withColumn("snapshot_id", F.lit(snapshot_id).cast("long"))
 
 
+def monthly_categories(t: Tables) -> DataFrame:
+    """What :func:`categories` counts as of the last day of every month, from one pass over the reviews.
+
+    Rows are counted by the month they came in; a window then adds the months up over a
+    calendar that begins with a group's first month.  The window sees a row for each zone,
+    category and month, however many reviews there are.
+    """
+    rows = t.star().where(f.all_of(F.col("pain_point_category").isNotNull(), f.has_text(), F.col("review_date_approx").isNotNull()))
+    rows = rows.select(F.last_day("review_date_approx").alias("as_of"), f.zone_of().alias("zone"), F.col("pain_point_category").alias("category"), "sentiment", "severity")
+    counts = {"complaint_count": m.negative(), "praise_count": m.positive(), **{f"{s}_count": m.negative(s) for s in domain.SEVERITIES}}
+    came = rows.groupingSets([["as_of", "category"], ["as_of", "zone", "category"]], "as_of", "zone", "category").agg(*(m.n_if(c).alias(n) for n, c in counts.items()))
+    # One row: the last month that any review came in.
+    last = came.agg(F.max("as_of").alias("last"))
+    span = came.groupBy("zone", "category").agg(F.min("as_of").alias("first")).crossJoin(last)
+    calendar = span.select(F.col("zone").alias("_z"), F.col("category").alias("_c"), F.explode(F.sequence(F.trunc("first", "month"), F.trunc("last", "month"), F.expr("INTERVAL 1 MONTH"))).alias("_m")).withColumn("_m", F.last_day("_m"))
+    both = calendar.join(came, F.col("_z").eqNullSafe(F.col("zone")) & (F.col("_c") == F.col("category")) & (F.col("_m") == F.col("as_of")), "left")
+    upto = Window.partitionBy("_z", "_c").orderBy("_m")
+    return both.select(F.col("_m").alias("as_of"), F.col("_z").alias("zone"), F.col("_c").alias("category"), *(F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(n) for n in counts))
+
+
+def daily_sketches(rows: DataFrame, day: str, by: list[str], value: str, lg_k: int = 12) -> DataFrame:
+    """HyperLogLog sketches of a column's distinct values by day and keys, to be kept and united for any range.
+
+    A sketch has at most 2**lg_k registers; the standard error of its estimate is about
+    1.04 / sqrt(2**lg_k): 1.6 % at 12.
+    """
+    return rows.groupBy(F.col(day).alias("day"), *by).agg(F.hll_sketch_agg(value, lg_k).alias("sketch"))
+
+
+def distinct_in(sketches: DataFrame, by: list[str], date_from=None, date_to=None) -> DataFrame:
+    """Estimated distinct values of each key within a range of days, from stored sketches alone."""
+    rows = sketches.where(f.all_of(None if date_from is None else F.col("day") >= F.lit(date_from), None if date_to is None else F.col("day") <= F.lit(date_to)))
+    return rows.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+
+
 def latest(snapshots: DataFrame, limit=20) -> DataFrame:
     return snapshots.orderBy(F.desc("taken_at"), F.desc("id")).limit(limit)
 

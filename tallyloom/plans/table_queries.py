@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from datetime import date
 
-from tallyloom.functions import dates, geo, measures as m, text as x
-from tallyloom.operators import audits, coverage, dedup, evaluate, places as p, upserts
+from pyspark.sql import DataFrame, Window, functions as F
+
+from tallyloom.functions import dates, filters as f, geo, measures as m, text as x
+from tallyloom.operators import audits, coverage, dedup, evaluate, places as p, snapshots, upserts
 from tallyloom.plans import star
 from tallyloom.plans.audit_queries import COUNTED
 from tallyloom.plans.function_queries import BODY
@@ -170,3 +172,90 @@ def _(t):
 
     spans = {"last_30_days": dates.last_days(star.AS_OF, 30), "last_3_months": dates.last_months(star.AS_OF, 3), "year_1997": dates.whole_year(1997), "february_1996": dates.whole_month(1996, 2)}
     return t.reviews.agg(*(within(s).alias(name) for name, s in spans.items()))
+
+
+#: Thai words with vowels that are written before their consonants, marks and rare letters.
+WORDS = ("เกาะ", "กาแฟ", "แมว", "ขา", "โรงแรม", "ไร่", "ใจดี", "ร้าน", "เขา", "ห้อง", "ฤดู")
+THAI_NAME = "CASE CAST({0} % 11 AS INT) " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(WORDS)) + " END"
+THAI_NAMES = f"concat({THAI_NAME.format('id')}, ' ', {THAI_NAME.format('id * 7')}, CASE WHEN id % 3 = 0 THEN ' Cafe' WHEN id % 3 = 1 THEN ' CAFE' ELSE ' ก' END)"
+
+
+@over_star("l10_thai_order", f"SELECT * FROM (SELECT id, name, CAST(row_number() OVER (ORDER BY name COLLATE th, id) AS INT) AS place FROM (SELECT id, {THAI_NAMES} AS name FROM places)) WHERE place BETWEEN 101 AND 600")
+def _(t):
+    """The second page of 500 places in the order of Thai dictionaries."""
+    named = Tables(t.places.withColumn("name", F.expr(THAI_NAMES)), t.reviews, t.analyzed)
+    page = p.list_places(named, limit=500, offset=100, collation="th").select("id", "name")
+    return page.select("id", "name", (F.lit(100) + F.row_number().over(Window.orderBy(F.collate("name", "th"), "id"))).cast("int").alias("place"))  # 500 rows
+
+
+@over_star("l10_same_names", f"SELECT min(name) AS name, count(*) AS n_places, count(DISTINCT name) AS n_spellings FROM (SELECT {THAI_NAMES} AS name FROM places) GROUP BY lower(name) HAVING count(*) > 1")
+def _(t):
+    return p.same_names(Tables(t.places.withColumn("name", F.expr(THAI_NAMES)), t.reviews, t.analyzed))
+
+
+@over_star("q36_nearest_five", f"SELECT id, name, zone, round({haversine_sql('lat', 'lng', '16.7442', '100.1956', 6371.0)}, 3) AS distance_nu_km, round({haversine_sql('lat', 'lng', '16.8299369', '100.2075576', 6371.0)}, 3) AS distance_psru_km FROM places WHERE lat IS NOT NULL ORDER BY 4, id LIMIT 5")
+def _(t):
+    return p.nearest_to_campus(t)
+
+
+@over_star("s02_count_differences", f"SELECT p.name AS place_name, CAST(h.n AS BIGINT) AS landed, c.n AS stored, h.n - c.n AS difference FROM places p JOIN {HELD_HASHES} h ON h.place_id = p.id JOIN (SELECT place_id, count(*) AS n FROM reviews GROUP BY 1) c ON c.place_id = p.id WHERE h.n <> c.n")
+def _(t):
+    """What landing files would hold against tables that took every copy in."""
+    return landing.count_differences(entries(t, t.reviews), t.places, t.reviews)
+
+
+CELL = "CAST(substring(google_place_id, 3) AS BIGINT)"
+
+
+@over_star(
+    "s11_search_results",
+    f"SELECT google_place_id, name, lat, lng, google_types, google_reviews_total, source_type, list_contains(string_split(google_types, ','), source_type) AS type_matches, count(*) OVER (PARTITION BY {CELL} // CASE WHEN {CELL} % 3000 < 1500 THEN 500 ELSE 100 END, {CELL} % 3000 < 1500, source_type) >= 60 AS hit_cap FROM place_candidates",
+)
+def _(t):
+    """Saved answers of a place API, some at their cap, written and read again."""
+    spark = t.places.sparkSession
+    path = scratch.folder(spark, "answers")
+    near = F.expr(f"{CELL} % 3000 < 1500")
+    found = F.struct(F.col("google_place_id").alias("place_id"), "name", "lat", "lng", F.split("google_types", ",").alias("types"), F.col("google_reviews_total").alias("user_ratings_total"))
+    rows = t.candidates.withColumns({"near": near, "cell": F.expr(f"{CELL} div CASE WHEN {CELL} % 3000 < 1500 THEN 500 ELSE 100 END")})
+    # A cell has at most 500 ids, so a line is short.
+    rows.groupBy("near", "cell", F.col("source_type").alias("place_type")).agg(F.collect_list(found).alias("results")).select(F.col("cell").cast("double").alias("cell_lat"), F.col("cell").cast("double").alias("cell_lng"), F.lit(500).alias("cell_radius_m"), "place_type", "results").write.json(path)
+    return landing.search_results(spark, path).select("google_place_id", "name", "lat", "lng", "google_types", "google_reviews_total", "source_type", "type_matches", "hit_cap")
+
+
+@over_star(
+    "s19_job_log",
+    """SELECT id, 'refresh' AS job_type, CASE id WHEN 1 THEN 'done' WHEN 2 THEN 'failed' ELSE 'running' END AS status, CAST(scraped_at AS DATE) AS started_at, CASE WHEN id IN (1, 2) THEN DATE '2001-08-03' END AS finished_at,
+  CASE WHEN id = 1 THEN (SELECT count(*) FROM places) END AS places_count, CASE WHEN id = 1 THEN (SELECT count(*) FROM reviews) END AS reviews_count, CASE WHEN id = 2 THEN 'blocked' END AS error FROM places WHERE scraped_at IS NOT NULL""",
+)
+def _(t):
+    """A log in which every scanned place is a job that has begun; one ends with the tables' counts, one fails."""
+    columns = {"job_type": F.lit("refresh"), "status": F.lit("running"), "started_at": F.col("scraped_at"), "finished_at": F.lit(None).cast("date"), "places_count": F.lit(None).cast("long"), "reviews_count": F.lit(None).cast("long"), "error": F.lit(None).cast("string")}
+    log = t.places.where("scraped_at IS NOT NULL").select("id", *(c.alias(n) for n, c in columns.items()))
+    end = star.AS_OF.replace(day=3)
+    log = p.job_ended(log, 1, end, t.places.count(), t.reviews.count())
+    return p.jobs(p.job_ended(log, 2, end, error="blocked"), limit=2_000_000_000)
+
+
+MONTHS = "SELECT last_day(m) AS as_of FROM (SELECT unnest(generate_series((SELECT date_trunc('month', min(review_date_approx)) FROM reviews), (SELECT max(review_date_approx) FROM reviews r JOIN analyzed_reviews ar ON ar.review_id = r.id JOIN places p ON p.id = r.place_id WHERE ar.pain_point_category IS NOT NULL AND coalesce(r.text_clean, '') <> ''), INTERVAL 1 MONTH)) AS m)"
+
+
+@over_star(
+    "q24_monthly_categories",
+    f"""WITH months AS ({MONTHS}) SELECT as_of, CASE WHEN grouping(zone) = 1 THEN NULL ELSE zone END AS zone, category, count(*) FILTER (s = 'negative') AS complaint_count, count(*) FILTER (s = 'positive') AS praise_count,
+  count(*) FILTER (s = 'negative' AND severity = 'high') AS high_count, count(*) FILTER (s = 'negative' AND severity = 'medium') AS medium_count, count(*) FILTER (s = 'negative' AND severity = 'low') AS low_count
+  FROM (SELECT coalesce(p.zone, 'other') AS zone, ar.pain_point_category AS category, ar.sentiment AS s, ar.severity, d.as_of FROM analyzed_reviews ar JOIN reviews r ON r.id = ar.review_id JOIN places p ON p.id = r.place_id JOIN months d ON r.review_date_approx <= d.as_of
+  WHERE ar.pain_point_category IS NOT NULL AND coalesce(r.text_clean, '') <> '') GROUP BY GROUPING SETS ((category, as_of), (zone, category, as_of))""",
+)
+def _(t):
+    return snapshots.monthly_categories(t)
+
+
+@over_star("a02_sketched_reviews", "SELECT coalesce(p.zone, 'other') AS zone, count(DISTINCT r.id) AS exact, true AS near FROM analyzed_reviews ar JOIN reviews r ON r.id = ar.review_id JOIN places p ON p.id = r.place_id WHERE r.review_date_approx BETWEEN DATE '1995-03-05' AND DATE '1997-10-20' GROUP BY 1")
+def _(t):
+    """Distinct reviews of a range of days from daily sketches; near: within three standard errors of the exact number."""
+    rows = t.star().select(f.zone_of().alias("zone"), "review_date_approx", "id")
+    kept = scratch.cut(snapshots.daily_sketches(rows, "review_date_approx", ["zone"], "id"))
+    told = snapshots.distinct_in(kept, ["zone"], date(1995, 3, 5), date(1997, 10, 20))
+    exact = rows.where(f.in_period("1995-03-05", "1997-10-20")).groupBy("zone").agg(F.count_distinct("id").alias("exact"))
+    return exact.join(told, "zone").select("zone", "exact", (F.abs(F.col("n") - F.col("exact")) <= 3 * 1.04 / 64 * F.col("exact")).alias("near"))

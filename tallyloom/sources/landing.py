@@ -59,6 +59,43 @@ def merge_master(master: DataFrame, fresh: DataFrame) -> DataFrame:
     return entries.join(gathered, "place_name", "left").select(*master.columns)
 
 
+def checked(lines: DataFrame, column="value") -> DataFrame:
+    """Lines of landing files as ``(raw, entry, reason)``: a VARIANT, and why it is no entry (null if it is one).
+
+    json: not JSON, as after a write that broke off; object: something else than an object; name:
+    no name; reviews: no array of objects; number: a coordinate that is none.
+    """
+    rows = lines.select(F.col(column).alias("raw"), F.try_parse_json(column).alias("entry"))
+    part = lambda path, kind: F.try_variant_get("entry", path, kind)
+    there = lambda path: ~F.is_variant_null(part(path, "variant")) & part(path, "variant").isNotNull()
+    reviews = part("$.reviews", LANDING["reviews"].dataType.simpleString())
+    is_object = F.schema_of_variant("entry").startswith("OBJECT")
+    bad_number = lambda path: there(path) & part(path, "double").isNull()
+    reason = (
+        F.when(F.col("entry").isNull(), "json")
+        .when(~F.coalesce(is_object, F.lit(False)), "object")
+        .when(F.coalesce(F.trim(part("$.place_name", "string")), F.lit("")) == "", "name")
+        .when(F.coalesce(there("$.reviews"), F.lit(False)) & (reviews.isNull() | F.exists(reviews, lambda r: r.isNull())), "reviews")
+        .when(F.coalesce(bad_number("$.lat") | bad_number("$.lng"), F.lit(False)), "number")
+    )
+    return rows.withColumn("reason", reason)
+
+
+def sound(rows: DataFrame) -> DataFrame:
+    """Entries of :func:`checked` lines without a reason against them; fields of the wrong kind are null."""
+    return rows.where("reason IS NULL").select(*(F.try_variant_get("entry", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in LANDING.fields))
+
+
+def count_differences(entries: DataFrame, places: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Places whose entries hold another number of distinct reviews than the tables, the largest difference first."""
+    told = entries.select("place_name", F.explode("reviews").alias("r")).groupBy("place_name").agg(F.count_distinct(x.review_text_hash(F.col("r.text"))).alias("landed"))
+    held = reviews.groupBy(F.col("place_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).join(places.select("id", F.col("name").alias("place_name")), "id")
+    stored = held.groupBy("place_name").agg(F.sum("n").alias("stored"))
+    # As in a report from the tables' side: places that have no review there aren't told.
+    rows = stored.join(told, "place_name", "left").fillna(0, ["landed"]).withColumn("difference", F.col("landed") - F.col("stored"))
+    return rows.where("difference != 0").orderBy(F.desc(F.abs("difference")), "place_name")
+
+
 def write_master(entries: DataFrame, path: str) -> None:
     entries.write.mode("overwrite").json(path)
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyloom.functions import text as x
 from tallyloom.operators import upserts
 from tallyloom.sources import landing, versions
+from tallyloom.sources.scratch import cut
 from tallyloom.tables import LANDING, PLACES, REVIEWS
 
 
@@ -46,6 +47,39 @@ def ingest(spark: SparkSession, source: str, folder: str, checkpoint: str) -> St
     return stream.writeStream.foreachBatch(lambda df, _: ingest_batch(df.sparkSession, df, folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+QUARANTINE = "batch long, raw string, reason string"
+
+
+def ingest_checked_batch(spark: SparkSession, lines: DataFrame, folder: str, batch: int) -> None:
+    """Entries of sound lines go into the tables, the other lines with their reasons into a quarantine table.
+
+    A batch that runs again adds nothing: the quarantine knows the batches it has.
+    """
+    rows = cut(landing.checked(lines))
+    ingest_batch(spark, landing.sound(rows), folder)
+    held = _table(spark, f"{folder}/quarantine", QUARANTINE)
+    if held.where(F.col("batch") == batch).isEmpty():
+        versions.append(rows.where("reason IS NOT NULL").select(F.lit(batch).cast("long").alias("batch"), "raw", "reason"), f"{folder}/quarantine")
+
+
+def ingest_checked(spark: SparkSession, source: str, folder: str, checkpoint: str) -> StreamingQuery:
+    """Like :func:`ingest`, for files that may hold broken lines: none of them stops a batch."""
+    stream = spark.readStream.text(source)
+    return stream.writeStream.foreachBatch(lambda df, batch: ingest_checked_batch(df.sparkSession, df, folder, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def unlabelled_after(reviews: DataFrame, labels: DataFrame, delay: str = "2 days", late: str = "1 day") -> DataFrame:
+    """Reviews of a stream that got no label of another stream within ``delay`` after they were scraped.
+
+    An outer join of streams: both sides are kept only as long as the other's watermark may still
+    bring a partner, so its state is what came within ``late`` and ``delay``.
+    """
+    left = reviews.withWatermark("scraped_at", late)
+    right = labels.select("review_id", "analyzed_at").withWatermark("analyzed_at", late)
+    near = (F.col("id") == F.col("review_id")) & F.col("analyzed_at").between(F.col("scraped_at"), F.col("scraped_at") + F.expr(f"INTERVAL {delay}"))
+    return left.join(right, near, "left_outer").where("review_id IS NULL").select(*reviews.columns)
+
+
 def rule_labels(reviews: DataFrame) -> DataFrame:
     """Labels by stars and words."""
     text = F.coalesce("text_clean", F.lit(""))
