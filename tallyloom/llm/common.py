@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +29,22 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tallyloom-{label}-{uuid.uuid4().hex}"
 
 
+def column(name: str) -> Column:
+    """A column of that very name: dots and backticks in it mean nothing."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df``, whatever their names, as one struct."""
+    return F.struct(*(column(c) for c in df.columns))
+
+
+def in_arrow(df: DataFrame, run) -> DataFrame:
+    """``mapInArrow`` that keeps the columns, which it takes by their places: they may have any names."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

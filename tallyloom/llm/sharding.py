@@ -123,7 +123,7 @@ def shard(df: DataFrame, group: str, row_id: str, n_shards: int = 16, extra_byte
     its place in the shard from 0.
     """
     # The whole input row travels as one column, so its names meet no others.
-    own = [c for c in df.columns if c.lower() not in ("size", "shard", "slot")]
+    own = [common.column(c) for c in df.columns if c.lower() not in ("size", "shard", "slot")]
     keyed = df.select(F.struct(*own).alias("row"), (F.coalesce(F.octet_length(group), F.lit(0)).cast("long") + extra_bytes).alias("size"), _key(group).alias("a"), _key(row_id).alias("b"))
     keys = common.stored(keyed.select("a", "b", "size"), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
@@ -131,7 +131,8 @@ def shard(df: DataFrame, group: str, row_id: str, n_shards: int = 16, extra_byte
     common.forget(keys)
     parts = max(1, -(-total // (n_shards * part_bytes)))
     dealt = keyed.select("row", "size", "a", "b", number.alias("shard"), F.pmod(F.xxhash64("a", "b"), F.lit(parts)).alias("part"))
-    dealt = dealt.repartition(n_shards * parts, "shard", "part").sortWithinPartitions("shard", "a", "b")
+    # A partition for each part of a shard: by a hash some would hold several, and others none.
+    dealt = dealt.repartitionById(n_shards * parts, (F.col("shard") * parts + F.col("part")).cast("int")).sortWithinPartitions("shard", "a", "b")
     dealt = common.stored(dealt.select("row", "size", "shard", F.monotonically_increasing_id().alias("at")), "shards")
     dealt = dealt.select("row", "size", "shard", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("place"))
     # A row for each partition of the exchange and shard in it: n_shards * parts at most.

@@ -34,8 +34,8 @@ def test_hot_group_is_cut(spark):
 
 
 def test_names_that_clash(spark):
-    names = ["Size", "SHARD", "row", "a", "b", "at", "part", "place", "interval", "_hs_a"]
-    odd = spark.createDataFrame([(1, "x", *names), (2, None, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    names = ["Size", "SHARD", "row", "a", "b", "at", "part", "place", "interval", "_hs_a", "a.b", "we`ird"]
+    odd = spark.createDataFrame([(1, "x", *names), (2, None, *names)], "doc_id long, text string, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in names))
     got = sharding.shard(odd, "text", "doc_id", 2)
     assert got.columns == ["doc_id", "text", *names[2:], "size", "shard", "slot"]
     assert {(r["doc_id"], r["size"], r["interval"]) for r in got.collect()} == {(1, 2, "interval"), (2, 1, "interval")}
