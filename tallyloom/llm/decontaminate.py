@@ -245,7 +245,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0
     behind = None
     for block, last in _blocks(benchmark, seed, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        docs = docs.mapInArrow(clean(shared), docs.schema)
+        docs = common.in_arrow(docs, clean(shared))
         if not last:  # only one block is held at a time
             docs = common.stored(docs, "uncontaminated")
             shared.destroy()

@@ -294,7 +294,7 @@ def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     found = near_duplicates(docs, **parameters).where("stays")
     kept = common.stored(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), "kept")
     # The whole input row travels as one column, so its names meet no others.
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    keyed = docs.select(common.whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
     out = keyed.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))).select("row", "id", "hash", "n")
     if not kept.where("n > 1").isEmpty():  # rows that repeat doc_id and text
         once = out.where("n > 1").dropDuplicates(["id", "hash"])

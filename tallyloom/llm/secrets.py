@@ -3,9 +3,10 @@
 Base spans come from three fixed patterns.  The method adds long runs of key-like
 characters that a first-order character model of random strings explains better than
 one of ordinary identifiers: the sum of log-likelihood ratios of the character pairs
-must exceed ``threshold``.  Both models are trained here from labelled samples: random
-strings are encoded digests of numbers, ordinary identifiers are words, and words
-joined as identifiers are, of a sample of about ``sample_docs`` distinct texts chosen by
+must exceed ``threshold``, and its mean ``mean``, so that a long ordinary run doesn't come in
+by its length.  Both models are trained here from labelled samples: random strings are
+encoded digests of numbers; ordinary ones are dates, times and serials of numbers, and
+words, identifiers, slugs and paths of the words, of a sample of about ``sample_docs`` distinct texts chosen by
 their hashes, so neither the order nor the partitions of rows change a model.
 
 Only functions inside the JVM are used.  Matches are found by surrounding each with a
@@ -24,6 +25,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallyloom.llm import common
+
 MARK, STAND_IN = "\ue000", "\u00bf"
 #: Kinds in the order of the report.
 KINDS = ("assign", "access", "hex", "random")
@@ -34,6 +37,11 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SPAN = "struct<start:int,kind:int,stop:int>"
 
 
+def let(value: Column, build) -> Column:
+    """``build(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), build), 0)
+
+
 def _matches(text: str, kind: str, keep) -> Column:
     """Spans of a pattern, with what ``keep`` says of the matching string."""
     pattern = PATTERNS[kind]
@@ -69,6 +77,25 @@ def _pairs(strings: DataFrame, label: int) -> DataFrame:
     return long.select(pair).groupBy("pair").agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.lit(label))
 
 
+def _numbered() -> Column:
+    """Dates, times, serials and file names that are made of a number ``id``."""
+    digits = lambda n, width: F.lpad((F.abs(F.xxhash64(F.lit(n), "id")) % 10**width).cast("string"), width, "0")
+    day = F.date_add(F.lit("1980-01-01").cast("date"), (F.col("id") * 7919 % 20_000).cast("int"))
+    at = lambda form: F.date_format(day, form)
+    clock = F.concat_ws("/", F.lpad((F.col("id") % 24).cast("string"), 2, "0"), F.lpad((F.col("id") % 60).cast("string"), 2, "0"), F.lpad((F.col("id") % 59).cast("string"), 2, "0"))
+    return F.array(
+        F.concat_ws("T", at("yyyy-MM-dd"), clock),
+        F.concat(at("yyyy-MM-dd"), F.lit("T"), F.replace(clock, F.lit("/"), F.lit("-")), F.lit("Z")),
+        F.concat_ws("-", at("yyyyMMdd"), digits(1, 6)),
+        F.concat(at("yyyy/MM/dd"), F.lit("/IMG_"), digits(2, 4)),
+        F.concat(F.lit("INV"), at("yyyy"), F.lit("/"), digits(3, 4), F.lit("/"), digits(4, 10)),
+        F.concat(F.lit("C"), digits(5, 8), F.lit("-"), digits(6, 4)),
+        F.concat(F.lit("SN"), digits(7, 12)),
+        F.concat_ws("-", digits(8, 3), digits(9, 4), digits(10, 4), digits(11, 4)),
+        F.concat(F.lit("+"), digits(12, 12)),
+    )
+
+
 def labelled_samples(docs: DataFrame, sample_docs: int, random_strings: int) -> tuple[DataFrame, DataFrame]:
     """(random, ordinary) strings, each in column ``s``."""
     spark: SparkSession = docs.sparkSession
@@ -83,8 +110,13 @@ def labelled_samples(docs: DataFrame, sample_docs: int, random_strings: int) ->
     joined = F.transform("w", lambda w, i: F.concat(w, F.element_at(F.array(F.lit("_"), F.lit("-"), F.lit("/"), F.lit("")), (i % 4 + 1).cast("int")), F.when(i % 4 == 3, F.initcap(F.coalesce(F.get("w", i + 1), w))).otherwise(F.coalesce(F.get("w", i + 1), w))))
     # Counted identifiers (item_12, v2) are ordinary too.
     counted = F.transform("w", lambda w, i: F.concat(w, F.lit("_"), i.cast("string")))
-    ordinary = words.select(F.explode(F.concat("w", joined, counted)).alias("s"))
-    return random, ordinary
+    # Slugs of four words, the same as one word of capitals, and paths with a day and a number in them.
+    few = lambda i: F.filter(F.slice("w", i + 1, 4), lambda w: w != "")
+    slugs = F.transform("w", lambda w, i: F.concat_ws("-", F.array_join(few(i), "-"), (i % 20).cast("string")))
+    humps = F.transform("w", lambda w, i: F.concat(w, F.array_join(F.transform(few(i), F.initcap), ""), F.when(i % 2 == 0, F.lit("V")).otherwise(""), (i % 10).cast("string")))
+    paths = F.transform("w", lambda w, i: F.concat_ws("/", w, (1990 + i % 40).cast("string"), F.lpad((i % 12 + 1).cast("string"), 2, "0"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.array_join(few(i), "_")))
+    ordinary = words.select(F.explode(F.concat("w", joined, counted, slugs, humps, paths)).alias("s"))
+    return random, ordinary.unionByName(numbers.select(F.explode(_numbered()).alias("s")))
 
 
 def train(docs: DataFrame, sample_docs: int = 2000, random_strings: int = 4000, prior: float = 0.5) -> MarkovModels:
@@ -102,31 +134,31 @@ def train(docs: DataFrame, sample_docs: int = 2000, random_strings: int = 4000,
     return MarkovModels(ratios)
 
 
-def _spans(rows: DataFrame, models: MarkovModels, threshold: float) -> DataFrame:
+def _spans(rows: DataFrame, models: MarkovModels, threshold: float, mean: float) -> DataFrame:
     """``rows`` (row, text) with ``spans``."""
     safe = rows.select("row", "text", F.translate(F.coalesce("text", F.lit("")), MARK, STAND_IN).alias("safe"))
     value = lambda s: F.length(F.regexp_extract(s, ASSIGN, 2)) >= 6
     always = lambda s: F.lit(True)
-    random = lambda s: s.rlike("[0-9]") & s.rlike("[A-Za-z]") & (models.score(s) > threshold)
+    random = lambda s: s.rlike("[0-9]") & s.rlike("[A-Za-z]") & let(models.score(s), lambda x: (x > threshold) & (x > mean * (F.length(s) - 1)))
     found = safe.select("row", "text", F.concat(_matches("safe", "assign", value), _matches("safe", "access", always), _matches("safe", "hex", always)).alias("base"), _matches("safe", "random", random).alias("more"))
     own = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (m["stop"] <= b["stop"])))
     return found.select("row", "text", F.array_sort(F.concat("base", own)).alias("spans"))
 
 
-def find(docs: DataFrame, models: MarkovModels, threshold: float = 12.0) -> DataFrame:
+def find(docs: DataFrame, models: MarkovModels, threshold: float = 12.0, mean: float = 0.7) -> DataFrame:
     """doc_id, text and ``spans``: array of (start, kind, stop) in order of start, then kind.
 
     A random run counts only if it has a letter and a digit and does not lie within one base
     span; one that reaches beyond a base span is reported whole beside it.
     """
     rows = docs.select(F.col("doc_id").alias("row"), "text")
-    return _spans(rows, models, threshold).select(F.col("row").alias("doc_id"), "text", "spans")
+    return _spans(rows, models, threshold, mean).select(F.col("row").alias("doc_id"), "text", "spans")
 
 
-def cover(docs: DataFrame, models: MarkovModels, threshold: float = 12.0) -> DataFrame:
+def cover(docs: DataFrame, models: MarkovModels, threshold: float = 12.0, mean: float = 0.7) -> DataFrame:
     """The rows of ``docs``, all columns whatever their names, with every span of ``text`` masked."""
     # The whole input row travels as one column, so its names meet no others.
-    found = _spans(docs.select(F.struct(*docs.columns).alias("row"), "text"), models, threshold)
+    found = _spans(docs.select(common.whole_row(docs).alias("row"), "text"), models, threshold, mean)
     text = masked(F.col("text"), F.col("spans"))
     return found.select(*(text.alias("text") if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 

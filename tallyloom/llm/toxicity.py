@@ -371,4 +371,4 @@ def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFram
                 scores = np.concatenate([b.column(4).to_numpy() for b in scan(iter([numbered]))] or [np.empty(0)])
                 yield batch.filter(pa.array(scores < least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.in_arrow(docs, run)

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_duplicates import classes
 from tallyloom.llm import common, decontaminate, packing, queries, secrets, toxicity
 
@@ -46,7 +47,7 @@ def test_stages(spark, small):
 
 def test_odd_rows(spark, odd_docs, no_docs, small):
     """All stages on odd rows: nothing toxic or contaminated there, copies go, and every text is packed."""
-    plain = odd_docs.select("doc_id", "text", "lang", "source", "n_chars", "size", "node", "score")
+    plain = odd_docs.select("doc_id", "text", "lang", "source", "n_chars", "size", "node", "score").withColumns({"a.b": F.lit("x"), "we`ird": F.lit("y"), "TEXT2": F.lit("z")})
     named = {n: stage for n, stage in corpus_pipeline.STAGES}
     now = common.stored(named["toxicity"](spark, plain, small), "odd")
     assert Counter(map(tuple, now.collect())) == Counter(map(tuple, plain.collect()))

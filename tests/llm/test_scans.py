@@ -319,21 +319,56 @@ def test_added_spans_by_hand(spark, docs, models):
     want = Counter()
     for r in table.collect():
         base = base_spans(r["text"])
-        own = [(m.start(), 3, m.end()) for m in runs(r["text"]) if score(m[0]) > 12 and not any(a <= m.start() and m.end() <= b for a, _, b in base)]
+        own = [(m.start(), 3, m.end()) for m in runs(r["text"]) if score(m[0]) > max(12, 0.7 * (len(m[0]) - 1)) and not any(a <= m.start() and m.end() <= b for a, _, b in base)]
         want[r["doc_id"], tuple(sorted(base + own))] += 1
     got = Counter((r["doc_id"], tuple((s["start"], s["kind"], s["stop"]) for s in r["spans"])) for r in secrets.find(table, models).collect())
     assert got == want
     assert sum(any(k == 3 for _, k, _ in spans) for _, spans in got) > 1
 
 
+def planted():
+    """(string, whether it is a key): keys of several alphabets, and ordinary runs of the same characters."""
+    pick = random.Random(12)
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+    some = lambda n, alphabet: "".join(pick.choice(alphabet) for _ in range(n))
+    keys = [some(n, letters + digits + more) for n in (24, 32, 40, 64) for more in ("", "+/", "_-") for _ in range(10)] + ["ghp_" + some(36, letters + digits) for _ in range(10)]
+    keys = [k for k in keys if re.search("[0-9]", k)]
+    words = "how to write code for the large market report path index old river service price image view user account note summer winter people place".split()
+    day = lambda: (pick.randint(1990, 2030), pick.randint(1, 12), pick.randint(1, 28))
+    plain = ["images/2021/03/04/IMG_2034-large-preview", "example-com/article/2019/10/12/how-to-write-code-in-3-days", "2021-03-04T10/20/30-2021-03-05Z", "C00012345/INV2021/0000/1234567890"]
+    for _ in range(40):
+        y, m, d = day()
+        plain += [
+            "-".join(pick.sample(words, 5)) + f"-{d}",
+            f"{pick.choice(words)}/{y}/{m:02}/{d:02}/" + "-".join(pick.sample(words, 3)),
+            f"{y}-{m:02}-{d:02}T{m:02}-{d:02}-{m:02}Z-{y}{m:02}{d:02}",
+            f"INV{y}/{some(4, digits)}/{some(10, digits)}",
+            "get" + "".join(w.title() for w in pick.sample(words, 4)) + "V2",
+            "_".join(pick.sample(words, 4)) + f"_{y}",
+            f"{some(3, digits)}-{some(4, digits)}-{some(4, digits)}-{some(4, digits)}x{d}",
+        ]
+    return [(k, True) for k in keys] + [(p, False) for p in plain if len(p) >= 20]
+
+
+def test_recall_and_precision_of_added_spans(spark, models):
+    made = planted()
+    rows = spark.createDataFrame([(i, f"see {s} there") for i, (s, _) in enumerate(made)], "doc_id long, text string")
+    got = {r["doc_id"]: any(s["kind"] == 3 for s in r["spans"]) for r in secrets.find(rows, models).collect()}
+    hit = sum(got[i] for i, (_, key) in enumerate(made) if key)
+    false = [s for i, (s, key) in enumerate(made) if got[i] and not key]
+    assert hit >= 0.95 * sum(key for _, key in made), hit
+    assert len(false) <= 0.02 * hit, false
+    assert not any(got[i] for i, (s, key) in enumerate(made) if s in {x for x, k in made[-300:] if not k} and s.startswith(("images/2021", "example-com", "2021-03-04T10", "C00012345")))
+
+
 def test_layout_changes_no_model(docs, models):
     again = secrets.train(docs.repartition(7, "text"))
     assert again.ratios == models.ratios
 
 
 def test_scans_keep_columns_of_any_name(spark, models, small):
-    names = ["base", "more", "safe", "spans", "row", "_base", "_safe", "id", "hash", "n", "_nd_id"]
-    odd = spark.createDataFrame([(1, "password: hunter2222", *names), (2, None, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    names = ["base", "more", "safe", "spans", "row", "_base", "_safe", "id", "hash", "n", "_nd_id", "a.b", "we`ird", "TEXT2"]
+    odd = spark.createDataFrame([(1, "password: hunter2222", *names), (2, None, *names)], "doc_id long, text string, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in names))
     covered = secrets.cover(odd, models)
     assert covered.columns == odd.columns
     assert {(r["doc_id"], r["text"], r["row"]) for r in covered.collect()} == {(1, "[SECRET]", "row"), (2, None, "row")}
