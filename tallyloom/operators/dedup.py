@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyloom.functions import domain, filters as f, geo, text as x
@@ -60,8 +63,7 @@ def place_pairs(t: Tables, metres=40.0) -> DataFrame:
     """(keep, drop, dist): an unscanned place of the API within reach of a scanned one without external id.
 
     Greedy and one to one: unscanned places in order of id each take the nearest free
-    one (then the one with the closest number of reviews).  Rounds of joins settle all
-    places whose turn has come: one whose best choice no earlier place still wants.
+    one (then the one with the closest number of reviews).
     """
     rows = coverage.counted(t).select("id", "google_place_id", "google_reviews_total", "sc", "lat", "lng")
     api = rows.where(F.col("google_place_id").isNotNull() & (F.col("sc") == 0))
@@ -71,21 +73,76 @@ def place_pairs(t: Tables, metres=40.0) -> DataFrame:
     return greedy(open_)
 
 
-def greedy(pairs: DataFrame) -> DataFrame:
-    """One-to-one choice from (drop, keep, dist, off), in order of drop; neighbourhoods are small."""
-    spark = pairs.sparkSession
+def greedy(pairs: DataFrame, most_pairs: int = 1_000_000) -> DataFrame:
+    """One-to-one choice from (drop, keep, dist, off), in order of drop; each takes its nearest free keep.
+
+    At most ``most_pairs`` pairs are one sorted stream, of which a task holds the keeps that are
+    taken.  Of more, each connected part of the pairs is one, as choices depend on each other
+    only within it; parts are found in rounds that grow with the logarithm of a part's
+    diameter.  Parts of still more pairs are settled in rounds of joins instead, so that no
+    task gets them.
+    """
+    pairs = cut(pairs.select("drop", "keep", "dist", "off"))
+    if pairs.count() <= most_pairs:
+        return pairs.withColumn("root", F.lit(0)).coalesce(1).sortWithinPartitions("drop", "dist", "off", "keep").select("root", "drop", "keep", "dist").mapInPandas(_in_turn, "drop long, keep long, dist double")
+    roots = components(pairs.select(F.col("drop").alias("u"), F.col("keep").alias("v")))
+    placed = pairs.join(roots.select(F.col("node").alias("drop"), "root"), "drop")
+    large = cut(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_pairs).select("root"))
+    streams = placed.join(large, "root", "left_anti").repartition("root").sortWithinPartitions("root", "drop", "dist", "off", "keep")
+    settled = streams.select("root", "drop", "keep", "dist").mapInPandas(_in_turn, "drop long, keep long, dist double")
+    if large.isEmpty():
+        return settled
+    return settled.unionByName(_in_rounds(placed.join(large, "root", "left_semi").select("drop", "keep", "dist", "off")))
+
+
+def _in_turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs in order of part, drop and choice: the first free keep of each drop."""
+    part, served, taken = None, None, set()
+    for batch in batches:
+        rows = []
+        for root, drop, keep, dist in batch.itertuples(index=False):
+            if root != part:
+                part, served, taken = root, None, set()
+            if drop != served and keep not in taken:
+                served = drop
+                taken.add(keep)
+                rows.append((drop, keep, dist))
+        yield pd.DataFrame(rows, columns=["drop", "keep", "dist"])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of undirected edges (u, v): the least node of each connected part.
+
+    Every root hooks on to the least root that an edge leads to, then all nodes follow their roots
+    twice over; so a chain is a quarter as long after each round.
+    """
+    ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    roots, edges = cut(ends.select("node", F.col("node").alias("root"))), cut(edges.select("u", "v").distinct())
+    while True:
+        of = lambda column: roots.select(F.col("node").alias(column), F.col("root").alias(f"r{column}"))  # noqa: E731, B023
+        edges = edges.join(of("u"), "u").join(of("v"), "v").where("ru != rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct()
+        edges = cut(edges)
+        if edges.isEmpty():
+            return roots
+        hooks = edges.groupBy(F.greatest("u", "v").alias("root")).agg(F.min(F.least("u", "v")).alias("to"))
+        hooked = roots.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        for _ in range(2):
+            above = hooked.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            hooked = cut(hooked.join(above, "root").select("node", F.col("above").alias("root")))
+        roots = hooked
+
+
+def _in_rounds(pairs: DataFrame) -> DataFrame:
+    """Rounds of joins settle all places whose turn has come: one whose best choice no earlier place still wants."""
     settled = None
-    pairs = cut(pairs)
     while not pairs.isEmpty():
         choice = pairs.withColumn("n", F.row_number().over(Window.partitionBy("drop").orderBy("dist", "off", "keep"))).where("n = 1")
         # A place is served once no earlier one still has its choice on the list.
         earliest = pairs.groupBy("keep").agg(F.min("drop").alias("first"))
-        served = choice.join(earliest, "keep").where("drop = first").select("drop", "keep", "dist")
-        served = cut(served)
+        served = cut(choice.join(earliest, "keep").where("drop = first").select("drop", "keep", "dist"))
         settled = served if settled is None else settled.unionByName(served)
-        pairs = pairs.join(served.select("drop"), "drop", "left_anti").join(served.select("keep"), "keep", "left_anti")
-        pairs = cut(pairs)
-    return settled if settled is not None else spark.createDataFrame([], "drop long, keep long, dist double")
+        pairs = cut(pairs.join(served.select("drop"), "drop", "left_anti").join(served.select("keep"), "keep", "left_anti"))
+    return settled
 
 
 def common_hashes(t: Tables, a: int, b: int) -> DataFrame:
