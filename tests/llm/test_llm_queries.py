@@ -1,4 +1,4 @@
-"""The ten registered queries: what they derive from their operators, against plain Python over the same rows."""
+"""The registered queries: what they derive from their operators, against plain Python over the same rows."""
 
 import hashlib
 import zlib
