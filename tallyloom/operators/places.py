@@ -69,8 +69,8 @@ def nearby(t: Tables, lat: float, lng: float, radius: float = 5000, limit=20) ->
     dlat = radius / 110_000.0
     box = F.col("lat").between(lat - dlat, lat + dlat) & F.col("lng").isNotNull()
     rows = t.places.where(box).withColumn("distance_m", geo.geodesic(F.col("lat"), F.col("lng"), F.lit(lat), F.lit(lng))).where(F.col("distance_m") <= radius)
-    nearest = rows.orderBy("distance_m", "id").limit(limit)
-    return with_counts(t, nearest).select("id", "name", "overall_rating", "lng", "lat", "distance_m", "review_count", "high_severity_count").orderBy("distance_m", "id")
+    nearest = rows.orderBy("distance_m", "id").limit(limit).withColumn("_n", F.row_number().over(Window.orderBy("distance_m", "id")))
+    return with_counts(t, nearest).orderBy("_n").select("id", "name", "overall_rating", "lng", "lat", "distance_m", "review_count", "high_severity_count")
 
 
 def place_pain_points(t: Tables, place_id: int, view="all", date_from=None, date_to=None, with_text_only=False) -> DataFrame:

@@ -28,6 +28,16 @@ def test_thai_order(spark):
     assert [r["name"] for r in places.list_places(listed(spark, mixed), limit=3, offset=2, collation="th").collect()] == right[2:5]
 
 
+def test_nearest_first(spark):
+    names = [f"p{i}" for i in range(12)]
+    t = listed(spark, names)
+    far = {n: (7 * i) % 12 for i, n in enumerate(names)}
+    away = F.create_map(*(F.lit(x) for n in names for x in (n, far[n])))
+    t.places = t.places.withColumn("lat", 16.8 + 0.001 * away[F.col("name")]).withColumn("lng", F.lit(100.2))
+    got = [r["name"] for r in places.nearby(t, 16.8, 100.2, limit=9).collect()]
+    assert got == sorted(names, key=far.get)[:9]
+
+
 def test_equal_under_a_collation(spark):
     t = listed(spark, ["Cafe ก", "CAFE ก", "Café ก", "cafe ข", None, "คน", "คน"])
     assert sorted(r["name"] for r in places.named(t, "cafe ก").collect()) == ["CAFE ก", "Cafe ก"]
