@@ -78,9 +78,12 @@ def lattice(circles: DataFrame, by: list[str]) -> DataFrame:
 
     A group's lattice has its origin in the middle of its distinct centres, and one area_km
     and cell_km.  Every circle makes the cells that reach it, so nothing is compared with all circles.
+    Centres are averaged as decimals: cells that just touch a circle stay or go by the last digit of
+    the origin, which sums of doubles give differently in every order.
     """
     circles = circles.where("cell_km > 0").dropDuplicates([*by, "lat", "lng"])
-    origin = circles.groupBy(*by).agg(F.avg("lat").alias("lat0"), F.avg("lng").alias("lng0"))
+    middle = lambda c: F.avg(F.col(c).cast("decimal(20,17)")).cast("double")
+    origin = circles.groupBy(*by).agg(middle("lat").alias("lat0"), middle("lng").alias("lng0"))
     step, row = F.col("cell_km") * math.sqrt(3), F.col("cell_km") * 1.5
     reach = F.col("area_km") + F.col("cell_km")
     at = circles.join(origin, by).withColumn("km_lng", KM_PER_LNG * F.cos(F.radians("lat0")))
