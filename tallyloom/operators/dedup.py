@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -68,9 +69,39 @@ def place_pairs(t: Tables, metres=40.0) -> DataFrame:
     rows = coverage.counted(t).select("id", "google_place_id", "google_reviews_total", "sc", "lat", "lng")
     api = rows.where(F.col("google_place_id").isNotNull() & (F.col("sc") == 0))
     scanned = rows.where(F.col("google_place_id").isNull() & (F.col("sc") > 0))
-    pairs = geo.grid_pairs(api, scanned, metres)
-    open_ = pairs.select(F.col("l_id").alias("drop"), F.col("r_id").alias("keep"), "dist", F.abs(F.coalesce("l_google_reviews_total", F.lit(0)) - F.col("r_sc")).alias("off"))
-    return greedy(open_)
+    return nearest_free(cut(api), cut(scanned), metres)
+
+
+def nearest_free(drops: DataFrame, keeps: DataFrame, metres: float, most: int = 16) -> DataFrame:
+    """:func:`greedy` over all pairs of ``drops`` and ``keeps`` within ``metres``, of which only those that matter are made.
+
+    Each drop has a list of its best keeps: at most ``most``, within a reach that the density gives.
+    A drop that finds none free on a list that isn't whole gets a longer one, and choices are made
+    anew.  Once every drop without a keep has a whole list, all others took the first free keep of
+    the beginning of theirs, so the choices are those of the whole lists.
+    """
+    reach, listed, whole, todo = _reach(drops, keeps, metres, most), None, None, drops
+    while True:
+        near = geo.grid_pairs(todo, keeps, reach).select(F.col("l_id").alias("drop"), F.col("r_id").alias("keep"), "dist", F.abs(F.coalesce("l_google_reviews_total", F.lit(0)) - F.col("r_sc")).alias("off"))
+        best = near.withColumn("n", F.row_number().over(Window.partitionBy("drop").orderBy("dist", "off", "keep"))).where(F.col("n") <= most + 1)
+        ids = todo.select(F.col("id").alias("drop"))
+        listed = cut(best if listed is None else listed.join(ids, "drop", "left_anti").unionByName(best))
+        if reach >= metres:
+            ended = ids.join(listed.where(F.col("n") > most).select("drop"), "drop", "left_anti")
+            whole = cut(ended if whole is None else whole.unionByName(ended))
+        settled = cut(greedy(listed))
+        open_ = drops.join(settled.select(F.col("drop").alias("id")), "id", "left_anti")
+        todo = cut(open_ if whole is None else open_.join(whole.select(F.col("drop").alias("id")), "id", "left_anti"))
+        if todo.isEmpty():
+            return settled
+        reach, most = min(4 * reach, metres), 4 * most
+
+
+def _reach(drops: DataFrame, keeps: DataFrame, metres: float, most: int) -> float:
+    """Metres within which a drop has about ``most`` keeps, by how many share its square."""
+    squares = lambda df, n: df.where("lat IS NOT NULL AND lng IS NOT NULL").groupBy(F.floor(F.col("lat") * 110_000 / metres).alias("gy"), F.floor(F.col("lng") * 90_000 / metres).alias("gx")).agg(F.count(F.lit(1)).alias(n))
+    mean = squares(drops, "a").join(squares(keeps, "b"), ["gy", "gx"], "left").agg(F.sum(F.col("a") * F.col("b")) / F.sum("a")).first()[0] or 0
+    return metres if mean * math.pi <= most else metres * math.sqrt(most / (mean * math.pi))
 
 
 def greedy(pairs: DataFrame, most_pairs: int = 1_000_000) -> DataFrame:

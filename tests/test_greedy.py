@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tallyloom.functions import geo
 from tallyloom.operators import dedup
 
 SCHEMA = "drop long, keep long, dist double, off long"
@@ -54,3 +55,17 @@ def test_long_chains_take_few_rounds(spark, monkeypatch, lengths, most_pairs, mo
 def test_components(spark):
     edges = [(1, 2), (3, 2), (5, 6), (6, 7), (7, 5), (9, 8), (4, 4)]
     assert {r["node"]: r["root"] for r in dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 5, 8: 8, 9: 8}
+
+
+@pytest.mark.parametrize(("n_drops", "n_keeps", "metres"), [(120, 400, 4000.0), (200, 90, 2500.0)])
+def test_short_lists_choose_as_all_pairs(spark, monkeypatch, n_drops, n_keeps, metres):
+    pick = random.Random(n_keeps)
+    at = lambda: (16.5 + pick.randint(0, 60) / 1000, 100.2 + pick.randint(0, 60) / 1000)
+    drops = spark.createDataFrame([(i, pick.choice([None, 5, 9]), *at()) for i in range(n_drops)], "id long, google_reviews_total int, lat double, lng double")
+    keeps = spark.createDataFrame([(1000 + i, pick.randint(1, 9), *at()) for i in range(n_keeps)], "id long, sc long, lat double, lng double")
+    every = geo.grid_pairs(drops, keeps, metres).selectExpr("l_id", "r_id", "dist", "abs(coalesce(l_google_reviews_total, 0) - r_sc)").collect()
+    sizes, one = [], dedup.greedy
+    monkeypatch.setattr(dedup, "greedy", lambda pairs: sizes.append(pairs.count()) or one(pairs))
+    got = dedup.nearest_free(drops, keeps, metres, most=2).collect()
+    assert sorted(map(tuple, got)) == in_order(list(map(tuple, every)))
+    assert sizes[0] <= 3 * n_drops < len(every)
