@@ -167,7 +167,8 @@ def severity_gate(sentiment: Column, category: Column, rating: Column) -> Column
 
 def clean_noise(text: Column) -> Column:
     """Without links, markup, emoji and symbols."""
-    return strip(F.regexp_replace(F.regexp_replace(text, "(?U)" + NOISE, " "), r"(?U)\s+", " "))
+    # No other white space than single spaces is left to be trimmed.
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "(?U)" + NOISE, " "), r"(?U)\s+", " "))
 
 
 def tokens(text: Column, stop_words: tuple[str, ...] = ()) -> Column:

@@ -8,7 +8,7 @@ differ from ln(a + n(w)), which is the same for all classes, so the table holds
 differences: it is as sparse as the counts.  Differences are whole millionths, so sums are
 exact in any order.
 
-A model has at most ``most_words`` words, the most frequent; that bounds what joins broadcast.
+A model has at most ``most_words`` words, the most frequent; that bounds what goes to the tasks.
 
 Defined results: rows without text, label or words teach nothing; a text without known words gets
 the class that most words of the training set belong to; equal sums go to the label that
@@ -17,19 +17,32 @@ comes first; a model of no rows labels nothing.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.functions import text as x
 from tallyloom.sources.scratch import cut
 
 UNIT = 1_000_000
+#: Texts whose words a task holds as numbers at a time.
+ROWS = 64
 
 
 def words_of(text: Column) -> Column:
-    """Lower-case words of two characters and more."""
-    return F.transform(x.tokens(text), F.lower)
+    """Lower-case words of two characters and more, with one space between them."""
+    return F.lower(F.array_join(x.tokens(text), " "))
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each word stands in the texts of a label, for each batch of (label, words)."""
+    for batch in batches:
+        counts = [(label, word, n) for label, own in batch.groupby("label")["words"] for word, n in Counter(w for said in own for w in said.split(" ")).items() if word]
+        yield pd.DataFrame(counts, columns=["label", "word", "n"])
 
 
 @dataclass
@@ -39,27 +52,51 @@ class Model:
     weights: DataFrame
     classes: list[tuple[str, int]]
 
-    def predict(self, rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-        """``(key, label, score, margin)``: the best class, its sum, and how far the next one is behind."""
+    def scored(self, text: Column) -> Column:
+        """``(label, score, margin)`` of a text: the best class, its sum, and how far the next one is behind.
+
+        A text is scored where it stands: the model, of bounded size, goes to the tasks, so that no words are shuffled.
+        """
+        kind = "label string, score long, margin long"
         if not self.classes:
-            return rows.select(key, F.lit(None).cast("string").alias("label"), F.lit(None).cast("long").alias("score"), F.lit(None).cast("long").alias("margin"))
-        counted = rows.select(F.col(key).alias("_key"), F.explode_outer(words_of(F.coalesce(F.col(text), F.lit("")))).alias("word"))
-        known = counted.groupBy("_key", "word").agg(F.count("word").alias("n")).join(F.broadcast(self.weights), "word", "left")
-        by_class = known.withColumn("held", F.explode_outer(F.coalesce("held", F.array()))).groupBy("_key", "held.label").agg(F.sum(F.col("n") * F.col("held.weight")).alias("sum"))
-        # Words that the model doesn't have weigh alike for all classes, but for the bias that each word brings.
-        length = known.where("held IS NOT NULL").groupBy("_key").agg(F.sum("n").alias("length"))
-        sums = by_class.groupBy("_key").agg(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "sum"))).alias("sums")).join(length, "_key", "left")
-        classes = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(bias).cast("long").alias("bias")) for label, bias in self.classes))
-        own = lambda label: F.aggregate("sums", F.lit(0).cast("long"), lambda s, v: s + F.when(v["label"] == label, v["sum"]).otherwise(0))
-        scored = F.array_sort(F.transform(classes, lambda c: F.struct(F.when(F.col("length") > 0, own(c["label"]) - F.col("length") * c["bias"]).otherwise(c["bias"]).alias("score"), c["label"].alias("label"))))
-        best = sums.withColumn("best", scored)
-        return best.select(F.col("_key").alias(key), F.get("best", 0)["label"].alias("label"), F.get("best", 0)["score"].alias("score"), (F.get("best", 1)["score"] - F.get("best", 0)["score"]).alias("margin"))
+            return F.lit(None).cast(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>")
+        labels, biases = [label for label, _ in self.classes], np.array([bias for _, bias in self.classes], dtype=np.int64)
+        held = self.weights.collect()  # at most most_words rows
+        at, column = {r["word"]: i for i, r in enumerate(held)}, {label: k for k, label in enumerate(labels)}
+        # Words that the model doesn't have are its last row, of zeros.
+        table = np.zeros((len(held) + 1, len(labels)), dtype=np.int64)
+        for i, r in enumerate(held):
+            for label, weight in r["held"]:
+                table[i, column[label]] = weight
+
+        @F.pandas_udf(kind)
+        def best(said: pd.Series) -> pd.DataFrame:
+            scores = np.empty((len(said), len(labels)), dtype=np.int64)
+            for first in range(0, len(said), ROWS):
+                words = [t.split(" ") for t in said.iloc[first : first + ROWS]]
+                found = np.array([at.get(w, len(at)) for row in words for w in row], dtype=np.int64)
+                starts = np.cumsum([0] + [len(row) for row in words[:-1]])
+                known = np.add.reduceat((found < len(at)).astype(np.int64), starts)[:, None]
+                # Words that the model doesn't have weigh alike for all classes, but for the bias that each word brings.
+                scores[first : first + ROWS] = np.where(known > 0, np.add.reduceat(table[found], starts) - known * biases, biases)
+            # Labels are in order, so the first of equal sums comes first.
+            order = np.argsort(scores, axis=1, kind="stable")
+            least = np.take_along_axis(scores, order[:, :2], axis=1)
+            margin = pd.Series(least[:, 1] - least[:, 0], dtype="Int64") if len(labels) > 1 else pd.Series([None] * len(said), dtype="Int64")
+            return pd.DataFrame({"label": np.array(labels, dtype=object)[order[:, 0]], "score": least[:, 0], "margin": margin})
+
+        return best(words_of(F.coalesce(text, F.lit(""))))
+
+    def predict(self, rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+        """``(key, label, score, margin)`` of :meth:`scored`."""
+        return rows.select(key, self.scored(F.col(text)).alias("_best")).select(key, "_best.*")
 
 
 def fit(rows: DataFrame, smoothing: float = 1.0, most_words: int = 50_000) -> Model:
     """A model from ``(text, label)`` rows."""
-    told = rows.where("text IS NOT NULL AND label IS NOT NULL").select("label", F.explode(words_of(F.col("text"))).alias("word"))
-    counts = cut(told.groupBy("label", "word").agg(F.count(F.lit(1)).alias("n")))
+    told = rows.where("text IS NOT NULL AND label IS NOT NULL").select("label", words_of(F.col("text")).alias("words"))
+    counted = told.mapInPandas(_counted, "label string, word string, n long")
+    counts = cut(counted.groupBy("label", "word").agg(F.sum("n").alias("n")))
     words = counts.groupBy("word").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "word").limit(most_words)
     kept = counts.join(F.broadcast(words), "word")
     sums = {r["label"]: r["n"] for r in kept.groupBy("label").agg(F.sum("n").alias("n")).collect()}
@@ -81,9 +118,7 @@ def tier(sentiment: Model, category: Model, name: str = "complement-bayes"):
 
     def classify(reviews: DataFrame) -> DataFrame:
         rows = reviews.where(F.trim(F.coalesce("text_clean", F.lit(""))) != "")
-        feeling = sentiment.predict(rows, text="text_clean").select("id", F.col("label").alias("sentiment"))
-        about = category.predict(rows, text="text_clean").select("id", F.col("label").alias("pain_point_category"))
-        both = rows.join(feeling, "id").join(about, "id")
+        both = rows.withColumn("sentiment", sentiment.scored(F.col("text_clean"))["label"]).withColumn("pain_point_category", category.scored(F.col("text_clean"))["label"])
         severity = x.severity_gate(F.col("sentiment"), F.col("pain_point_category"), F.col("rating"))
         return both.select(F.col("id").alias("review_id"), "sentiment", "pain_point_category", severity.alias("severity"), x.keywords(F.col("text_clean")).alias("keywords"), F.lit(name).alias("model_used"))
 

@@ -49,3 +49,17 @@ def test_tier_over_rules(spark):
     assert (got[1]["sentiment"], got[1]["pain_point_category"], got[1]["severity"], got[1]["model_used"]) == ("negative", "service", "high", "complement-bayes")
     assert (got[2]["sentiment"], got[2]["severity"]) == ("positive", "low")
     assert {got[3]["model_used"], got[4]["model_used"]} == {"rules"}
+
+
+def test_texts_are_scored_without_a_shuffle(spark, small):
+    model = labelling.fit(spark.createDataFrame(ROWS, "text string, label string"))
+    plan = model.predict(spark.read.parquet(f"{small}/documents.parquet"), key="doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_margin(spark):
+    one = labelling.fit(spark.createDataFrame(ROWS[:1], "text string, label string"))
+    assert tuple(one.predict(spark.createDataFrame([(1, "good")], "id long, text string")).first())[1::2] == ("positive", None)
+    model = labelling.fit(spark.createDataFrame(ROWS, "text string, label string"))
+    got = model.predict(spark.createDataFrame([(i, "bad food " * i) for i in range(200)], "id long, text string")).orderBy("id").collect()
+    assert [r["margin"] > 0 for r in got[1:]] == [True] * 199 and got[2]["score"] == 2 * got[1]["score"]
