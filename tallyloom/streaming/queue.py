@@ -68,6 +68,10 @@ def _plain(at: datetime | None) -> datetime | None:
     return at.astimezone().replace(tzinfo=None) if at is not None and at.tzinfo else at
 
 
+def _millis(due: datetime | None) -> int | None:
+    return None if due is None else round(due.timestamp() * 1000)
+
+
 class Places(StatefulProcessor):
     """One place's state and timer."""
 
@@ -76,15 +80,17 @@ class Places(StatefulProcessor):
         self.held = handle.getValueState("place", STATE)
 
     def _state(self) -> dict:
-        state = dict(zip(FIELDS, self.held.get())) if self.held.exists() else dict.fromkeys(FIELDS)
+        state = dict(zip(FIELDS, self.held.get() or (None,) * len(FIELDS)))
         return {**state, "scraped_at": _plain(state["scraped_at"])}
 
-    def _keep(self, state: dict) -> None:
+    def _keep(self, state: dict, timer: int | None = None) -> None:
+        """A place's new state; ``timer`` is the one that the state before had, so that none need be looked up."""
         self.held.update(tuple(state[f] for f in FIELDS))
-        for timer in list(self.handle.listTimers()):
+        fresh = _millis(due_at(state))
+        if timer is not None and timer != fresh:
             self.handle.deleteTimer(timer)
-        if (due := due_at(state)) is not None:
-            self.handle.registerTimer(round(due.timestamp() * 1000))
+        if fresh is not None and timer != fresh:
+            self.handle.registerTimer(fresh)
 
     def _row(self, name: str, kind: str, at: datetime, state: dict) -> Row:
         given_up = (state["refresh_shortfalls"] or 0) >= MOST_SHORTFALLS
@@ -97,19 +103,20 @@ class Places(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         state, out = self._state(), []
+        timer = _millis(due_at(state))
         for at, outcome, reviews in sorted(((_plain(r["at"]), r["outcome"], r["reviews"]) for r in rows), key=lambda r: (r[0], r[1] or "", r[2] or 0)):
             if (due := due_at(state)) is not None and due <= at:
                 out.append(self._row(key[0], "due", due, state))
                 state = {**state, "told": True}
             state = taken_in(state, at, outcome, reviews)
             out.append(self._row(key[0], "scanned", at, state))
-        self._keep(state)
+        self._keep(state, timer)
         yield from out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         state = self._state()
         if (due := due_at(state)) is not None:
-            self._keep({**state, "told": True})
+            self._keep({**state, "told": True})  # its timer has gone off and goes
             yield self._row(key[0], "due", due, state)
 
     def close(self) -> None:

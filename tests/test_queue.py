@@ -70,3 +70,55 @@ def test_initial_state_and_odd_rows(spark):
 @pytest.mark.parametrize(("quiet", "days"), [(0, 7), (1, 7), (2, 14), (3, 30), (9, 30)])
 def test_cooldown(quiet, days):
     assert queue.cooldown(quiet) == days
+
+
+def test_few_calls_of_the_store():
+    calls = []
+
+    class Held:
+        value = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        timers = set()
+
+        def getValueState(self, *_):  # noqa: N802
+            return Held()
+
+        def listTimers(self):  # noqa: N802
+            calls.append("list")
+            return iter(self.timers)
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append("register")
+            self.timers.add(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            calls.append("delete")
+            self.timers.remove(at)
+
+    places = queue.Places()
+    places.init(Handle())
+
+    def told(step):
+        calls.clear()
+        step()
+        return list(calls), {datetime.fromtimestamp(t / 1000) for t in Handle.timers}
+
+    begin = dict.fromkeys(queue.FIELDS) | {"scraped_at": DAY0}
+    assert told(lambda: places.handleInitialState(("p",), begin, None)) == (["update", "register"], {DAY0 + timedelta(days=7)})
+    scan = lambda day, outcome: lambda: list(places.handleInputRows(("p",), iter([{"at": DAY0 + timedelta(days=day), "outcome": outcome, "reviews": 1}]), None))
+    assert told(scan(1, "missed")) == (["get", "update"], {DAY0 + timedelta(days=7)})
+    assert told(scan(2, "served")) == (["get", "update", "delete", "register"], {DAY0 + timedelta(days=9)})
+    assert told(lambda: list(places.handleExpiredTimer(("p",), None, None)))[0] == ["get", "update"]
