@@ -142,7 +142,8 @@ def effective_text(clean: Column, raw: Column) -> Column:
 
 def review_text_hash(raw: Column) -> Column:
     """md5 of the first 1000 characters of the cleaned text, or of the raw text if that is empty."""
-    return let(strip(F.coalesce(raw, F.lit(""))), lambda bare: F.md5(F.coalesce(F.nullif(F.substring(clean_review_text(bare), 1, 1000), F.lit("")), bare)))
+    cleaned = lambda bare: let(F.substring(clean_review_text(bare), 1, 1000), lambda clean: F.when(clean == "", bare).otherwise(clean))
+    return let(strip(F.coalesce(raw, F.lit(""))), lambda bare: F.md5(cleaned(bare)))
 
 
 def rule_categories(text: Column) -> Column:

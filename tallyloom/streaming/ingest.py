@@ -26,7 +26,7 @@ def ingest_batch(spark: SparkSession, entries: DataFrame, folder: str) -> None:
     part; places, a few for thousands of reviews, are written anew where entries change them.
     """
     places = _table(spark, f"{folder}/places", PLACES)
-    fresh = upserts.place_rows(entries)
+    fresh = cut(upserts.place_rows(entries))  # else the entries are read for each use
     newcomers = upserts.next_ids(fresh.join(places.select("name"), "name", "left_anti").select("name"), places, ["name"])
     known = places.select("id", "name").unionByName(newcomers.select("id", "name"))
     columns = [c for c in places.columns if c in fresh.columns and c not in ("id", "name")]
