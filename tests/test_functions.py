@@ -128,3 +128,8 @@ def test_distance_on_the_spheroid(spark):
 def test_date_presets():
     assert dates.last_days(date(2024, 3, 1), 2) == ("2024-02-29", "2024-03-01")
     assert dates.whole_year(2024) == ("2024-01-01", "2024-12-31")
+
+
+def test_hash_cleans_a_text_once(spark):
+    rows = spark.createDataFrame([("a text",)], "text string").select(x.review_text_hash(F.col("text")).alias("h"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("Response from the owner") == 1
