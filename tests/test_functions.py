@@ -132,4 +132,4 @@ def test_date_presets():
 
 def test_hash_cleans_a_text_once(spark):
     rows = spark.createDataFrame([("a text",)], "text string").select(x.review_text_hash(F.col("text")).alias("h"))
-    assert rows._jdf.queryExecution().analyzed().toString().count("Response from the owner") == 1
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Response from the owner") == 1
