@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyloom.functions import domain
@@ -132,14 +130,8 @@ def _(spark, table):
     For each document: its words and those found, and how many ends of words are right.
     """
     said = table("documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L} ]+")).alias("said"))
-    said = said.select("doc_id", F.regexp_replace(F.trim("said"), " +", " ").alias("said")).where("said != ''")
+    said = said.select("doc_id", F.trim("said").alias("said")).where("said != ''")
+    said = said.withColumn("said", F.when(F.contains("said", F.lit("  ")), F.regexp_replace("said", " +", " ")).otherwise(F.col("said")))
     rows = said.withColumn("glued", F.replace("said", F.lit(" "), F.lit("")))
     costs = segmentation.fit(segmentation.runs(rows, "glued", r"\p{L}+"), most_words=20_000, candidates=60_000, max_length=10, least=5, rounds=4)
-    cut = rows.withColumn("found", F.split(segmentation.spaced(F.col("glued"), costs, r"[^\W\d_]+", 10), " "))
-
-    @F.pandas_udf("long")
-    def right(said: pd.Series, found: pd.Series) -> pd.Series:
-        ends = lambda words: np.cumsum([len(w) for w in words])
-        return pd.Series([len(np.intersect1d(ends(a.split(" ")), ends(b))) for a, b in zip(said, found)], dtype="int64")
-
-    return cut.groupBy("doc_id").agg(F.sum(F.size(F.split("said", " "))).alias("words"), F.sum(F.size("found")).alias("found"), F.sum(right("said", "found")).alias("right"))
+    return segmentation.compared(said, costs, 10)

@@ -3,8 +3,11 @@
 import itertools
 import math
 import random
+import time
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tallyloom.functions import text as x
@@ -99,3 +102,108 @@ def test_keywords_of_unspaced_text(spark):
     df = spark.createDataFrame([("กาแฟดีมาก ร้าน",)], "text string")
     words = x.keywords(s.spaced(F.col("text"), {"กาแฟ": 100, "ดี": 100, "มาก": 100, "ร้าน": 100}))
     assert df.select(words.alias("k")).first()["k"] == ["กาแฟ", "ดี", "มาก", "ร้าน"]
+
+
+def prose(seed, n):
+    """Runs of words of few syllables, some of them long."""
+    pick = random.Random(seed)
+    words = ["".join(pick.choice(["an", "re", "tion", "ou", "è", "st", "the", "กา"]) for _ in range(pick.randint(1, 4))) for _ in range(60)]
+    return ["".join(pick.choice(words) for _ in range(pick.choice([1, 4, 9, 30, 200]))) for _ in range(n)]
+
+
+def substrings(texts, counts, max_length):
+    held = Counter()
+    for t, n in zip(texts, counts):
+        for length in range(1, max_length + 1):
+            for i in range(len(t) - length + 1):
+                held[t[i : i + length]] += n
+    return held
+
+
+def test_counts_of_substrings():
+    texts, counts = ["ab", "a", "", "abcab", "ก\U0001f600ก\U0001f600", *prose(1, 30)], np.arange(1, 36)
+    whole = "".join(t + "\0" * 7 for t in texts)
+    got = {whole[i : i + n]: c for n, at, held in s._counted(texts, counts, 7) for i, c in zip(at.tolist(), held.tolist())}
+    assert got == substrings(texts, counts.tolist(), 7)
+
+
+@pytest.mark.parametrize("blocks, most", [(1, 50), (6, 50), (6, 400), (40, 100), (3, 100_000)])
+def test_seeds_are_those_of_all_substrings(spark, monkeypatch, blocks, most):
+    """Blocks send only what is heavy in them; candidates and counts are still those of all substrings."""
+    texts = sorted(set(prose(2, 300)))
+    rows = spark.createDataFrame([(t, 1 + k % 4) for k, t in enumerate(texts)], "run string, n long").repartition(blocks).localCheckpoint()
+    monkeypatch.setattr(s, "BLOCK", sum(map(len, texts)) // blocks)
+    held = {w: n for w, n in substrings(texts, [1 + k % 4 for k in range(len(texts))], 6).items() if len(w) == 1 or n >= 3}
+    want = sorted(held, key=lambda w: (len(w) > 1, -held[w] * len(w), w))[:most]
+    got = s.seeds(rows, most, 6, 3)
+    assert list(got) == want and all(got[w] == held[w] for w in want)
+
+
+def test_seeds_of_unlike_blocks(spark, monkeypatch):
+    """A substring that no block holds for heavy may be so in all of them together."""
+    texts = [a * 3 + b + "xyz" + c for k, (a, b, c) in enumerate(itertools.product("abcdefgh", repeat=3))]
+    rows = spark.createDataFrame([(t, 1) for t in texts], "run string, n long").repartitionByRange(8, "run").localCheckpoint()
+    monkeypatch.setattr(s, "BLOCK", sum(map(len, texts)) // 8)
+    held = {w: n for w, n in substrings(texts, [1] * len(texts), 5).items() if len(w) == 1 or n >= 2}
+    assert list(s.seeds(rows, 40, 5, 2)) == sorted(held, key=lambda w: (len(w) > 1, -held[w] * len(w), w))[:40]
+
+
+def test_a_block_sends_little():
+    """All distinct substrings were sent before."""
+    texts = prose(3, 2000)
+    sent = sum(map(len, s._heavy(10, 300, None)(iter([pd.DataFrame({"run": texts, "n": 1})]))))
+    assert sent * 10 < len(substrings(texts, [1] * len(texts), 10))
+
+
+def lexicon_of(texts):
+    held = substrings(texts, [1] * len(texts), 8)
+    return s.Lexicon(s.costs_of({w: float(n) for w, n in held.items() if n > 20 or len(w) == 1}), 8)
+
+
+def test_long_runs_in_stretches(monkeypatch):
+    """Stretches give the sums and the cuts that whole runs give."""
+    texts = prose(4, 40) + ["z" * 500, "é" + "an" * 300 + "?"]
+    lexicon, counts = lexicon_of(texts[:-1]), np.arange(1.0, 43.0)
+    monkeypatch.setattr(s, "LONG", 10_000)
+    cuts_, sums = lexicon.segment(texts), lexicon.expected(texts, counts)
+    monkeypatch.setattr(s, "LONG", 9)
+    assert lexicon.segment(texts) == cuts_
+    assert lexicon.expected(texts, counts) == pytest.approx(sums, rel=1e-9, abs=1e-9)
+
+
+def test_long_runs_take_no_longer():
+    """One long run is work for as many characters as short runs have; before, each of its places was a step of its own."""
+    texts = [t[:50] for t in prose(5, 3000)]
+    long = ["".join(texts)]
+    lexicon = lexicon_of(texts[:500])
+
+    def least(runs):
+        took = []
+        for _ in range(3):
+            start = time.perf_counter()
+            lexicon.expected(runs, np.ones(len(runs)))
+            lexicon.segment(runs)
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    assert least(long) < 15 * least(texts)
+
+
+def test_large_alphabets(monkeypatch):
+    """Trees that are searched give what indexed ones give."""
+    texts = prose(6, 30)
+    want = lexicon_of(texts).segment(texts)
+    monkeypatch.setattr(s, "DENSE", 0)
+    assert lexicon_of(texts).segment(texts) == want
+
+
+def test_compared(spark):
+    rows = [(1, "an ana"), (1, "na an"), (None, "ก an"), (None, "xan"), (3, "a"), (4, "an " * 400 + "an")]
+    costs = {"an": 100, "a": 300, "n": 300, "ก": 200}
+    got = {r["doc_id"]: tuple(r)[1:] for r in s.compared(spark.createDataFrame(rows, "doc_id int, said string").repartition(3), costs).collect()}
+    want = {}
+    for k, said in rows:
+        found, words = s.Lexicon(costs).segment([said.replace(" ", "")])[0], said.split(" ")
+        a, b = (set(itertools.accumulate(map(len, w))) for w in (words, found))
+        want[k] = tuple(x + y for x, y in zip(want.get(k, (0, 0, 0)), (len(words), len(found), len(a & b))))
+    assert got == want
