@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,7 +41,7 @@ FAR = np.int64(1) << 59
 #: Runs of up to so many characters are followed whole, longer ones in stretches of that many.
 LONG, STRETCH = 320, 64
 #: Characters that a task works on at a time, and those of a matrix.
-BLOCK, MATRIX = 2_000_000, 150_000
+BLOCK, MATRIX = 3_000_000, 150_000
 #: Costs end at UNKNOWN, so a word's share times the exponential of half of that for each of its
 #: characters keeps sums over a stretch within what doubles hold, whatever the stretch.
 TILT = UNKNOWN / UNIT / 2
@@ -145,62 +145,62 @@ class Lexicon:
         codes, lengths = _flat(runs), _lengths(runs)
         if len(codes) and len(self.edges):
             ranks, starts = self.ranks(codes), np.cumsum(lengths) - lengths
-            rate = 2.5
+            shares, rate = self._shares(), 2.5
             left = [np.flatnonzero(lengths > LONG)]
             for own in _batches(lengths, LONG):
-                rate, odd = self._expected_whole(ranks, starts[own], lengths[own], counts[own], rate, total)
+                rate, odd = self._expected_whole(ranks, starts[own], lengths[own], counts[own], shares, rate, total)
                 left.append(own[odd])
             for own in _groups(lengths, np.concatenate(left)):
-                self._expected_parted(ranks, starts[own], lengths[own], counts[own], total)
+                self._expected_parted(ranks, starts[own], lengths[own], counts[own], shares, total)
         out = np.zeros(len(self.words))
         hit = self.word >= 0
         out[self.word[hit]] = total[hit]
         return out
 
-    def _shares(self, tilt: float) -> np.ndarray:
-        """Of the nodes that are words, with a factor for each of their characters."""
-        length = np.repeat(np.arange(self.max_length + 1), np.diff(self.first))
-        return np.where(self.word >= 0, np.exp(tilt * length - self.cost[self.word] / UNIT), 0.0)
+    def _shares(self) -> np.ndarray:
+        """Of the nodes that are words; 0 for others."""
+        return np.where(self.word >= 0, np.exp(-self.cost[self.word] / UNIT), 0.0)
 
-    def _weights(self, codes: np.ndarray, width: int, shares: np.ndarray) -> tuple[np.ndarray, list]:
-        """Shares of the words of each length that begin at each place, and the walk."""
+    def _weights(self, codes: np.ndarray, width: int, shares: np.ndarray, tilt: float) -> tuple[np.ndarray, list]:
+        """Shares of the words of each length that begin at each place, with a factor for each of their characters, and the walk."""
         weights = np.zeros((self.max_length, width, codes.shape[1]))
         walk = list(self.walk(codes, width))
         for n, at, node in walk:
-            weights[n - 1].ravel()[at] = shares[node]
+            low, high = self.first[n : n + 2]
+            weights[n - 1].ravel()[at] = (shares[low:high] * math.exp(tilt * n))[node - low]
         return weights, walk
 
-    def _expected_whole(self, ranks, start, length, counts, rate, total) -> tuple[float, np.ndarray]:
+    def _expected_whole(self, ranks, start, length, counts, shares, rate, total) -> tuple[float, np.ndarray]:
         """Add the expected counts of runs; the next tilt, and the runs whose sums leave what doubles hold."""
         width = int(length.max())
         codes = self._matrix(ranks, start, start, start + length, 0, width)
-        weights, walk = self._weights(codes, width, self._shares(rate))
+        weights, walk = self._weights(codes, width, shares, rate)
         weights[0][np.arange(width)[:, None] >= length] = 1.0
         most, rows = self.max_length, len(start)
+
+        def within(v: np.ndarray) -> np.ndarray:
+            return (v[: width + 1].min(0) > 1e-140) & (v[: width + 1].max(0) < 1e140)
+
         ahead, behind = np.zeros((width + most, rows)), np.zeros((width + most, rows))
         ahead[0] = behind[width] = 1.0
         with np.errstate(over="ignore", invalid="ignore"):
             _forward(weights, ahead)
-            _backward(weights, behind)
-        fine = np.ones(rows, bool)
-        for v in (ahead, behind):
-            fine &= (v[: width + 1].min(0) > 1e-140) & (v[: width + 1].max(0) < 1e140)
-        ahead[:, ~fine] = behind[:, ~fine] = 0.0
-        whole = np.where(fine, behind[0], 1.0)
-        self._add(weights, walk, ahead, behind, np.where(fine, counts / whole, 0.0), total)
+            fine = within(ahead)
+            whole = np.where(fine, ahead[width], 1.0)
+            _backward(weights, behind, ahead[:width] * (counts / whole))
+            fine &= within(behind)
+        weights[:, :, ~fine] = 0.0
+        self._add(weights, walk, total)
         sure = np.flatnonzero(fine)
         if len(sure):
             rate -= float(np.log(whole[sure]).sum() / length[sure].sum())
         return rate, np.flatnonzero(~fine)
 
-    def _add(self, weights, walk, ahead, behind, factor, total) -> None:
-        width = weights.shape[1]
-        now = np.empty(weights.shape[1:])
+    def _add(self, expected: np.ndarray, walk: list, total: np.ndarray) -> None:
+        """Sum how often the words of each length are expected at each place, by node."""
         for n, at, node in walk:
-            np.multiply(ahead[:width], weights[n - 1], out=now)
-            now *= behind[n : width + n]
-            now *= factor
-            total[self.first[n] : self.first[n + 1]] += np.bincount(node - self.first[n], now.ravel()[at], self.first[n + 1] - self.first[n])
+            low, high = self.first[n : n + 2]
+            total[low:high] += np.bincount(node - low, expected[n - 1].ravel()[at], high - low)
 
     def _stretches(self, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The run of each stretch, and where it begins."""
@@ -208,13 +208,13 @@ class Lexicon:
         run = np.repeat(np.arange(len(start)), parts)
         return run, start[run] + STRETCH * (np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts))
 
-    def _expected_parted(self, ranks, start, length, counts, total) -> None:
+    def _expected_parted(self, ranks, start, length, counts, shares, total) -> None:
         """Add the expected counts of long runs."""
         most, head = self.max_length, self.max_length - 1
         run, at = self._stretches(start, length)
         width, columns = STRETCH, len(at)
         codes = self._matrix(ranks, at, start[run], (start + length)[run], head, width)
-        weights, walk = self._weights(codes, head + width, self._shares(TILT))
+        weights, walk = self._weights(codes, head + width, shares, TILT)
         weights[0, head:][at + np.arange(width)[:, None] >= (start + length)[run]] = 1.0
         # All ways in: a unit at each of the last places before a stretch, or the first after it.
         into, out = np.zeros((columns, most, most)), np.zeros((columns, most, most))
@@ -253,7 +253,8 @@ class Lexicon:
             over += (ahead[most - n : most] * weights[n - 1, most - n : most] * behind[most : most + n]).sum(0)
         factor = np.where(over > 0, counts[run] / np.where(over > 0, over, 1.0), 0.0)
         ahead[:head] = 0.0  # those words are counted where they begin
-        self._add(weights, walk, ahead, behind, factor, total)
+        _backward(weights, behind, ahead[: head + width] * factor)
+        self._add(weights, walk, total)
 
     # Least cost
 
@@ -375,13 +376,18 @@ def _forward(weights: np.ndarray, v: np.ndarray, own: int = 0) -> None:
         v[i + 1 + low : i + 1 + most] += now[low:]
 
 
-def _backward(weights: np.ndarray, v: np.ndarray) -> None:
-    """Sums over all ways from each place, from those after the last, which are given."""
+def _backward(weights: np.ndarray, v: np.ndarray, ahead: np.ndarray | None = None) -> None:
+    """Sums over all ways from each place, from those after the last, which are given.
+
+    With the sums to each place, ``weights`` become those of the ways through each word.
+    """
     most, width = weights.shape[:2]
     now = np.empty((most, *v.shape[1:]))
     for i in range(width - 1, -1, -1):
         np.multiply(weights[:, i], v[i + 1 : i + 1 + most], out=now)
         np.sum(now, axis=0, out=v[i])
+        if ahead is not None:
+            np.multiply(now, ahead[i], out=weights[:, i])
 
 
 def _batches(lengths: np.ndarray, longest: int) -> Iterator[np.ndarray]:
@@ -425,11 +431,12 @@ def _blocks(batches: Iterator[pd.DataFrame], column: str, most: int = BLOCK) ->
         yield pd.concat(held, ignore_index=True)
 
 
-def _counted(texts: list[str], counts: np.ndarray, max_length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _counted(texts: list[str], counts: np.ndarray, max_length: int, kept: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each length, the places where the substrings of runs first stand, and how often they do, each once.
 
     Places count in the runs one after another with ``max_length`` empty characters after each.
     All places are sorted by what follows them, so substrings with the same beginning are neighbours.
+    ``kept`` tells which of a length's counts are wanted.
     """
     lengths = _lengths(texts)
     codes = _flat([t + "\0" * max_length for t in texts])
@@ -440,7 +447,7 @@ def _counted(texts: list[str], counts: np.ndarray, max_length: int) -> Iterator[
     room = np.uint64(max(1, int(len(codes)).bit_length()))
     per = max(1, (64 - int(room)) // bits)
     own = np.flatnonzero(codes)
-    order = np.arange(len(own), dtype=np.uint64)
+    order, low_bits = None, (np.uint64(1) << room) - np.uint64(1)
     digits = []
     for low in range(0, max_length, per):
         key = np.zeros(len(codes) - max_length, np.uint64)
@@ -448,16 +455,20 @@ def _counted(texts: list[str], counts: np.ndarray, max_length: int) -> Iterator[
             key <<= np.uint64(bits)
             key |= ranks[k : len(key) + k]
         digits.append((min(per, max_length - low), key[own[own < len(key)]]))
+    del codes, ranks, key
     for _, key in reversed(digits):
-        placed = (key[order] << room) | np.arange(len(order), dtype=np.uint64)
+        placed = ((key if order is None else key[order]) << room) | np.arange(len(own), dtype=np.uint64)
         placed.sort()
-        order = order[placed & ((np.uint64(1) << room) - np.uint64(1))]
+        at = (placed & low_bits).astype(np.int64)
+        order = at if order is None else order[at]
+    del key, at
+    digits = [(digits[0][0], placed >> room), *((size, key[order]) for size, key in digits[1:])]
+    del placed
     sums = np.concatenate([[0], np.cumsum(np.repeat(counts, lengths)[order])])
     differ = np.zeros(len(order), bool)
     differ[:1] = True
     n = 0
     for size, key in digits:
-        key = key[order]
         for k in range(1, size + 1):
             n += 1
             prefix = key >> np.uint64(bits * (size - k))
@@ -465,8 +476,11 @@ def _counted(texts: list[str], counts: np.ndarray, max_length: int) -> Iterator[
             first = np.flatnonzero(differ)
             ends = np.append(first[1:], len(order))
             full = (prefix[first] & np.uint64((1 << bits) - 1)) > 0
-            first, ends = first[full], ends[full]
-            yield n, own[order[first]], sums[ends] - sums[first]
+            first, held = first[full], sums[ends[full]] - sums[first[full]]
+            if kept is not None:
+                own_kept = kept(n, held)
+                first, held = first[own_kept], held[own_kept]
+            yield n, own[order[first]], held
 
 
 def _heavy(max_length: int, most: int, floor: float | None):
@@ -476,13 +490,22 @@ def _heavy(max_length: int, most: int, floor: float | None):
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in _blocks(batches, "run", 2 * BLOCK):
+        for block in _blocks(batches, "run"):
             texts = block["run"].tolist()
-            found = list(_counted(texts, block["n"].to_numpy(np.int64), max_length))
-            held = floor
-            if held is None:
-                covered = np.concatenate([n * c for n, _, c in found if n > 1] or [np.zeros(0, np.int64)])
-                held = float(np.partition(covered, len(covered) - most)[len(covered) - most]) / 2 if len(covered) > most else 0.0
+            largest, held = np.zeros(0, np.int64), floor or 0.0
+
+            def kept(n: int, counts: np.ndarray) -> np.ndarray:
+                nonlocal largest, held
+                if n == 1:
+                    return np.arange(len(counts))
+                if floor is None:
+                    largest = np.concatenate([largest, counts * n])
+                    if len(largest) > most:
+                        largest = np.partition(largest, len(largest) - most)[len(largest) - most :]
+                        held = float(largest[0]) / 2  # rises from length to length
+                return np.flatnonzero(counts * n > held)
+
+            found = list(_counted(texts, block["n"].to_numpy(np.int64), max_length, kept))
             whole = "".join(t + "\0" * max_length for t in texts)
             words, counts = [""], [np.zeros(1, np.int64)]
             for n, at, c in found:
