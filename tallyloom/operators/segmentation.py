@@ -524,8 +524,8 @@ def seeds(rows: DataFrame, candidates: int, max_length: int, least: int) -> dict
     total is then at least the sum of what was sent, and at most that and the bounds of the blocks
     that did not send it.  The ``candidates``-th largest of the lower sums bounds what can be
     among the candidates; what reaches it without having come from all blocks is counted in one more
-    scan.  Where the bounds together are no lower than that, blocks send once more, by their part of it; as
-    a last resort they send all.
+    scan.  Where the bounds together are no lower than that, or too much is left to count, blocks send once
+    more, by their part of it; as a last resort they send all.
     """
     size = rows.agg(F.sum(F.length("run"))).first()[0]
     rows = rows.coalesce(max(1, (size or 0) // BLOCK))  # small blocks would send nearly all they have
@@ -543,9 +543,7 @@ def seeds(rows: DataFrame, candidates: int, max_length: int, least: int) -> dict
         # A word that no block sent covers at most all bounds together; one that stands less than ``least`` times is no candidate.
         enough = float(worst["c"]) if worst["n"] == candidates else 0.0
         open_ = sums.where(~F.col("exact") & (cover + F.col("missing") >= enough) & (F.col("n") + F.col("missing") / F.length("word") >= least))
-        if total["held"] == 0:
-            break
-        if total["held"] < enough and (resort or open_.count() <= 10 * candidates):
+        if total["held"] == 0 or (total["held"] < enough and open_.count() <= 10 * candidates):
             break
         floor = 0.0 if resort or not enough else (enough - 1) / total["blocks"]
     exact = sums.where(F.col("exact")).select("word", "n")
